@@ -22,16 +22,17 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import ascii_lower, join_rows, stored
 
-#: The words of the lower-cased text, found in the text as it stands: A-Z are word characters here.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A benchmark side up to so many bytes (as Spark's own size estimate and a count say) may be broadcast; beyond that, joins shuffle.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A benchmark side that a count shows to have up to so many rows may be broadcast; beyond that, joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Up to so many terms are looked up as a set inside the scan; beyond that, tokens are joined with the terms.
+SET_TERMS = 50_000
 
 
 def words_of(text: Column) -> Column:
-    """The words as they stand. Case is folded later: for look-up by lower(), which merges no fewer words than the
-    contract's A-Z does and is fast, and exactly where a candidate is confirmed."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words with A-Z lower-cased; lower() does just that for a text of ASCII characters alone."""
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
 def windows_of(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +40,7 @@ def windows_of(items: DataFrame, size: int, id_col: str = "item_id", text_col: s
     w = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("_w")).where(F.size("_w") > 0)
     last = F.greatest(F.lit(1), F.size("_w") - F.lit(size - 1))
     w = w.select("item", "_w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
-    return w.select("item", F.transform(F.slice("_w", F.col("at"), F.lit(size)), ascii_lower).alias("win")).distinct().withColumn("len", F.size("win"))
+    return w.select("item", F.slice("_w", F.col("at"), F.lit(size)).alias("win")).distinct().withColumn("len", F.size("win"))
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,35 +48,53 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _term_set(terms: DataFrame) -> str | None:
+    """The terms as a list of SQL literals (words hold no quotes), or None if there are too many for one."""
+    found = [r[0] for r in terms.limit(SET_TERMS + 1).collect()]
+    return None if len(found) > SET_TERMS else ", ".join(f"'{t}'" for t in sorted(found))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, near: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, n_near for every row of docs."""
     wins = stored(windows_of(items, size), "windows")
-    vocabulary = _small(wins.select(F.explode("win").alias("term")).select(F.lower("term").alias("term")).distinct())
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # A document is known by its id and text: equal rows have equal results.
     d = d.withColumn("text_hash", F.xxhash64("text"))
     tokens = d.select("doc_id", "text_hash", words_of(F.col("text")).alias("_w"))
-    terms = tokens.select(F.explode("_w").alias("raw")).select(F.lower("raw").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    terms = stored(terms, "terms")
+    vocabulary = wins.select(F.explode("win").alias("term")).distinct()
+    terms = tokens.select(F.explode("_w").alias("term"))
+    listed = _term_set(vocabulary)
+    terms = terms.join(_small(vocabulary), "term") if listed is None else terms.where(f"term IN ({listed})") if listed else terms.limit(0)
+    terms = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
 
     # Lead terms: the two rarest places of each window. A window with a term that no document has can't occur at all.
-    spots = wins.select("win", "len").distinct().withColumn("win_id", F.xxhash64("win", "len")).select("win_id", "win", "len", F.posexplode("win").alias("off", "raw")).withColumn("term", F.lower("raw"))
+    spots = wins.select("win", "len").distinct().withColumn("win_id", F.xxhash64("win", "len")).select("win_id", "win", "len", F.posexplode("win").alias("off", "term"))
     ranked = spots.join(_small(terms), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by = Window.partitionBy("win_id")
     ranked = ranked.withColumn("rank", F.row_number().over(by.orderBy("n", "off"))).withColumn("least", F.min("n").over(by))
     leads = ranked.where("rank <= 2 AND least > 0").groupBy("win_id", "win", "len").agg(F.max(F.when(F.col("rank") == 1, F.struct("term", "off"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.struct("term", "off"))).alias("b"))
     leads = stored(leads.select("win_id", "win", "len", F.col("a.term").alias("term"), F.col("a.off").alias("off"), F.col("b.term").alias("term2"), F.col("b.off").alias("off2")), "leads")
 
-    # The stored index: (term, document, position) of lead terms, with the size - 1 tokens on either side.
-    post = tokens.select("doc_id", "text_hash", "_w", F.posexplode("_w").alias("pos", "raw")).withColumn("term", F.lower("raw")).join(_small(leads.select("term").distinct()), "term")
-    first = F.greatest(F.lit(0), F.col("pos") - F.lit(size - 1))
-    post = post.select("term", "doc_id", "text_hash", "pos", first.alias("from"), F.slice("_w", first + 1, F.lit(2 * size - 1)).alias("around"))
-    post = stored(post, "postings")
+    # The stored index: positions of lead terms in each document, with the size - 1 tokens on either side.
+    lead_terms = leads.select("term").distinct()
+    listed = _term_set(lead_terms)
+    if listed is None:
+        at = tokens.select("doc_id", "text_hash", "_w", F.posexplode("_w").alias("pos", "term")).join(_small(lead_terms), "term")
+        first = F.greatest(F.lit(0), F.col("pos") - F.lit(size - 1))
+        post = stored(at.select("term", "doc_id", "text_hash", "pos", first.alias("from"), F.slice("_w", first + 1, F.lit(2 * size - 1)).alias("around")), "postings")
+        base = tokens.select("doc_id", "text_hash", F.coalesce(F.size("_w"), F.lit(0)).cast("long").alias("n_words"))
+    else:
+        at = F.expr(f"filter(transform(_w, (w, i) -> if(w IN ({listed or 'NULL'}), i, NULL)), i -> i IS NOT NULL)")
+        first = lambda i: F.greatest(F.lit(0), i - (size - 1))
+        lists = F.transform(at, lambda i: F.struct(F.get("_w", i).alias("term"), i.alias("pos"), first(i).alias("from"), F.slice("_w", first(i) + 1, F.lit(2 * size - 1)).alias("around")))
+        index = stored(tokens.select("doc_id", "text_hash", F.greatest(F.lit(0), F.size("_w")).cast("long").alias("n_words"), lists.alias("lists")), "postings")
+        post = index.select("doc_id", "text_hash", F.inline("lists"))
+        base = index.select("doc_id", "text_hash", "n_words")
 
     x = post.join(_small(leads), "term").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0")
     rel = F.col("start") - F.col("from") + 1  # of the window's first word in `around`, from 1
-    second = F.col("term2").isNull() | (F.lower(F.try_element_at("around", F.greatest(rel + F.col("off2"), F.lit(1)))) == F.col("term2"))
-    reach = F.transform(F.slice("around", F.greatest(rel, F.lit(1)), F.col("len")), ascii_lower)
+    second = F.col("term2").isNull() | (F.try_element_at("around", F.greatest(rel + F.col("off2"), F.lit(1))) == F.col("term2"))
+    reach = F.slice("around", F.greatest(rel, F.lit(1)), F.col("len"))
     x = x.withColumn("exact", F.coalesce(second & (reach == F.col("win")), F.lit(False)))
     x = x.withColumn("close", F.col("exact") | (F.size(F.array_intersect(reach, F.array_distinct("win"))) >= F.ceil(F.lit(near) * F.size(F.array_distinct("win")))))
     hits = stored(x.where("close").select("doc_id", "text_hash", "win_id", "start", "len", "exact"), "hits")
@@ -90,7 +109,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, near:
     nears = hits.where("NOT exact").groupBy("doc_id", "text_hash").agg(F.countDistinct("start").alias("n_near"))
     key = ["doc_id", "text_hash"]
     found = join_rows(join_rows(covered, named, key), nears, key, "full")
-    base = d.select("doc_id", "text_hash", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = join_rows(base, found, key)
     names = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
