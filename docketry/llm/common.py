@@ -72,6 +72,11 @@ def join_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return out if "semi" in how or "anti" in how else out.drop(*[f"_r{i}" for i in range(len(keys))])
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast if a count shows df to have up to so many rows; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(bits: int, *cols: Column) -> Column:
     """A uniform hash of cols cut to so many bits, never negative."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - bits)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import join_rows, prefix_sums, spread, stored, word_count
+from docketry.llm.common import join_rows, prefix_sums, small, spread, stored, word_count
 
 #: Buckets that the hash-random keys of a source are range-split into hold about so many rows.
 BUCKET_ROWS = 2048
@@ -47,8 +47,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     targets = source_targets(stats, list(weights), share, cap)
     # Keys are uniform, so equal key ranges are an even range split of each source, as fine as its rows need.
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_rows") / BUCKET_ROWS))).cast("int")
-    t = join_rows(targets, stats.select("source", bits.alias("_bits")), ["source"])
-    x = join_rows(d, t, ["source"], "inner")
+    t = stored(join_rows(targets, stats.select("source", bits.alias("_bits")), ["source"]), "targets")
+    # A source may hold most rows: few sources are broadcast, so that its rows stay where they are.
+    x = d.join(small(t.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     x = x.withColumn("bucket", F.expr("shiftright(key, 62 - _bits)"))
     x = prefix_sums(x, ["source"], ["key", "doc_id", "text_hash"], "bucket", "size", "_before")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
