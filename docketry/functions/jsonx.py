@@ -16,9 +16,10 @@ def filled(v: Column) -> Column:
 
 def parse_loose_json(raw: Column) -> Column:
     """Text that a model wrote, as a map: a leading code fence is stripped; what does not parse becomes {raw_text: raw}."""
-    clean = F.trim(raw)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    clean = bare(raw)
     fenced = F.regexp_extract(clean, r"(?s)^```(?:json)?(.*?)(?:```|\z)", 1)
-    clean = F.trim(F.when(clean.startswith("```"), fenced).otherwise(clean))
+    clean = bare(F.when(clean.startswith("```"), fenced).otherwise(clean))
     # In a list, nothing may follow the object; alone, the parser would stop at its end.
     parsed = F.when(F.try_parse_json(F.concat(F.lit("["), clean, F.lit("]"))).isNotNull() & clean.startswith("{"), F.from_json(clean, MAP))
     return F.coalesce(parsed, F.create_map(F.lit("raw_text"), raw))

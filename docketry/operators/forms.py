@@ -278,9 +278,12 @@ def gap_fill(docs: DataFrame, forms: DataFrame) -> DataFrame:
     a = anchor_sections(forms).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("a"))
     x = docs.join(a, "doc_id", "left")
     gaps = F.filter(F.array(*map(F.lit, [*CRITICAL, *IMPORTANT])), lambda k: F.coalesce(F.col("sections")[k], F.lit("")) == "")
-    found = F.map_from_entries(F.filter(F.transform(gaps, lambda k: F.struct(k.alias("key"), F.element_at("a", F.element_at(to, k)).alias("value"))), lambda s: F.coalesce(s["value"] != "", F.lit(False))))
-    found = F.coalesce(found, F.create_map().cast("map<string,string>"))
-    return x.select("doc_id", F.map_concat(F.map_filter("sections", lambda k, v: ~F.array_contains(F.map_keys(found), k)), found).alias("sections"), F.array_sort(F.map_keys(found)).alias("recovered"))
+    there = lambda k: F.element_at("a", F.element_at(to, k))
+    keys = F.filter(gaps, lambda k: F.coalesce(there(k) != "", F.lit(False)))
+    x = x.withColumn("recovered", F.array_sort(keys))
+    found = F.map_from_arrays("recovered", F.transform("recovered", there))
+    rest = F.map_filter("sections", lambda k, v: ~F.array_contains("recovered", k))
+    return x.select("doc_id", F.map_concat(rest, found).alias("sections"), "recovered")
 
 
 def form_html(forms: DataFrame) -> DataFrame:

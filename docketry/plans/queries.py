@@ -565,7 +565,7 @@ def form_keys(m):
     return tables.form_keys(m("lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 8 + 1).cast("int")).alias("label"))).drop("label")
 
 
-@query("WITH x AS (SELECT l_orderkey, l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey AS p, CASE WHEN l_partkey % 2 = 0 THEN 'Year' ELSE 'FIR No. : 7' END AS label, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS STRING) ELSE '' END AS v FROM lineitem) SELECT l_orderkey AS doc_id, CASE WHEN label = 'Year' THEN 'year' ELSE 'fir_no' END AS form_key, arg_min(CASE WHEN v <> '' THEN v WHEN label <> 'Year' THEN '7' END, p) FILTER (v <> '' OR label <> 'Year') AS value FROM x GROUP BY 1, 2 HAVING count(*) FILTER (v <> '' OR label <> 'Year') > 0")
+@query("WITH x AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS p, CASE WHEN l_partkey % 2 = 0 THEN 'Year' ELSE 'FIR No. : 7' END AS label, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS STRING) ELSE '' END AS v FROM lineitem) SELECT l_orderkey AS doc_id, CASE WHEN label = 'Year' THEN 'year' ELSE 'fir_no' END AS form_key, arg_min(CASE WHEN v <> '' THEN v WHEN label <> 'Year' THEN '7' END, p) FILTER (v <> '' OR label <> 'Year') AS value FROM x GROUP BY 1, 2 HAVING count(*) FILTER (v <> '' OR label <> 'Year') > 0")
 def form_values(m):
     f = m("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.expr("l_linenumber * 1000000000L + l_partkey * 1000 + l_suppkey").alias("pos"), F.when(F.col("l_partkey") % 2 == 0, "Year").otherwise("FIR No. : 7").alias("label"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("").alias("value"))
     return tables.form_values(f)
