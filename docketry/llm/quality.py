@@ -80,6 +80,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30
     return w
 
 
+def word_scores(text: str, weights: dict[str, float]) -> list[float]:
+    """The four largest weights of listed words that the text holds, and the sum of all."""
+    found = sorted((weights[w] for w in tokens(text) if w in weights), reverse=True)
+    return [*found[:4], *[0.0] * (4 - len(found[:4])), float(np.sum(found))]
+
+
+def _features(weights: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [style(t) + word_scores(t, weights) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32()), b.column(2).cast(pa.int32())], names=["x", "quality", "toxic"])
+
+    return run
+
+
 class Model:
     """Style weights and word weights of both classifiers, and the rate of bad documents they were fitted at."""
 
@@ -89,8 +104,7 @@ class Model:
     def evidence(self, text: str | None) -> tuple[float, float]:
         t = text or ""
         s = (np.array(style(t)) - self.scale[0]) / self.scale[1]
-        found = sorted((self.words[w] for w in tokens(t) if w in self.words), reverse=True)
-        z = np.array([*found[:4], *[0.0] * (4 - len(found[:4])), float(np.sum(found))])
+        z = np.array(word_scores(t, self.words))
         return float(np.append(s, 1) @ self.low), float(np.append(np.append(z, s[0]), 1) @ self.toxic)
 
 
@@ -102,6 +116,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 4000, least_docs: int = 4) -> Model:
     """Fits on labelled documents. The word list: words whose share among toxic documents exceeds that among the rest
     by the largest z-score, from counts over all labelled documents."""
+    small_batches(docs.sparkSession)
     lab = stored(labelled(docs, labels), "labelled")
     n = lab.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
     total, bad, low = int(n[0]), int(n[1]), int(n[2])
@@ -114,16 +129,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 400
         t = t.withColumn("z", (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
         top = t.where("z > 3").orderBy(F.desc("z"), "word").limit(words).collect()  # the model: at most `words` rows
         weights = {r["word"]: float(np.log((r["k"] + 0.5) / (bad + 1)) - np.log((r["n"] - r["k"] + 0.5) / (total - bad + 1))) for r in top}
-    part = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "quality", "toxic").toPandas()  # at most `sample` rows
+    # At most `sample` ids, then as many rows of a few numbers, reach the driver; texts stay in the tasks.
+    ids = lab.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    part = lab.join(F.broadcast(ids.distinct()), "doc_id").select("text", "quality", "toxic")
+    part = part.mapInArrow(_features(weights), "x array<double>, quality int, toxic int").toPandas()
+    k = len(STYLE)
     if not len(part) or not low or low == total:
-        k = len(STYLE)
         return Model(np.append(np.zeros(k), -20.0), np.append(np.zeros(6), -20.0), (np.zeros(k), np.ones(k)), weights, (0.5, 0.5))
-    s = np.array([style(x) for x in part["text"]])
+    x = np.array(part["x"].tolist(), float)
+    order = np.lexsort((*x.T, part["toxic"], part["quality"]))  # sums in one order, so that all runs agree
+    x, part = x[order], part.iloc[order]
+    s, z = x[:, :k], x[:, k:]
     mean, sd = s.mean(0), s.std(0) + 1e-3
     s = (s - mean) / sd
     low_w = fit_logistic(s, 1.0 - part["quality"].to_numpy(float))
-    found = [sorted((weights[w] for w in tokens(x) if w in weights), reverse=True) for x in part["text"]]
-    z = np.array([[*f[:4], *[0.0] * (4 - len(f[:4])), float(np.sum(f))] for f in found])
     toxic_w = fit_logistic(np.hstack([z, s[:, :1]]), part["toxic"].to_numpy(float)) if weights else np.append(np.zeros(6), -20.0)
     return Model(low_w, toxic_w, (mean, sd), weights, (low / total, max(bad, 1) / total))
 
