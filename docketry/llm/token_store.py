@@ -91,8 +91,8 @@ class ChunkEncoder:
     never looks further, so the ids of a text are those of its chunks in turn; other tokenizers encode whole texts.
     """
 
-    #: Entries of the table of known chunks; when it is full, those met in one batch only go. Bounds memory only: ids never depend on it.
-    KNOWN = 900_000
+    #: Entries of the table of known chunks; when it is full, only those met again and again stay. Bounds memory only: ids never depend on it.
+    KNOWN = 1_200_000
     _odd = re.compile(r"\s[ \n]")
     _cut = re.compile(r"(?<=\S)(?=[ \n])")
     #: A run of Latin letters, then nothing or an ASCII mark or digit: a pre-tokenizer cuts between the two.
@@ -114,6 +114,7 @@ class ChunkEncoder:
                 self.width[i] = len(token) if all(ch in alphabet for ch in token) else len(token.encode())
         self.known: dict[str, bytes] = {}
         self.again: set[str] = set()
+        self.turn = 0
 
     def _chunks(self, text: str) -> list[str]:
         """Keys of chunks: without the blank that they begin with; a chunk as it stands has a blank before it."""
@@ -156,7 +157,9 @@ class ChunkEncoder:
         parts = [self._chunks(t) if t else [] for t in texts]
         seen = set().union(*parts)
         new = seen.difference(self.known)
-        self.again.update(seen.difference(new))
+        if self.turn % 8 == 0:  # enough to tell common chunks
+            self.again.update(self.known.keys() & seen)
+        self.turn += 1
         if len(self.known) + len(new) > self.KNOWN:  # keep those met again
             self.known = {k: self.known[k] for k in (self.again if len(self.again) < self.KNOWN // 2 else ())}
             self.again = set()
