@@ -38,7 +38,8 @@ _FUZZY = f"""WITH a AS (SELECT row_id, regexp_replace(lower(trim(case_number)),
 b AS (SELECT min(case_id) AS case_id, b FROM (SELECT case_id, regexp_replace(lower(trim(number)), '[\\s/.-]+', '', 'g') AS b FROM m_choices) GROUP BY b),
 ex AS (SELECT row_id, case_id, CAST(100.0 AS DOUBLE) AS score FROM a JOIN b ON a = b),
 l AS (SELECT DISTINCT a FROM a WHERE a NOT IN (SELECT b FROM b)),
-p AS (SELECT a, b, case_id FROM l JOIN b ON levenshtein(a, b) <= 3 * (length(a) + length(b)) // 20),
+q AS (SELECT a, b, case_id, levenshtein(a, b) AS v, length(a) + length(b) AS n FROM l JOIN b ON levenshtein(a, b) <= 3 * (length(a) + length(b)) // 20),
+p AS (SELECT a, b, case_id FROM q QUALIFY 1 - v / n + 1e-9 >= max(1 - 2 * v / n) OVER (PARTITION BY a)),
 s AS (SELECT a, b, case_id, 200.0::DOUBLE * {_LCS} / (length(a) + length(b)) AS score FROM p),
 t AS (SELECT a, case_id, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 85)
 SELECT row_id, case_id, score FROM ex UNION ALL SELECT row_id, case_id, score FROM t JOIN a USING (a) WHERE k = 1"""
