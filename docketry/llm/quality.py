@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import join_rows, small_batches, stored
+from docketry.llm.common import join_rows, small, small_batches, stored
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _MARKS = "!|*#%&$@<>{}[]=+~^_\\"
@@ -110,7 +110,8 @@ class Model:
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lab = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return docs.join(lab, docs["doc_id"] == lab["_id"]).select(docs["doc_id"], F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic")
+    # Labels up to a counted number are broadcast, so that texts need not be shuffled to meet them.
+    return docs.join(small(lab), docs["doc_id"] == lab["_id"]).select(docs["doc_id"], F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 4000, least_docs: int = 4) -> Model:
