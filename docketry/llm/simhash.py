@@ -57,7 +57,10 @@ def shingle_hashes(text: str | None, shingle: int, bits: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4, bits: int = 64) -> tuple[int, ...]:
     """The fingerprint as 64-bit words, lowest first: a bit is 1 if it is in over half of the hashes."""
-    h = shingle_hashes(text, shingle, bits)
+    return _majority(shingle_hashes(text, shingle, bits), bits)
+
+
+def _majority(h: np.ndarray, bits: int) -> tuple[int, ...]:
     k = bits // 8
     if not len(h):
         return (0,) * (bits // 64)
@@ -289,9 +292,231 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, bits: int = 6
     return f.join(of, "node").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row of docs with the smallest id of each component (of equal rows one)."""
-    n = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+# --- links confirmed by the texts' shingle sets ---
+
+
+def shingle_set(text: str | None, shingle: int, bits: int) -> np.ndarray:
+    """The distinct shingle hashes, ordered by their lowest 64 bits, which stand for them."""
+    h = shingle_hashes(text, shingle, bits)
+    return h[np.unique(np.ascontiguousarray(h[:, :8]).view("<u8").ravel(), return_index=True)[1]]
+
+
+def _set_fingerprints(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, node (hash of the shingle set), n (its size), fp (majority over the set) for every row."""
+    small_batches(docs.sparkSession)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        w = bits // 64
+        for b in batches:
+            sets = [shingle_set(t, shingle, bits) for t in b.column(2).to_pylist()]
+            f = np.array([_majority(h, bits) for h in sets], np.uint64).view(np.int64).ravel()
+            node = np.array([xxhash.xxh3_64_intdigest(np.ascontiguousarray(h[:, :8]).tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(f) + 1, w), pa.int32()), pa.array(f))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), lists], names=["doc_id", "text_hash", "node", "n", "fp"])
+
+    return d.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp array<long>")
+
+
+def _set_of(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """node, s (distinct shingle hashes as longs) of docs(node, text)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.ascontiguousarray(shingle_set(t, shingle, bits)[:, :8]).view("<i8").ravel() for t in b.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["node", "s"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
+
+
+#: Buckets of up to so many rows are compared by shifts of whole batches, larger ones each by itself.
+SHIFTS = 64
+#: A bucket with over so many candidates a member first gives one a member; the rest follow, between components.
+DENSE = 8
+
+
+def _candidates(w: int, k: int, near: float, bucket: int, dense: int | None):
+    """Rows (table, key, node, n, label, f0..) ordered by table and key -> rows (kind, a, b).
+
+    kind -1: nodes a and b of different labels differ in at most k bits, and their sizes allow a similarity of `near`.
+    kind -2: node a is in the dense bucket b. kind >= 0: node a is in a bucket of that table to be dealt anew.
+    dense = None: every pair of every bucket is given, whatever its size."""
+    names = ["kind", "a", "b"]
+
+    def batch_of(kind, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(a)).copy()), pa.array(a), pa.array(b)], names=names)
+
+    def close(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = _differ(x["fp"][i], x["fp"][j]) <= k
+        ok[ok] = (x["label"][i[ok]] != x["label"][j[ok]]) & (np.minimum(x["n"][i[ok]], x["n"][j[ok]]) >= near * np.maximum(x["n"][i[ok]], x["n"][j[ok]]))
+        return ok
+
+    def small(x: dict, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = np.repeat(np.arange(len(starts)), sizes)
+        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+        left = np.repeat(starts + sizes, sizes) - pos - 1
+        found = []
+        for s in range(1, SHIFTS):
+            on = left >= s
+            if not on.any():
+                break
+            pos, left, of = pos[on], left[on], of[on]
+            ok = close(x, pos, pos + s)
+            found.append((pos[ok], pos[ok] + s, of[ok]))
+        if not found:
+            return
+        i, j, of = (np.concatenate(c) for c in zip(*found, strict=True))
+        if dense is not None and len(i):
+            full = np.bincount(of, minlength=len(sizes)) > dense * sizes
+            if full.any():
+                rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[full].tolist(), sizes[full].tolist(), strict=True)])
+                yield batch_of(-2, x["node"][rows], x["key"][rows])
+                order = np.lexsort((i, j))
+                first = np.zeros(len(i), bool)
+                first[order[np.unique(j[order], return_index=True)[1]]] = True
+                keep = first | ~full[of]
+                i, j = i[keep], j[keep]
+        yield batch_of(-1, x["node"][i], x["node"][j])
+
+    def large(x: dict, at: int, n: int) -> Iterator[pa.RecordBatch]:
+        step, kept, count = max(1, (1 << 20) // n), [], 0
+        first = np.full(n, -1)
+        for a in range(0, n, step):
+            i, j = np.triu_indices(min(step, n - a), 1, n - a)
+            i, j = i + a, j + a
+            ok = close(x, i + at, j + at)
+            i, j = i[ok], j[ok]
+            if dense is None:
+                yield batch_of(-1, x["node"][i + at], x["node"][j + at])
+                continue
+            new = np.unique(j, return_index=True)
+            open_ = first[new[0]] < 0
+            first[new[0][open_]] = i[new[1][open_]]
+            count += len(i)
+            if count <= dense * n:
+                kept.append((i, j))
+        if dense is None:
+            return
+        if count <= dense * n:
+            i, j = (np.concatenate(c) for c in zip(*kept, strict=True))
+        else:
+            yield batch_of(-2, x["node"][at : at + n], x["key"][at : at + n])
+            j = np.flatnonzero(first >= 0)
+            i = first[j]
+        yield batch_of(-1, x["node"][i + at], x["node"][j + at])
+
+    def work(x: dict) -> Iterator[pa.RecordBatch]:
+        """x holds whole buckets."""
+        cut = np.flatnonzero((x["table"][1:] != x["table"][:-1]) | (x["key"][1:] != x["key"][:-1])) + 1
+        starts = np.concatenate([[0], cut])
+        sizes = np.diff(np.concatenate([starts, [len(x["key"])]]))
+        few = (sizes > 1) & (sizes <= SHIFTS)
+        if few.any():
+            yield from small(x, starts[few], sizes[few])
+        for at, n in zip(starts[sizes > SHIFTS].tolist(), sizes[sizes > SHIFTS].tolist(), strict=True):
+            if dense is not None and n > bucket:
+                yield batch_of(x["table"][at], x["node"][at : at + n], x["node"][at : at + n])
+            else:
+                yield from large(x, at, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None  # rows of the last bucket so far; the bucket whose rows pass through
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5 + w)]
+            x = dict(zip(["table", "key", "node", "n", "label"], c, strict=False)) | {"fp": np.stack([f.view(np.uint64) for f in c[5:]], axis=1)}
+            if held is not None:
+                x = {m: np.concatenate([held[m], x[m]]) for m in x}
+                held = None
+            if hot is not None:
+                same = (x["table"] == hot[0]) & (x["key"] == hot[1])
+                yield batch_of(hot[0], x["node"][same], x["node"][same])
+                x = {m: v[~same] for m, v in x.items()}
+                if not len(x["key"]):
+                    continue
+                hot = None
+            last = (x["table"] == x["table"][-1]) & (x["key"] == x["key"][-1])
+            at = len(last) - int(last.sum())
+            if at:
+                yield from work({m: v[:at] for m, v in x.items()})
+            held = {m: v[at:] for m, v in x.items()}
+            if dense is not None and len(held["key"]) > bucket:
+                hot = (held["table"][0], held["key"][0])
+                yield batch_of(hot[0], held["node"], held["node"])
+                held = None
+        if held is not None and len(held["key"]) > 1:
+            yield from work(held)
+
+    return run
+
+
+def _candidate_rows(x: DataFrame, w: int, k: int, near: float, bucket: int, dense: int | None, name: str) -> DataFrame:
+    """x: table, key, node, n, label, fp."""
+    spark = x.sparkSession
+    x = x.select("table", "key", "node", "n", "label", *[F.element_at("fp", i + 1).alias(f"f{i}") for i in range(w)])
+    small_batches(spark, 1 << 15)  # numbers only
+    out = stored(x.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_candidates(w, k, near, bucket, dense), "kind int, a long, b long"), name)
+    small_batches(spark)
+    return out
+
+
+def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22, bits: int = 128, tables: int = 64, width: int = 20, finer: tuple[int, int] = (16, 8), bucket: int = BUCKET, dense: int = DENSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fp, component_id as near_duplicates gives them, where a link is a Jaccard similarity of shingle sets of `near` or more.
+
+    Candidates are the pairs of distinct sets that share a bucket and differ in at most k bits; all of them are compared
+    by their sets, unless other links join them already. fp is the hash that stands for the whole component."""
+    spark, w = docs.sparkSession, bits // 64
+    f = stored(_set_fingerprints(docs, shingle, bits, id_col, text_col), "fingerprints")
+    classes = stored(f.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first(F.struct("doc_id", "text_hash")).alias("rep")), "classes")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+        sets = _set_of(join_rows(texts, nodes, ["doc_id", "text_hash"], "inner").dropDuplicates(["node"]), shingle, bits)
+        sets = stored(sets, "sets")
+        x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return stored(x.where(both >= F.lit(near) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "confirmed")
+
+    level = [(0, p) for p in sampled_masks(bits, tables, width)]
+    todo = classes.select(F.lit(0).alias("parent"), "node", "n", "fp")
+    pairs = thick = None
+    while level:
+        rows = [(parent, t, *_words(p, w)) for t, (parent, p) in enumerate(level)]
+        masks = spark.createDataFrame(rows, ", ".join(["parent int", "table int", *[f"m{i} long" for i in range(w)]]))
+        x = todo.join(F.broadcast(masks), "parent")
+        key = F.xxhash64("table", *[F.element_at("fp", i + 1).bitwiseAND(F.col(f"m{i}")) for i in range(w)])
+        found = _candidate_rows(x.select("table", key.alias("key"), "node", "n", F.col("node").alias("label"), "fp"), w, k, near, bucket, dense, "candidates")
+        add = lambda all_, kind: found.where(F.col("kind") == kind).select("a", "b") if all_ is None else all_.unionByName(found.where(F.col("kind") == kind).select("a", "b"))  # noqa: B023, E731
+        pairs, thick = add(pairs, -1), add(thick, -2)
+        hot = sorted(r[0] for r in found.where("kind >= 0").select("kind").distinct().collect())  # numbers of masks, not rows
+        level = [(t, p) for t in hot for p in finer_sampled(bits, *finer, level[t][1])]
+        todo = found.where("kind >= 0").select(F.col("kind").alias("parent"), F.col("a").alias("node")).join(classes.select("node", "n", "fp"), "node")
+
+    links = confirmed(pairs)
+    found = stored(connected_components(links), "members")
+    if thick.limit(1).count():
+        # What is left between the components of dense buckets.
+        x = thick.select(F.col("b").alias("key"), F.col("a").alias("node")).join(classes.select("node", "n", "fp"), "node").join(found, "node", "left")
+        x = x.select(F.lit(0).alias("table"), "key", "node", "n", F.coalesce("root", "node").alias("label"), "fp")
+        links = links.unionByName(confirmed(_candidate_rows(x, w, k, near, bucket, None, "rest").select("a", "b")))
+        found = stored(connected_components(links), "members")
+    of = classes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = of.join(least, "root").select("node", "root", "component_id")
+    return f.select("doc_id", "text_hash", "node").join(of, "node").select("doc_id", "text_hash", F.array("root").alias("fp"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float | None = None, **options) -> DataFrame:
+    """The row of docs with the smallest id of each component (of equal rows one); with `near`, links are confirmed by it."""
+    n = near_duplicates(docs, id_col=id_col, text_col=text_col, **options) if near is None else similar_groups(docs, near, id_col=id_col, text_col=text_col, **options)
     # A component that has no id at all is known by its fingerprint.
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
     kept = n.groupBy(group.alias("_g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("_m"))
@@ -302,4 +527,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Options for "a similarity of 0.8 or more on five-word shingles": such texts share at least 8/9 of their shingles, so the
 #: angle between their sums is 27 degrees, and of 128 bits about 20 differ, 4 up or down.
-SIMILAR = {"shingle": 5, "k": 22, "bits": 128, "tables": 64, "width": 20}
+SIMILAR = {"near": 0.8, "shingle": 5, "k": 22, "bits": 128, "tables": 64, "width": 20}

@@ -180,6 +180,53 @@ def test_one_of_each_and_recall(spark):
     assert simhash.one_of_each(d, **simhash.SIMILAR).columns == d.columns
 
 
+def jaccard(a, b, n=5):
+    sh = lambda t: {tuple(w[j : j + n]) for w in [t.split()] for j in range(max(1, len(w) - n + 1))}
+    return len(sh(a) & sh(b)) / len(sh(a) | sh(b))
+
+
+def edited(r, words, low, high):
+    """A copy of words whose similarity is in [low, high): words at random places are replaced until it is."""
+    c = list(words)
+    while jaccard(" ".join(words), " ".join(c)) >= high:
+        c[r.integers(0, len(c))] = f"zz{r.integers(0, 1 << 30)}"
+    return " ".join(c) if jaccard(" ".join(words), " ".join(c)) >= low else edited(r, words, low, high)
+
+
+def drawn(r, n):
+    return [f"w{x}" for x in r.integers(0, 1 << 30, n)]
+
+
+def test_one_of_each_keeps_what_is_less_similar(spark):
+    """Texts at 0.70-0.79, and short ones beside an empty text, stay; equal sets of shingles are one."""
+    r = np.random.default_rng(11)
+    texts = []
+    for _ in range(60):
+        w = drawn(r, 300)
+        texts += [" ".join(w), edited(r, w, 0.70, 0.79)]
+    texts += ["", *(" ".join(drawn(r, 6)) for _ in range(300))]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(900, "", "en", "s", 1), (901, texts[0].upper(), "en", "s", 1), (902, None, "en", "s", 1)], DOCS)
+    assert sorted(x.doc_id for x in simhash.one_of_each(d, **simhash.SIMILAR).collect()) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("limits", [{}, {"dense": 0}, {"bucket": 80, "dense": 0, "finer": (40, 4)}, {"dense": 100}])
+def test_similar_groups_are_those_of_confirmed_pairs(spark, limits):
+    """Variants of few bases in wide buckets: components of the links of 0.8, whatever the limits of a bucket are."""
+    r = np.random.default_rng(12)
+    texts = []
+    for _ in range(3):
+        w = drawn(r, 120)
+        texts += [" ".join(w)] + [edited(r, w, 0.6, 0.95) for _ in range(50)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.8:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    options = simhash.SIMILAR | {"k": 60, "tables": 24, "width": 1} | limits
+    assert {x.doc_id: x.component_id for x in simhash.similar_groups(d, **options).collect()} == dict(enumerate(root))
+
+
 # --- 4 ---
 
 
