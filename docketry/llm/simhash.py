@@ -526,5 +526,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Options for "a similarity of 0.8 or more on five-word shingles": such texts share at least 8/9 of their shingles, so the
-#: angle between their sums is 27 degrees, and of 128 bits about 20 differ, 4 up or down.
-SIMILAR = {"near": 0.8, "shingle": 5, "k": 22, "bits": 128, "tables": 64, "width": 20}
+#: angle between their sums is 27 degrees, and of 128 bits about 19.4 differ, 4 up or down; of very short texts (4 shingles of 5)
+#: 24. By the binomial and hypergeometric distributions 0.98 and 0.9 of such pairs share a bucket within k bits, and as many if
+#: all buckets are dealt anew by the `finer` masks (number, width).
+SIMILAR = {"near": 0.8, "shingle": 5, "k": 38, "bits": 128, "tables": 72, "width": 14, "finer": (32, 6)}
