@@ -32,9 +32,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "sshkey"]
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Line breaks inside armour may be escaped, as in JSON.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+_ESCAPED = re.compile(r"\\[nr]")
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{20,}={0,2}")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/=])MI[A-Za-z0-9+/]{30,}={0,2}")
+#: 0x30 is "M" and one of A-P; how long the key is, its length bytes say. Lines may be broken and indented.
+_B64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{2}")
+_B64RUN = re.compile(r"[A-Za-z0-9+/]+(?:(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)[A-Za-z0-9+/]+)*={0,2}")
+#: Bytes of the shortest key that is reported.
+_LEAST = 24
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30(?:8[1-3])?(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\0"
 
@@ -61,6 +67,41 @@ def der_fits(b: bytes, depth: int = 0) -> bool:
     return True
 
 
+def _bare_der(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 runs that begin with a whole DER sequence and end with it, or go on in another line."""
+    done = 0
+    for m in _B64.finditer(text):
+        if m.start() < done:
+            continue
+        head = base64.b64decode(m[0] + "AAAA")
+        k = head[1] & 0x7F if head[1] & 0x80 else 0
+        run = _B64RUN.match(text, m.start())
+        if k > 4:
+            continue
+        head = (_decoded("".join(_ESCAPED.sub("", run[0][:40]).split())[:8]) or b"") if k else head
+        if len(head) < 2 + k:
+            continue
+        size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+        if size < _LEAST or size > len(run[0]):
+            continue
+        # The characters that hold `size` bytes, without line breaks.
+        need, at, end = -(-size * 8 // 6), m.start(), run.end()
+        for part in re.finditer(r"\\[nr]|\s+|[A-Za-z0-9+/]+", text[m.start() : end]):
+            if part[0][0] == "\\" or part[0].isspace():
+                continue
+            take = min(need, len(part[0]))
+            need, at = need - take, m.start() + part.start() + take
+            if not need:
+                break
+        if need or (at < len(text) and re.match(r"[A-Za-z0-9+/]", text[at])):
+            continue
+        pad = re.compile("={0,2}").match(text, at).end()
+        b = _decoded(_ESCAPED.sub("", text[m.start() : pad]))
+        if b and der_fits(b):
+            done = pad
+            yield "der", m.start(), pad
+
+
 def ssh_fits(b: bytes) -> bool:
     """True if b is an SSH wire key: length-prefixed fields that fill it, the first naming a key type."""
     at, first = 0, b""
@@ -107,13 +148,13 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("jwt", *m.span()))
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            b = _decoded(m[2])
+            b = _decoded(_ESCAPED.sub("", m[2]))
             if b and (der_fits(b) or b.startswith(_OPENSSH)):
                 out.append(("pem", *m.span()))
     if "AAAA" in text:
         out += [("sshkey", *m.span()) for m in _SSH.finditer(text) if (b := _decoded(m[0])) and ssh_fits(b)]
-    if "MI" in text:
-        out += [("der", *m.span()) for m in _B64.finditer(text) if (b := _decoded(m[0])) and der_fits(b)]
+    if "M" in text:
+        out += _bare_der(text)
     if "30" in text:
         out += [("der", *m.span()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and der_fits(bytes.fromhex(m[0]))]
     return out

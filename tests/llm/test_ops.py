@@ -332,6 +332,27 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_bare_keys():
+    """Keys after '=', with short lengths, over several lines, and armour with escaped line breaks."""
+    import base64
+
+    def der(n):
+        size = bytes([n + 5]) if n + 5 < 128 else bytes([0x82]) + (n + 7).to_bytes(2, "big")
+        inner = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+        return b"\x30" + size + b"\x02\x01\x00\x04" + inner + b"k" * n
+
+    for n in (41, 60, 114, 600):
+        t = base64.b64encode(der(n)).decode()
+        wrapped = "\n".join(t[i : i + 64] for i in range(0, len(t), 64))
+        for x in (t, wrapped, wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\\n")):
+            for before, after in (("", ""), ("KEY=", ";"), ("a key: ", "\nnext line")):
+                got = [s for s in secret_scan.added_spans(before + x + after) if s[0] == "der"]
+                assert got == [("der", len(before), len(before + x))], (n, before, x[:20])
+        assert not secret_scan.added_spans(t[:-6]) and not secret_scan.added_spans("x" + t)
+        pem = "-----BEGIN PRIVATE KEY-----\n" + wrapped + "\n-----END PRIVATE KEY-----\n"
+        assert ("pem", 0, len(pem.replace("\n", "\\n")) - 2) in secret_scan.added_spans(pem.replace("\n", "\\n"))
+
+
 # --- 7 ---
 
 
