@@ -154,7 +154,8 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
     if "AAAA" in text:
         out += [("sshkey", *m.span()) for m in _SSH.finditer(text) if (b := _decoded(m[0])) and ssh_fits(b)]
     if "M" in text:
-        out += _bare_der(text)
+        armour = [(a, b) for kind, a, b in out if kind == "pem"]
+        out += [x for x in _bare_der(text) if not any(a <= x[1] and x[2] <= b for a, b in armour)]  # a PEM key is reported once
     if "30" in text:
         out += [("der", *m.span()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and der_fits(bytes.fromhex(m[0]))]
     return out
