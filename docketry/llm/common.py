@@ -14,9 +14,11 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset in local mode (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docketry-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -31,24 +33,33 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a stored table that is no longer read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        if "/docketry/" in root:
-            p = jvm.org.apache.hadoop.fs.Path(root)
-            p.getFileSystem(conf).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that are no longer read."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches hold few rows, as one text may be very long."""
+    """Arrow batches hold few rows, as one text may be very long. Results never depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_keys(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The keys beside `row`, a struct of all columns of docs: no name of docs can clash with a key. Undone by rows_of."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def rows_of(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
@@ -72,11 +83,6 @@ def join_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return out if "semi" in how or "anti" in how else out.drop(*[f"_r{i}" for i in range(len(keys))])
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast if a count shows df to have up to so many rows; otherwise as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(bits: int, *cols: Column) -> Column:
     """A uniform hash of cols cut to so many bits, never negative."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - bits)

@@ -14,7 +14,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large star: each node links its larger neighbours to the smallest of its neighbourhood. Small star: it does so
     with its smaller ones. Both keep components, and end in stars after about log(n) rounds. Minima are taken before
     rows meet, and joins are by node, so that Spark can split the rows of a node with very many links."""
-    spark = links.sparkSession
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,8 +24,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = stored(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "small")
         sums = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, new)]
-        discard(spark, large)
-        discard(spark, edges)
+        discard(large, edges)
         edges = new
         if sums[0] == sums[1]:
             break

@@ -14,28 +14,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import join_rows, prefix_sums, small, spread, stored, word_count
+from docketry.llm.common import join_rows, prefix_sums, rows_of, spread, stored, with_keys, word_count
 
 #: Buckets that the hash-random keys of a source are range-split into hold about so many rows.
 BUCKET_ROWS = 2048
 
 
-def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
-    """source, source_size, target for sizes(source, source_size): water-filling by the sources' ratios of cap to weight.
+def ranked_sources(stats: DataFrame) -> DataFrame:
+    """Adds `_i`, the place of each source (one row each) by code point, null last: a range sort, and a sum over its partitions."""
+    at = F.monotonically_increasing_id()  # partition, then row in it: fixed by the sort, and kept in the stored table
+    s = stats.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_at", at)
+    s = stored(s, "sources")
+    s = s.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    parts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    return s.join(F.broadcast(parts), "_part").withColumn("_i", F.col("_base") + F.col("_row")).drop("_at", "_part", "_row", "_base")
 
-    Holds one row for each source; the two rankings below run over that table alone."""
+
+def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float, max_rounds: int = 1000) -> DataFrame:
+    """Adds target to sizes(source, source_size, ...): shares by weight, where sources above their cap stop at it and leave the
+    rest to the others. Each round fills the sources that the level reaches: one aggregate of a few numbers, no sort over sources."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("_i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    s = s.withColumn("_w", w).withColumn("_cap", F.col("source_size") * F.lit(cap))
-    # In rising order of cap / weight, a source is full if the level reached by sharing what is left is above its ratio.
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    s = s.withColumn("_before", F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("_left_w", F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_level", (F.sum("source_size").over(every) * F.lit(share) - F.col("_before")) / F.col("_left_w"))
-    s = s.withColumn("_full", F.col("_level") * F.col("_w") >= F.col("_cap"))
-    level = F.min(F.when(~F.col("_full"), F.struct(F.col("_cap") / F.col("_w"), "_i", "_level"))).over(every)["_level"]
-    return s.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(level * F.col("_w"))).select("source", "source_size", "target")
+    s = ranked_sources(sizes).withColumn("_w", w).withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
+    level, every, n_full = 0.0, None, -1
+    for _ in range(max_rounds):
+        full = F.col("_cap") <= F.lit(level) * F.col("_w")
+        # Whole numbers sum to the same value in every order.
+        r = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("source_size"))).alias("full"), F.sum(F.when(~full, F.col("_w"))).alias("w"), F.count_if(full).alias("n")).first()
+        every = r["all"] or 0
+        if r["n"] == n_full or not r["w"]:
+            break
+        n_full, level = r["n"], (every * share - (r["full"] or 0) * float(cap)) / r["w"]
+    else:
+        raise RuntimeError(f"targets did not settle in {max_rounds} rounds")
+    full = F.col("_cap") <= F.lit(level) * F.col("_w")
+    return s.withColumn("target", F.when(full, F.col("_cap")).otherwise(F.lit(level) * F.col("_w"))).drop("_i", "_w", "_cap")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 8) -> DataFrame:
@@ -44,12 +57,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     d = stored(d.withColumn("key", spread(62, F.lit(seed), "doc_id", "text_hash")), "mix")
     stats = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    targets = source_targets(stats, list(weights), share, cap)
     # Keys are uniform, so equal key ranges are an even range split of each source, as fine as its rows need.
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_rows") / BUCKET_ROWS))).cast("int")
-    t = stored(join_rows(targets, stats.select("source", bits.alias("_bits")), ["source"]), "targets")
-    # A source may hold most rows: few sources are broadcast, so that its rows stay where they are.
-    x = d.join(small(t.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    t = stored(source_targets(stats, list(weights), share, cap).select(F.col("source").alias("_source"), "source_size", "target", bits.alias("_bits")), "targets")
+    # One small row a source: Spark broadcasts the table as long as its size allows it, and else splits what a large source holds.
+    x = d.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     x = x.withColumn("bucket", F.expr("shiftright(key, 62 - _bits)"))
     x = prefix_sums(x, ["source"], ["key", "doc_id", "text_hash"], "bucket", "size", "_before")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -63,11 +75,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     source, id_col, text_col = (options.get(k, v) for k, v in (("source_col", "source"), ("id_col", "doc_id"), ("text_col", "text")))
     mix = mix_sources(docs, **options)
     copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
-    mix = mix.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_src")).agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    key = ["_id", "_th", "_src"]
-    d = docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(F.col(text_col)), "_src": F.col(source).cast("string")})
-    one = join_rows(d, mix.where("_rows = 1 AND _copies > 0"), key, "inner").withColumn("_n", F.col("_copies"))
+    key = ["doc_id", "text_hash", "source"]
+    mix = mix.groupBy(*key).agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    d = with_keys(docs, doc_id=F.col(id_col), text_hash=F.xxhash64(F.col(text_col)), source=F.col(source).cast("string"))
+    one = join_rows(d, mix.where("rows = 1"), key, "inner").withColumn("n", F.col("copies"))
     # Equal rows (one id, text and source) deal their copies out among themselves.
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("_th"))
-    many = join_rows(d, mix.where("_rows > 1 AND _copies > 0"), key, "inner").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
-    return one.unionByName(many).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("text_hash"))
+    many = join_rows(d, mix.where("rows > 1"), key, "inner").withColumn("n", F.floor(F.col("copies") / F.col("rows")) + F.when(turn <= F.col("copies") % F.col("rows"), 1).otherwise(0))
+    return rows_of(one.unionByName(many).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))))

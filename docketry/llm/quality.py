@@ -6,13 +6,15 @@ by path, the spread of hosts around the global rate, and of paths around their h
 (method of moments), and sparse sites shrink towards the level above. A document's posterior is the evidence plus the
 log-odds of its path's shrunk rate, less that of the rate the classifier was trained at.
 
-Fitting: word counts of all labelled documents (grouped aggregation, in Spark) give the word list, at most `words` long;
-the weights are fitted on at most `sample` labelled documents, picked by hash. Both bounds are parameters. Everything
-else covers all documents.
+Fitting: at most `sample` labelled doc_ids are picked by hash, and they alone are broadcast to the documents; from those
+documents come the word list, at most `words` long (word counts by grouped aggregation), and the weights. Both bounds are
+documented parameters that bound labelled rows and the model. Everything else covers all documents.
 
 Cases: null or empty text has no evidence but its lack of words and is judged by the fitted weights; a null source or
-lang is a site of its own; repeated label rows of a document count once (its largest labels); without labels of both
-classes nothing is rejected; an empty table gives an empty result; other columns are ignored.
+lang is a site of its own; a label row with a null in any of its three columns is ignored; repeated label rows of a
+doc_id count once (its largest labels); documents that share a labelled doc_id count as one: with the words of all, and
+the style of the one whose features sort first; without labels of both classes nothing is rejected; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import join_rows, small, small_batches, stored
+from docketry.llm.common import discard, join_rows, rows_of, small_batches, stored, with_keys
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _MARKS = "!|*#%&$@<>{}[]=+~^_\\"
@@ -89,8 +91,8 @@ def word_scores(text: str, weights: dict[str, float]) -> list[float]:
 def _features(weights: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [style(t) + word_scores(t, weights) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32()), b.column(2).cast(pa.int32())], names=["x", "quality", "toxic"])
+            x = [style(t) + word_scores(t, weights) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2), b.column(3)], names=["doc_id", "x", "quality", "toxic"])
 
     return run
 
@@ -108,32 +110,37 @@ class Model:
         return float(np.append(s, 1) @ self.low), float(np.append(np.append(z, s[0]), 1) @ self.toxic)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    lab = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    # Labels up to a counted number are broadcast, so that texts need not be shuffled to meet them.
-    return docs.join(small(lab), docs["doc_id"] == lab["_id"]).select(docs["doc_id"], F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic")
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, text, quality, toxic of documents with one of `sample` labelled doc_ids, picked by hash.
+
+    Labels are reduced to one small row a doc_id; of those at most `sample` are broadcast, so no text is shuffled to meet them."""
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    picked = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return d.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality", "toxic")  # at most `sample` rows are broadcast
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 4000, least_docs: int = 4) -> Model:
-    """Fits on labelled documents. The word list: words whose share among toxic documents exceeds that among the rest
-    by the largest z-score, from counts over all labelled documents."""
+    """Fits on the sampled documents. The word list: words whose share among toxic documents exceeds that among the rest
+    by the largest z-score."""
     small_batches(docs.sparkSession)
-    lab = stored(labelled(docs, labels), "labelled")
-    n = lab.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
+    lab = stored(labelled(docs, labels, sample), "labelled")
+    of = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    n = of.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
     total, bad, low = int(n[0]), int(n[1]), int(n[2])
-    if not bad or bad == total:
-        weights: dict[str, float] = {}
-    else:
-        t = lab.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word"))
+    weights: dict[str, float] = {}
+    if 0 < bad < total:
+        t = lab.select("doc_id", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))).alias("word")).distinct()
         t = t.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= least_docs)
         rate = bad / total
         t = t.withColumn("z", (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
         top = t.where("z > 3").orderBy(F.desc("z"), "word").limit(words).collect()  # the model: at most `words` rows
         weights = {r["word"]: float(np.log((r["k"] + 0.5) / (bad + 1)) - np.log((r["n"] - r["k"] + 0.5) / (total - bad + 1))) for r in top}
-    # At most `sample` ids, then as many rows of a few numbers, reach the driver; texts stay in the tasks.
-    ids = lab.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    part = lab.join(F.broadcast(ids.distinct()), "doc_id").select("text", "quality", "toxic")
-    part = part.mapInArrow(_features(weights), "x array<double>, quality int, toxic int").toPandas()
+    # One row of a few numbers for each of at most `sample` doc_ids reaches the driver; texts stay in the tasks.
+    part = lab.mapInArrow(_features(weights), "doc_id long, x array<double>, quality int, toxic int")
+    part = part.groupBy("doc_id").agg(F.min(F.struct("x", "quality", "toxic")).alias("m")).select("m.*").toPandas()
+    discard(lab)
     k = len(STYLE)
     if not len(part) or not low or low == total:
         return Model(np.append(np.zeros(k), -20.0), np.append(np.zeros(6), -20.0), (np.zeros(k), np.ones(k)), weights, (0.5, 0.5))
@@ -182,23 +189,24 @@ def _strength(groups: DataFrame, n: str, s: str, over: Column) -> float:
 
 
 def posteriors(ev: DataFrame, rates: tuple[float, float]) -> DataFrame:
-    """Adds p_low and p_toxic. Sites are one row each; sums are of whole millionths, so that all runs agree."""
-    out = ev
-    for what, rate in zip(("low", "toxic"), rates, strict=True):
-        soft = F.round(_sigmoid(F.col(f"e_{what}")) * 1_000_000).cast("long")
-        paths = ev.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), (F.sum(soft) / 1_000_000).alias("s"))
-        paths = stored(paths, "sites")
-        hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("hn"), F.round(F.sum("s"), 6).alias("hs"))
-        total = hosts.agg(F.sum("hn"), F.round(F.sum("hs"), 6)).first()
-        overall = float(total[1]) / total[0] if total[0] else 0.5
-        k = round(_strength(hosts, "hn", "hs", F.lit(overall)), 6)
-        hosts = hosts.withColumn("hp", (F.col("hs") + F.lit(k * overall)) / (F.col("hn") + F.lit(k)))
-        sites = stored(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))), "shrunk")
-        k2 = round(_strength(sites, "n", "s", F.col("hp")), 6)
-        sites = sites.select("host", "path", ((F.col("s") + F.lit(k2) * F.col("hp")) / (F.col("n") + F.lit(k2))).alias(f"site_{what}"))
-        out = join_rows(out, sites, ["host", "path"])
-        prior = _logit(F.col(f"site_{what}")) - _logit(F.lit(float(rate)))
-        out = out.withColumn(f"p_{what}", _sigmoid(F.col(f"e_{what}") + prior))
+    """Adds site_low, site_toxic, p_low and p_toxic. Sites are one row each; sums are of whole millionths, so that all runs agree."""
+    soft = {w: F.round(_sigmoid(F.col(f"e_{w}")) * 1_000_000).cast("long") for w in ("low", "toxic")}
+    paths = stored(ev.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[(F.sum(s) / 1_000_000).alias(w) for w, s in soft.items()]), "sites")
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("hn"), *[F.round(F.sum(w), 6).alias(f"h_{w}") for w in soft])
+    total = hosts.agg(F.sum("hn"), *[F.round(F.sum(f"h_{w}"), 6) for w in soft]).first()
+    for i, w in enumerate(soft):
+        overall = float(total[i + 1]) / total[0] if total[0] else 0.5
+        k = round(_strength(hosts, "hn", f"h_{w}", F.lit(overall)), 6)
+        hosts = hosts.withColumn(f"hp_{w}", (F.col(f"h_{w}") + F.lit(k * overall)) / (F.col("hn") + F.lit(k)))
+    sites = stored(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))), "shrunk")
+    shrunk = {}
+    for w in soft:
+        k = round(_strength(sites, "n", w, F.col(f"hp_{w}")), 6)
+        shrunk[w] = (F.col(w) + F.lit(k) * F.col(f"hp_{w}")) / (F.col("n") + F.lit(k))
+    out = join_rows(ev, sites.select("host", "path", *[c.alias(f"site_{w}") for w, c in shrunk.items()]), ["host", "path"])
+    for w, rate in zip(soft, rates, strict=True):
+        out = out.withColumn(f"p_{w}", _sigmoid(F.col(f"e_{w}") + _logit(F.col(f"site_{w}")) - _logit(F.lit(float(rate)))))
+    discard(paths)
     return out
 
 
@@ -212,5 +220,6 @@ def classify(docs: DataFrame, labels: DataFrame, at: float = 0.5, **options) ->
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    bad = classify(docs, labels, **options).where("NOT keep").select("doc_id", F.col("text_hash").alias("_th")).distinct()
-    return join_rows(docs.withColumn("_th", F.xxhash64("text")), bad, ["doc_id", "_th"], "left_anti").select(*docs.columns)
+    bad = classify(docs, labels, **options).where("NOT keep").select("doc_id", "text_hash").distinct()
+    d = with_keys(docs, doc_id=F.col("doc_id").cast("long"), text_hash=F.xxhash64("text"))
+    return rows_of(join_rows(d, bad, ["doc_id", "text_hash"], "left_anti"))

@@ -43,7 +43,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,15 @@ sizes AS (SELECT DISTINCT n FROM wins),
 grams AS (SELECT rid, s, n, w[s:s + n - 1] AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n)),
 hits AS (SELECT g.rid, g.s, g.n, i.item FROM grams g JOIN wins i ON g.win = i.win),
 spots AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hits) GROUP BY rid),
+lists AS (SELECT DISTINCT win FROM wins WHERE n = 10),
+tens AS (SELECT rid, s, v[s:s + 9] AS g FROM (SELECT rid, list_append(w, '') AS v, unnest(range(1, len(w) - 7)) AS s FROM dw WHERE len(w) >= 9)),
+pairs AS (SELECT rid, s, g, win FROM tens JOIN lists ON g[1:5] = win[1:5] UNION SELECT rid, s, g, win FROM tens JOIN lists ON g[6:10] = win[6:10]),
+nears AS (SELECT rid, count(DISTINCT s) AS n_near FROM pairs WHERE len(list_filter(range(1, 11), lambda i: g[i] = win[i])) = 9
+  AND NOT EXISTS (SELECT 1 FROM hits WHERE hits.rid = pairs.rid AND hits.s = pairs.s) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid) LEFT JOIN nears USING (rid)
 """
 
 _OP8 = r"""

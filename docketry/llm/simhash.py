@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import ASCII_LOWER, ASCII_UPPER, SPACE_WORD, join_rows, small_batches, stored
+from docketry.llm.common import ASCII_LOWER, ASCII_UPPER, SPACE_WORD, discard, join_rows, rows_of, small_batches, stored, with_keys
 from docketry.llm.components import connected_components
 
 _WORDS = re.compile(SPACE_WORD.encode())
@@ -279,17 +279,25 @@ def fingerprint_links(fps: DataFrame, k: int, bits: int = 64, tables: int = 0, w
 def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, bits: int = 64, tables: int = 0, width: int = 20, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, component_id for every row: the smallest doc_id that links reach, its own included."""
     f = fingerprints(docs, shingle, bits, id_col, text_col)
-    # One long stands for a fingerprint: itself, or the hash of a wider one.
-    f = stored(f.withColumn("node", F.element_at("fp", 1) if bits == 64 else F.xxhash64("fp")), "fingerprints")
-    classes = stored(f.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "classes")
+    # One long stands for a fingerprint: itself, or the number of a wider one in the stored table.
+    f = stored(f, "fingerprints")
+    classes = f.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    if bits == 64:
+        classes = stored(classes.withColumn("node", F.element_at("fp", 1)), "classes")
+    else:
+        classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once it is stored
     links = fingerprint_links(classes, k, bits, tables, width, bucket)
-    node = (lambda c: F.element_at(c, 1)) if bits == 64 else F.xxhash64
-    found = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
+    if bits == 64:
+        links = links.select(F.element_at("a", 1).alias("a"), F.element_at("b", 1).alias("b"))
+    else:
+        of = classes.select("fp", "node")
+        links = links.join(of.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    found = connected_components(links)
     found = stored(found.join(classes.select("node", "first"), "node"), "members")
     least = found.groupBy("root").agg(F.min("first").alias("least"))
     of = found.join(least, "root").select("node", "least")
-    of = classes.join(of, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return f.join(of, "node").select("doc_id", "text_hash", "fp", "component_id")
+    of = classes.join(of, "node", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    return f.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 # --- links confirmed by the texts' shingle sets ---
@@ -519,10 +527,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = near_duplicates(docs, id_col=id_col, text_col=text_col, **options) if near is None else similar_groups(docs, near, id_col=id_col, text_col=text_col, **options)
     # A component that has no id at all is known by its fingerprint.
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    kept = n.groupBy(group.alias("_g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("_m"))
-    kept = kept.select(F.col("_m.doc_id").alias("_id"), F.col("_m.text_hash").alias("_th"))
-    d = docs.withColumns({"_th": F.xxhash64(F.col(text_col)), "_id": F.col(id_col)})
-    return join_rows(d, kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    kept = n.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("m"))
+    d = with_keys(docs, doc_id=F.col(id_col).cast("long"), text_hash=F.xxhash64(F.col(text_col)))
+    return rows_of(join_rows(d, kept.select("m.doc_id", "m.text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
 
 
 #: Options for "a similarity of 0.8 or more on five-word shingles": such texts share at least 8/9 of their shingles, so the

@@ -261,6 +261,59 @@ def test_quality_edges(spark, docs, empty):
     assert quality.kept_documents(docs, some).columns == docs.columns
 
 
+def test_quality_cases(spark):
+    """Null labels, repeated doc_ids and labels, extra columns named like the operator's own."""
+    r = np.random.default_rng(4)
+    data = [(i, ("awful " if i % 3 == 0 else "fine ") + " ".join(drawn(r, 30)), "en", f"s{i % 4}", 1, 1, 2, 3, "x") for i in range(60)]
+    data += [data[0], (3, "other text", "en", "s1", 1, 1, 2, 3, "x"), (None, None, None, None, None, None, None, None, None)]
+    d = spark.createDataFrame(data, DOCS + ", quality int, toxic int, text_hash int, row string")
+    labels = [(i, 1 if i % 5 else 0, int(i % 3 == 0)) for i in range(60)]
+    lab = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    want = rows(quality.classify(d, lab(labels)))
+    assert len(want) == len(data)
+    noisy = lab(labels + labels[:30] + [(None, 1, 1), (1, None, 1), (2, 0, None)])
+    assert rows(quality.classify(d, noisy)) == want
+    kept = quality.kept_documents(d, noisy)
+    assert kept.columns == d.columns and kept.count() == quality.classify(d, noisy).where("keep").count()
+    assert quality.classify(d, lab([(0, 1, 0)] * 5 + [(None, None, None)])).where("NOT keep").count() == 0
+
+
+def test_posteriors_model(spark):
+    """Soft counts, shrinkage and posteriors against plain Python: 50 documents, 4 hosts (one null), 3 paths."""
+    r = np.random.default_rng(5)
+    ev = [(i, i, None if i % 4 == 3 else f"h{i % 4}", ["en", "de", None][i * i % 3], float(r.normal(-1 + i % 4, 1)), float(r.normal(-3, 1))) for i in range(50)]
+    rates = (0.2, 0.1)
+    got = {x.doc_id: x for x in quality.posteriors(spark.createDataFrame(ev, "doc_id long, text_hash long, host string, path string, e_low double, e_toxic double"), rates).collect()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def logit(p):
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        return np.log(p / (1 - p))
+
+    def strength(groups):  # (n, soft count, rate of the level above)
+        n = sum(g[0] for g in groups)
+        excess = (sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - sum(g[2] * (1 - g[2]) for g in groups)) / n
+        mean = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        return min(max(mean / excess - 1, 1.0), 1e6) if excess > 0 else 1e6
+
+    for what, at, rate in (("low", 4, rates[0]), ("toxic", 5, rates[1])):
+        hosts: dict = {}
+        paths: dict = {}
+        for x in ev:
+            for table, key in ((hosts, x[2]), (paths, (x[2], x[3]))):
+                n, s = table.get(key, (0, 0.0))
+                table[key] = (n + 1, s + round(sig(x[at]) * 1e6) / 1e6)
+        overall = sum(s for _, s in hosts.values()) / 50
+        k = strength([(n, s, overall) for n, s in hosts.values()])
+        up = {h: (s + k * overall) / (n + k) for h, (n, s) in hosts.items()}
+        k = strength([(n, s, up[h]) for (h, _), (n, s) in paths.items()])
+        for x in ev:
+            n, s = paths[x[2], x[3]]
+            site = (s + k * up[x[2]]) / (n + k)
+            assert abs(got[x[0]][f"site_{what}"] - site) < 1e-5
+            assert abs(got[x[0]][f"p_{what}"] - sig(x[at] + logit(site) - logit(rate))) < 1e-5
+
+
 # --- 5 ---
 
 
@@ -282,18 +335,42 @@ def brute_hits(text, items, size):
 ITEMS = [(1, "quick brown fox jumps over the lazy dog and then it runs"), (2, "fox JUMPS"), (3, None), (4, ""), (11, "word word word"), (12, "οδοσ"), (13, "ΟΔΟΣ"), (1, "quick brown fox jumps over the lazy dog and then it runs"), (14, "a b c d e f g h i j k")]
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_decontamination(spark, docs, empty, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "SET_TERMS", limit)
+def brute_near(text, items, size, near):
+    """Positions at which some window has at least `near` of its words in place, and none all of them."""
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w = rx.findall((text or "").translate(LOW))
+    close, whole = set(), set()
+    for _, t in items:
+        iw = rx.findall((t or "").translate(LOW))
+        for s in range(max(1, len(iw) - size + 1)) if iw else ():
+            win = iw[s : s + size]
+            for p in range(len(w)):
+                same = sum(a == b for a, b in zip(w[p : p + len(win)], win, strict=False))
+                if same == len(win):
+                    whole.add(p)
+                elif same >= -(-near * len(win) // 1):
+                    close.add(p)
+    return len(close - whole)
+
+
+@pytest.mark.parametrize(("block", "near"), [(256, 0.9), (4, 0.9), (7, 0.8)])
+def test_decontamination(spark, docs, empty, monkeypatch, block, near):
+    """Also with blocks that most windows cross, and with words replaced in a passage."""
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.items_sha256, r.contaminated) for r in decontaminate.find_contamination(docs, items).collect()]
+    passage = ITEMS[0][1].split()
+    more = [(50 + i, " ".join(["start", *passage[:i], "zebra", *passage[i + 1 :], "fox jumps"])) for i in range(len(passage))] + [(90, " ".join(["quick", "unicorn", *passage[2:9], "unicorn", *passage[10:]]))]
+    data = sample() + [(i, t, "en", "s", 1) for i, t in more]
+    d = spark.createDataFrame([(*x, "w", 1) for x in data], DOCS + ", win string, block int")
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.items_sha256, r.contaminated, r.n_near) for r in decontaminate.find_contamination(d, items, near=near).collect()]
     want = []
-    for d in sample():
-        n, hit, names = brute_hits(d[1], ITEMS, 10)
-        want.append((d[0], n, hit, names, hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
+    for x in data:
+        n, hit, names = brute_hits(x[1], ITEMS, 10)
+        want.append((x[0], n, hit, names, hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, brute_near(x[1], ITEMS, 10, near)))
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    clean = decontaminate.clean_documents(docs, items)
-    assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
+    assert sum(x[-1] for x in want) > 10
+    clean = decontaminate.clean_documents(d, items)
+    assert clean.columns == d.columns and clean.count() == sum(not x[-2] for x in want)
     assert decontaminate.find_contamination(empty, items).count() == 0
     assert decontaminate.find_contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
