@@ -1,14 +1,17 @@
 """License scans (op 7), DataFrame functions only: sentence-rule recognition.
 
-Texts are cut into sentences, sentences are normalised and mapped to the identifiers of known licence sentences, and
-the sequence of identifiers of a document is matched against ordered licence rules: a rule holds where its identifiers
-follow each other, sentences that are not known aside. Of matches inside one another the longest stays.
+Texts are cut into pieces, and normalised pieces are mapped to the identifiers of known licence sentences; the sequence of
+identifiers of a document is matched against ordered licence rules: a rule holds where its identifiers follow each other,
+sentences that are not known aside. Of matches inside one another the longest stays.
 
-Normalised: lower case, every run of other than a-z and 0-9 one blank, trimmed; a sentence that begins as a copyright
-notice with a year is the sentence "copyright notice". Sentences end at line feeds, and at . ! ? ; or : before a blank.
+Normalised: lower case, every run of other than a-z and 0-9 one blank, trimmed; a piece that begins as a copyright notice
+with a year is the sentence "copyright notice". Pieces end at line feeds, at . ! ? ; or : before a blank, and after a list
+mark at a line's beginning; pieces without a letter or digit are none. A sentence may be wrapped, behind comment marks too:
+it is known where some pieces in a row read like it, from the beginning of the first to the end of the last. Of sentences
+known at one piece the longest counts.
 
 Cases: null or empty text has no sentences; repeated sentences are matched each time; every row comes back, equal rows
-with equal results; an empty table gives an empty result; other columns are ignored.
+with equal results; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,31 @@ SENTENCES = {
     "bsd-2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-4": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-5": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-6": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "mit-4": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-2": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-3": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "gpl-4": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-5": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-6": "see the gnu general public license for more details",
+    "gpl-2x": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl-23": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-23": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-23": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-1": "this library is free software",
+    "lgpl-2": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-21": "either version 2 1 of the license or at your option any later version",
+    "agpl-2": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "unlicense-1": "this is free and unencumbered software released into the public domain",
+    "unlicense-2": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib-1": "this software is provided as is without any express or implied warranty",
+    "zlib-2": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-3": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-1": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "mpl-2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-3": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "isc-1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "gpl3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl2-notice": "this work is licensed under the gnu general public license version 2",
@@ -51,7 +79,11 @@ SENTENCES = {
     "spdx-mit": "spdx license identifier mit",
     "spdx-apache": "spdx license identifier apache 2 0",
     "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
     "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-gpl2": "spdx license identifier gpl 2 0 only",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-mpl": "spdx license identifier mpl 2 0",
 }
 #: Rules in order, by licence.
 RULES = [
@@ -59,36 +91,54 @@ RULES = [
     ("Apache-2.0", ["apache-notice"]),
     ("Apache-2.0", ["spdx-apache"]),
     ("MIT", ["copyright", "mit-1", "mit-2", "mit-3"]),
+    ("MIT", ["mit-1", "mit-2", "mit-3", "mit-4"]),
     ("MIT", ["mit-1", "mit-2", "mit-3"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-line"]),
     ("MIT", ["spdx-mit"]),
+    ("BSD-3-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-4", "bsd-5", "bsd-6"]),
     ("BSD-3-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-4"]),
+    ("BSD-2-Clause", ["bsd-1", "bsd-2", "bsd-3", "bsd-5", "bsd-6"]),
     ("BSD-2-Clause", ["bsd-1", "bsd-2", "bsd-3"]),
     ("BSD-3-Clause", ["spdx-bsd3"]),
+    ("BSD-2-Clause", ["spdx-bsd2"]),
+    ("ISC", ["isc-1", "isc-2", "isc-3"]),
     ("ISC", ["isc-1"]),
+    ("ISC", ["spdx-isc"]),
     ("GPL-3.0-or-later", ["gpl-1", "gpl-2", "gpl-3v"]),
+    ("GPL-3.0-or-later", ["gpl-1", "gpl-23"]),
     ("GPL-2.0-or-later", ["gpl-1", "gpl-2", "gpl-2v"]),
+    ("GPL-2.0-only", ["gpl-1", "gpl-2x"]),
     ("GPL-3.0-or-later", ["spdx-gpl3"]),
+    ("GPL-2.0-only", ["spdx-gpl2"]),
     ("GPL-3.0-only", ["gpl3-notice"]),
     ("GPL-2.0-only", ["gpl2-notice"]),
+    ("LGPL-2.1-or-later", ["lgpl-1", "lgpl-2", "lgpl-21"]),
+    ("LGPL-3.0-or-later", ["lgpl-1", "lgpl-2", "gpl-3v"]),
+    ("LGPL-3.0-or-later", ["lgpl-1", "lgpl-23"]),
+    ("AGPL-3.0-or-later", ["gpl-1", "agpl-2", "gpl-3v"]),
+    ("AGPL-3.0-or-later", ["gpl-1", "agpl-23"]),
     ("MPL-2.0", ["mpl-1"]),
+    ("MPL-2.0", ["spdx-mpl"]),
+    ("Unlicense", ["unlicense-1", "unlicense-2"]),
+    ("Zlib", ["zlib-1", "zlib-2", "zlib-3"]),
+    ("BSL-1.0", ["boost-1"]),
+    ("BSL-1.0", ["boost-notice"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
 ]
-#: Every known sentence holds one of these, so a text without any has no known sentence.
-HINTS = ["license", "copyright", "reserved", "permission", "redistribut", "software", "licensed"]
+#: A text without any of these has no sentence by which a rule could hold.
+HINTS = ["license", "copyright", "reserved", "permission", "redistribut", "software", "mpl", "warranty"]
+#: Comment words that go at a line's beginning, list marks that a piece ends after, and other ends of pieces.
+COMMENT, LIST_MARK, END_MARK = r"(?im)^[ \t]*(?:dnl|rem)[ \t]", r"(?m)^([^A-Za-z0-9\n]*[A-Za-z0-9]{1,2}[.)])[ \t]+", r"([.!?;:])[\t\f\r ]+"
 
 
-def sentences_of(text: Column) -> Column:
-    cut = F.regexp_replace(text, r"([.!?;:])[\t\f\r ]+", "$1\n")
-    return F.filter(F.split(cut, "\n"), lambda s: F.length(s) > 0)
-
-
-def normalised(sentence: Column) -> Column:
-    s = F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
-    return F.when(s.rlike(r"^copyright( c)? [0-9]{4}( |$)"), F.lit("copyright notice")).otherwise(s)
+def pieces_of(text: Column) -> Column:
+    """The normalised pieces."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, COMMENT, ""), LIST_MARK, "$1\n"), END_MARK, "$1\n")
+    norm = F.transform(F.split(F.lower(cut), "\n"), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+    return F.filter(norm, lambda s: s != "")
 
 
 def _hinted(text: Column) -> Column:
@@ -99,28 +149,38 @@ def _hinted(text: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, hints: Column | None = None) -> DataFrame:
-    """doc_id, n_known (known sentences), n_matches, licenses (comma-joined, sorted), matches (licence:first:last sentence number)."""
+    """doc_id, n_known (known sentences), n_matches, licenses (comma-joined, sorted), matches (licence:first:last piece number)."""
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(i, s) for i, s in sentences.items()], "sid string, norm string"))
+    table = [(i, s, s.split(" ")[0], len(s), len(s.split(" "))) for i, s in sentences.items()]
+    known = F.broadcast(spark.createDataFrame(table, "sid string, norm string, opening string, chars int, words int"))  # the rule table, a fixed number of rows
     ruled = F.broadcast(spark.createDataFrame([(",".join(ids), name, len(ids)) for name, ids in rules], "seq string, license string, n int"))
     longest = max(len(ids) for _, ids in rules)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     if sentences is SENTENCES:
         hints = _hinted(F.col("text"))
-    s = (d if hints is None else d.where(hints)).select("doc_id", "text_hash", F.posexplode(sentences_of(F.col("text"))).alias("pos", "sentence"))
-    s = s.select("doc_id", "text_hash", "pos", normalised(F.col("sentence")).alias("norm")).join(known, "norm")
-    s = stored(s.select("doc_id", "text_hash", "pos", "sid").distinct(), "sentences")  # equal rows are one here
-    seq = s.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("_s"))
-    starts = seq.select("doc_id", "text_hash", "_s", F.posexplode("_s").alias("at", "one"))
-    grams = starts.select("doc_id", "text_hash", F.col("at"), F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_s") - F.col("at")))).alias("n"), "_s")
+    key = ["doc_id", "text_hash"]
+    s = (d if hints is None else d.where(hints)).select(*key, pieces_of(F.col("text")).alias("pieces"))
+    s = s.select(*key, "pieces", F.posexplode("pieces").alias("pos", "piece"))
+    notice = F.col("piece").rlike(r"^copyright( c)? [0-9]{4}( |$)")
+    s = s.withColumn("opening", F.when(notice, "copyright").otherwise(F.substring_index("piece", " ", 1))).withColumn("notice", notice).join(known, "opening")
+    # Each piece has a word at least, so a sentence of n words takes n pieces at most.
+    ahead = F.array_join(F.slice("pieces", F.col("pos") + 1, F.col("words")), "\n")
+    there = F.translate(ahead, "\n", " ").startswith(F.col("norm")) & F.substring(ahead, F.col("chars") + 1, F.lit(1)).isin("", "\n")
+    is_notice = F.col("norm") == "copyright notice"
+    last = F.col("pos") + F.when(is_notice, 0).otherwise(F.length(F.left(ahead, F.col("chars"))) - F.length(F.replace(F.left(ahead, F.col("chars")), F.lit("\n"), F.lit(""))))
+    s = s.where(F.when(is_notice, F.col("notice")).otherwise(there)).select(*key, "pos", last.cast("int").alias("last"), "sid", "chars")
+    s = s.groupBy(*key, "pos").agg(F.max_by(F.struct("last", "sid"), F.struct("chars", "sid")).alias("s"))  # equal rows are one here
+    s = stored(s.select(*key, "pos", "s.last", "s.sid"), "sentences")
+    seq = s.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "last", "sid"))).alias("_s"))
+    starts = seq.select(*key, "_s", F.posexplode("_s").alias("at", "one"))
+    grams = starts.select(*key, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_s") - F.col("at")))).alias("n"), "_s")
     grams = grams.withColumn("_g", F.slice("_s", F.col("at") + 1, F.col("n"))).withColumn("seq", F.array_join(F.col("_g.sid"), ",")).drop("_s", "n")
     m = grams.join(ruled, "seq").withColumn("end", F.col("at") + F.col("n"))
-    before = Window.partitionBy("doc_id", "text_hash").orderBy("at", F.desc("end"), "license").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("at", F.desc("end"), "license").rowsBetween(Window.unboundedPreceding, -1)
     m = m.withColumn("_seen", F.max("end").over(before)).where(F.col("_seen").isNull() | (F.col("end") > F.col("_seen")))
-    span = F.struct(F.element_at("_g.pos", 1).alias("first"), F.element_at("_g.pos", -1).alias("last"), "license")
-    m = m.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_matches"), F.array_sort(F.collect_set("license")).alias("_names"), F.array_sort(F.collect_list(span)).alias("_spans"))
-    counts = s.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_known"))
-    key = ["doc_id", "text_hash"]
+    span = F.struct(F.element_at("_g.pos", 1).alias("first"), F.element_at("_g.last", -1).alias("last"), "license")
+    m = m.groupBy(*key).agg(F.count(F.lit(1)).alias("n_matches"), F.array_sort(F.collect_set("license")).alias("_names"), F.array_sort(F.collect_list(span)).alias("_spans"))
+    counts = s.groupBy(*key).agg(F.count(F.lit(1)).alias("n_known"))
     out = join_rows(d.select(*key), join_rows(counts, m, key), key)
     spans = F.transform("_spans", lambda x: F.concat_ws(":", x["license"], x["first"].cast("string"), x["last"].cast("string")))
     return out.select("doc_id", F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce(F.array_join("_names", ","), F.lit("")).alias("licenses"), F.coalesce(F.array_join(spans, ","), F.lit("")).alias("matches"))

@@ -2,7 +2,8 @@
 
 Aho-Corasick finds all magic bytes of a value in one pass; a validator for each format confirms the structure and
 its length. A value that is one whole medium gets that medium's type, whatever was declared; media found further in are
-carved out with their spans. Values are bytes; each is judged by itself, in Arrow batches.
+carved out with their spans. Values are bytes; each is judged by itself, in Arrow batches. What several starts would search
+for again (ends of PDF and ZIP, chains of chunks and blocks) is found once a value, so time grows with a value's length.
 
 Cases: null or empty bytes are type "empty"; bytes that no validator confirms keep the declared type; of overlapping
 finds the leftmost, then longest, is carved; repeated rows give repeated results; other columns are ignored.
@@ -11,6 +12,7 @@ finds the leftmost, then longest, is carved; repeated rows give repeated results
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,81 +24,130 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import small_batches, stored
 
-# Each validator takes the bytes and a start and returns the end of a well-formed medium there, or None.
 
 
-def _png(b: bytes, at: int) -> int | None:
-    at += 8
-    while at + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, at)
-        end = at + 12 + n
-        if end > len(b) or zlib.crc32(b[at + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return None
-        if kind == b"IEND":
-            return end
-        at = end
-    return None
+class Value:
+    """The bytes of a value, with what has been found out about it so far."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.dead: dict[str, set[int]] = {}
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def walk(self, name: str, at: int, step: Callable[[int], tuple[str, int]]) -> int | None:
+        """Follows step from place to place until it says "end" (then that place) or "no". Places that led nowhere are kept,
+        but for the first ones, which are as many as there are starts."""
+        dead, seen = self.dead.setdefault(name, set()), []
+        while at not in dead:
+            says, at = step(at)
+            if says == "end":
+                return at
+            if says == "no":
+                break
+            seen.append(at)
+        dead.update(seen)
+        return None
+
+    def last_ends(self, name: str, find: Callable[[bytes], Iterator[tuple[int, int]]]) -> dict[int, int]:
+        """start -> the last end that belongs to it, from one pass over the value."""
+        if name not in self.ends:
+            found: dict[int, int] = {}
+            for start, end in find(self.b):
+                found[start] = max(end, found.get(start, 0))
+            self.ends[name] = found
+        return self.ends[name]
 
 
-def _riff(form: bytes) -> Callable[[bytes, int], int | None]:
-    def check(b: bytes, at: int) -> int | None:
+# Each validator takes a value and a start and returns the end of a well-formed medium there, or None.
+
+
+def _png(v: Value, at: int) -> int | None:
+    b = v.b
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+
+    def chunk(p: int) -> tuple[str, int]:
+        if p + 12 > len(b):
+            return "no", p
+        n, kind = struct.unpack_from(">I4s", b, p)
+        end = p + 12 + n
+        if end > len(b) or zlib.crc32(memoryview(b)[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+            return "no", p
+        return ("end" if kind == b"IEND" else "on"), end
+
+    return v.walk("png", at + 8, chunk)
+
+
+def _riff(form: bytes) -> Callable[[Value, int], int | None]:
+    def check(v: Value, at: int) -> int | None:
+        b = v.b
         if at + 12 > len(b) or b[at + 8 : at + 12] != form:
             return None
-        end, chunk = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12
+        end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
         if end > len(b):
             return None
-        while chunk < end:
-            if chunk + 8 > end:
-                return None
-            n = struct.unpack_from("<I", b, chunk + 4)[0]
-            chunk += 8 + n + (n & 1)
-        return end if chunk in (end, end + 1) else None
+
+        def chunk(p: int) -> tuple[str, int]:
+            if p in (end, end + 1):
+                return "end", end
+            if p + 8 > end:
+                return "no", p
+            n = struct.unpack_from("<I", b, p + 4)[0]
+            return "on", p + 8 + n + (n & 1)
+
+        return v.walk(f"riff{end}", at + 12, chunk)
 
     return check
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    at += 2
-    while at + 4 <= len(b):
-        if b[at] != 0xFF:
-            return None
-        if (kind := b[at + 1]) == 0xD9:
-            return at + 2
-        if kind == 0xDA:
-            while (at := b.find(b"\xff", at + 1)) >= 0:
-                if at + 1 < len(b) and b[at + 1] != 0 and not 0xD0 <= b[at + 1] <= 0xD7:
-                    break
-            if at < 0:
-                return None
-            continue
-        n = struct.unpack_from(">H", b, at + 2)[0]
-        if n < 2:
-            return None
-        at += 2 + n
-    return at + 2 if b[at : at + 2] == b"\xff\xd9" else None
+def _jpeg(v: Value, at: int) -> int | None:
+    b = v.b
 
+    def segment(p: int) -> tuple[str, int]:
+        if b[p : p + 2] == b"\xff\xd9":
+            return "end", p + 2
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return "no", p
+        if b[p + 1] == 0xDA:  # the scan's data lasts until a marker that is not part of it
+            m = _MARKER.search(b, p + 2)
+            return ("on", m.start()) if m else ("no", p)
+        n = struct.unpack_from(">H", b, p + 2)[0]
+        return ("on", p + 2 + n) if n >= 2 else ("no", p)
 
-def _gif(b: bytes, at: int) -> int | None:
-    if at + 13 > len(b):
-        return None
-    at += 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while at < len(b):
-        kind, at = b[at], at + 1
-        if kind == 0x3B:
-            return at
-        if kind == 0x21:
-            at += 1
-        elif kind == 0x2C and at + 9 <= len(b):
-            at += 10 + (3 << ((b[at + 8] & 7) + 1) if b[at + 8] & 0x80 else 0)
-        else:
-            return None
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        at += 1
-    return None
+    return v.walk("jpeg", at + 2, segment)
+
+
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
+    b = v.b
+    if at + 13 > len(b):
+        return None
+    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+    def block(p: int) -> tuple[str, int]:
+        """Places below zero are sub-blocks, others the beginnings of blocks."""
+        if p < 0:
+            q = ~p
+            if q >= len(b):
+                return "no", p
+            return "on", q + 1 if not b[q] else ~(q + 1 + b[q])
+        if p >= len(b):
+            return "no", p
+        if b[p] == 0x3B:
+            return "end", p + 1
+        if b[p] == 0x21:
+            return "on", ~(p + 2)
+        if b[p] == 0x2C and p + 10 <= len(b):
+            return "on", ~(p + 11 + table(b[p + 9]))
+        return "no", p
+
+    return v.walk("gif", at + 13 + table(b[at + 10]), block)
+
+
+def _bmp(v: Value, at: int) -> int | None:
+    b = v.b
     if at + 30 > len(b):
         return None
     size, _, offset, head = struct.unpack_from("<IIII", b, at + 2)
@@ -104,20 +155,47 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if head in (40, 52, 56, 108, 124) and planes == 1 and depth in (1, 4, 8, 16, 24, 32) and 54 <= offset <= size <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > at and b.find(b"startxref", at, end) > 0 else None
+_PDF_END = re.compile(rb"startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF")
+_PDF_TABLE = re.compile(rb"(?<!start)xref\b|\b\d{1,10} \d{1,5} obj\b")
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note if at + offset + size == end and end + 22 + note <= len(b) else None
+def _pdf_ends(b: bytes) -> Iterator[tuple[int, int]]:
+    """Each end names the offset of its table: the last table or object before it, so the start is known. Later ends are updates."""
+    tables, last = _PDF_TABLE.finditer(b), {}
+    ahead = next(tables, None)
+    for m in _PDF_END.finditer(b):
+        while ahead and ahead.start() < m.start():
+            last[ahead[0] == b"xref"] = ahead.start()
+            ahead = next(tables, None)
+        for at in last.values():
+            yield at - int(m[1]), m.end()
+
 
+def _pdf(v: Value, at: int) -> int | None:
+    end = v.last_ends("pdf", _pdf_ends).get(at)
+    return end if end and end > at else None
 
-def _gzip(b: bytes, at: int) -> int | None:
+
+def _zip_ends(b: bytes) -> Iterator[tuple[int, int]]:
+    """Each end record names the size and offset of its directory, so the start is known."""
+    at = b.find(b"PK\x05\x06")
+    while at >= 0:
+        if at + 22 <= len(b):
+            size, offset, note = struct.unpack_from("<IIH", b, at + 12)
+            start, end = at - size - offset, at + 22 + note
+            if start >= 0 and end <= len(b) and (not size or b[at - size : at - size + 4] == b"PK\x01\x02"):
+                yield start, end
+        at = b.find(b"PK\x05\x06", at + 1)
+
+
+def _zip(v: Value, at: int) -> int | None:
+    return v.last_ends("zip", _zip_ends).get(at)
+
+
+def _gzip(v: Value, at: int) -> int | None:
+    b = v.b
+    if at + 18 > len(b) or b[at + 3] & 0xE0 or b[at + 8] not in (0, 2, 4) or (b[at + 9] > 13 and b[at + 9] != 255):
+        return None
     d = zlib.decompressobj(31)
     try:
         left = memoryview(b)[at:]
@@ -130,7 +208,7 @@ def _gzip(b: bytes, at: int) -> int | None:
 
 
 #: Magic bytes of the formats, their media types and validators.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Value, int], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"GIF87a", "image/gif", _gif),
@@ -158,21 +236,30 @@ def _automaton():
 
 
 def sniff(b: bytes) -> list[tuple[str, int, int]]:
-    """(type, start, end) of each confirmed medium: the whole value first if it is one, then those inside it."""
-    found = []
+    """(type, start, end) of each confirmed medium: the whole value first if it is one, then those inside it, leftmost first."""
+    v, out, free = Value(b), [], 0
+    here: list[tuple[int, str, int]] = []
+
+    def take() -> None:
+        """Of the media that begin at one place, the longest."""
+        nonlocal free
+        end, kind, start = max(here)
+        here.clear()
+        if start == 0 and end == len(b) and not out:
+            out.append((kind, start, end))
+        elif start >= free:
+            out.append((kind, start, end))
+            free = end
+
     for last, (n, kinds) in _automaton().iter(b.decode("latin-1")):
         start = last - n + 1
-        for kind, check in kinds:
-            if (end := check(b, start)) is not None:
-                found.append((kind, start, end))
-    found.sort(key=lambda x: (x[1], -x[2]))
-    out, free = [], 0
-    for x in found:
-        if x[1] == 0 and x[2] == len(b) and not out:
-            out.append(x)
-        elif x[1] >= free:
-            out.append(x)
-            free = x[2]
+        if here and here[0][2] != start:
+            take()
+        if start < free:
+            continue
+        here += [(end, kind, start) for kind, check in kinds if (end := check(v, start)) is not None]
+    if here:
+        take()
     return out
 
 

@@ -116,18 +116,23 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j W
 
 def _op7() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(i)}, {quote(s)})" for i, s in licenses.SENTENCES.items())
+    known = ", ".join(f"({quote(i)}, {quote(s)}, {len(s)}, {len(s.split(' '))})" for i, s in licenses.SENTENCES.items())
     rules = ", ".join(f"({quote(','.join(ids))}, {quote(name)}, {len(ids)})" for name, ids in licenses.RULES)
+    longest = max(len(ids) for _, ids in licenses.RULES)
     return rf"""
-WITH known AS (SELECT * FROM (VALUES {known}) AS v(sid, norm)), rules AS (SELECT * FROM (VALUES {rules}) AS v(seq, license, n)),
+WITH known AS (SELECT * FROM (VALUES {known}) AS v(sid, norm, chars, words)), rules AS (SELECT * FROM (VALUES {rules}) AS v(seq, license, n)),
 d AS (SELECT doc_id, row_number() OVER () AS rid, text FROM documents),
-c AS (SELECT rid, list_filter(string_split(regexp_replace(text, '([.!?;:])[\t\f\r ]+', '\1' || chr(10), 'g'), chr(10)), lambda x: length(x) > 0) AS s FROM d),
-e AS (SELECT rid, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM c),
-f AS (SELECT rid, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS raw FROM e),
-k AS (SELECT rid, pos, sid, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS at
-  FROM f JOIN known ON known.norm = CASE WHEN regexp_matches(raw, '^copyright( c)? [0-9]{{4}}( |$)') THEN 'copyright notice' ELSE raw END),
-g AS (SELECT a.rid, a.at, a.pos AS first, b.pos AS last, b.at + 1 AS fin, (SELECT string_agg(x.sid, ',' ORDER BY x.at) FROM k x WHERE x.rid = a.rid AND x.at BETWEEN a.at AND b.at) AS seq
-  FROM k a JOIN k b ON a.rid = b.rid AND b.at BETWEEN a.at AND a.at + 4),
+c AS (SELECT rid, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(regexp_replace(text, '{licenses.COMMENT}', '', 'g'), '{licenses.LIST_MARK}', '\1' || chr(10), 'g'), '{licenses.END_MARK}', '\1' || chr(10), 'g')), chr(10)),
+  lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM d),
+e AS (SELECT rid, s, unnest(s) AS piece, unnest(range(len(s))) AS pos FROM c),
+j AS (SELECT rid, pos, sid, chars, CASE WHEN sid = 'copyright' THEN 'x' ELSE array_to_string(s[pos + 1:pos + words], chr(10)) END AS ahead, norm
+  FROM e JOIN known ON CASE WHEN regexp_matches(piece, '^copyright( c)? [0-9]{{4}}( |$)') THEN 'copyright' ELSE string_split(piece, ' ')[1] END = string_split(norm, ' ')[1]
+  AND (sid <> 'copyright' OR regexp_matches(piece, '^copyright( c)? [0-9]{{4}}( |$)'))),
+h AS (SELECT rid, pos, pos + CASE WHEN sid = 'copyright' THEN 0 ELSE len(string_split(left(ahead, chars), chr(10))) - 1 END AS last, sid, row_number() OVER (PARTITION BY rid, pos ORDER BY chars DESC, sid DESC) AS b
+  FROM j WHERE sid = 'copyright' OR (starts_with(replace(ahead, chr(10), ' '), norm) AND substr(ahead, chars + 1, 1) IN ('', chr(10)))),
+k AS (SELECT rid, pos, last, sid, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS at FROM h WHERE b = 1),
+g AS (SELECT a.rid, a.at, a.pos AS first, b.last AS last, b.at + 1 AS fin, (SELECT string_agg(x.sid, ',' ORDER BY x.at) FROM k x WHERE x.rid = a.rid AND x.at BETWEEN a.at AND b.at) AS seq
+  FROM k a JOIN k b ON a.rid = b.rid AND b.at BETWEEN a.at AND a.at + {longest - 1}),
 m AS (SELECT g.*, license, max(fin) OVER (PARTITION BY rid ORDER BY g.at, fin DESC, license ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g JOIN rules USING (seq)),
 o AS (SELECT rid, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
   string_agg(license || ':' || first || ':' || last, ',' ORDER BY first, last, license) AS matches FROM m WHERE seen IS NULL OR fin > seen GROUP BY rid),

@@ -1,9 +1,11 @@
 """Secret scans (op 6): patterns find candidates, structure confirms them.
 
 Base kinds are the three patterns below. The method adds kinds that are reported only when their structure holds:
-jwt (three base64url parts, the first two JSON objects, the first naming an algorithm), pem (armour whose base64
-decodes to DER), der (bare base64 or hex that decodes to a DER sequence whose nested lengths all fit) and sshkey
-(base64 or armour of an SSH wire key, whose length-prefixed fields fill it).
+jwt (three base64url parts, the first two JSON objects, the first naming an algorithm), pem (armour, with or without
+headers, whose base64 decodes to a private key), der (bare base64 or hex that decodes to one) and sshkey (base64 of an
+SSH wire key, whose length-prefixed fields fill it). A DER private key is one whose nested lengths all fit, in the octet
+strings that hold a key too, and that is not a certificate, a request for one or a public key; an OpenSSH private key is
+parsed field by field; armour under an encryption header holds whole cipher blocks.
 
 Offsets are code points of the whole text, ends exclusive. Base spans are always kept; added ones follow them by start.
 Cases: null or empty text has no spans; copies of a text have the same spans; other columns are ignored.
@@ -33,12 +35,13 @@ KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "sshkey"]
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Line breaks inside armour may be escaped, as in JSON.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\[nr])*(?:[A-Za-z][A-Za-z0-9-]*: [^\n\\]*(?:\r?\n|(?:\\r)?\\n))*)((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 _ESCAPED = re.compile(r"\\[nr]")
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{20,}={0,2}")
 #: 0x30 is "M" and one of A-P; how long the key is, its length bytes say. Lines may be broken and indented.
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{2}")
 _B64RUN = re.compile(r"[A-Za-z0-9+/]+(?:(?:[ \t]*\r?\n[ \t]*|(?:\\r)?\\n)[A-Za-z0-9+/]+)*={0,2}")
+_LINE = re.compile(r"\\[nr]|\s+|[A-Za-z0-9+/]+")
 #: Bytes of the shortest key that is reported.
 _LEAST = 24
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30(?:8[1-3])?(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
@@ -67,37 +70,97 @@ def der_fits(b: bytes, depth: int = 0) -> bool:
     return True
 
 
+def _elements(b: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the elements that fill b; b's lengths must fit."""
+    out, at = [], 0
+    while at + 2 <= len(b):
+        tag, size, at = b[at], b[at + 1], at + 2
+        if size & 0x80:
+            k = size & 0x7F
+            size, at = int.from_bytes(b[at : at + k], "big"), at + k
+        out.append((tag, b[at : at + size]))
+        at += size
+    return out
+
+
+#: Object identifiers of RSA and of keys on elliptic curves, whose octet string holds a DER key.
+_NESTED = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"))
+
+
+def der_secret(b: bytes) -> bool:
+    """True if b is a DER sequence that fits and is not a certificate, a request or a public key; a key held in an octet string must fit too."""
+    if not der_fits(b):
+        return False
+    parts = _elements(_elements(b)[0][1])
+    tags = [t for t, _ in parts]
+    if tags == [0x30, 0x30, 0x03] or tags == [0x30, 0x03]:
+        return False
+    if tags[:2] == [0x02, 0x02] and len(tags) == 2:  # a bare RSA public key: modulus and exponent
+        return False
+    if tags[:3] == [0x02, 0x30, 0x04]:
+        name = next((v for t, v in _elements(parts[1][1]) if t == 0x06), b"")
+        return der_fits(parts[2][1]) if name in _NESTED else True
+    return True
+
+
+def _fields(b: bytes, at: int, n: int) -> int | None:
+    """Where n length-prefixed fields end."""
+    for _ in range(n):
+        if at + 4 > len(b):
+            return None
+        at += 4 + int.from_bytes(b[at : at + 4], "big")
+        if at > len(b):
+            return None
+    return at
+
+
+def openssh_fits(b: bytes) -> bool:
+    """True if b is an OpenSSH private key: cipher, derivation and its options, a number of public keys, the keys, the private part."""
+    if not b.startswith(_OPENSSH) or (at := _fields(b, len(_OPENSSH), 3)) is None or at + 4 > len(b):
+        return False
+    n = int.from_bytes(b[at : at + 4], "big")
+    return 1 <= n <= 64 and _fields(b, at + 4, n + 1) == len(b)
+
+
+def pem_secret(label: str, headers: str, body: str) -> bool:
+    b = _decoded(_ESCAPED.sub("", body))
+    if not b or "CERTIFICATE" in label or "PUBLIC" in label:
+        return False
+    if "ENCRYPTED" in headers and "DEK-Info" in headers:
+        return len(b) % 8 == 0
+    return der_secret(b) or openssh_fits(b)
+
+
 def _bare_der(text: str) -> Iterator[tuple[str, int, int]]:
     """Base64 runs that begin with a whole DER sequence and end with it, or go on in another line."""
-    done = 0
+    done, end = 0, -1
     for m in _B64.finditer(text):
         if m.start() < done:
             continue
-        head = base64.b64decode(m[0] + "AAAA")
-        k = head[1] & 0x7F if head[1] & 0x80 else 0
-        run = _B64RUN.match(text, m.start())
-        if k > 4:
-            continue
-        head = (_decoded("".join(_ESCAPED.sub("", run[0][:40]).split())[:8]) or b"") if k else head
-        if len(head) < 2 + k:
+        if m.start() >= end:  # a run that begins inside another one ends with it
+            end = _B64RUN.match(text, m.start()).end()
+        head = _decoded("".join(_ESCAPED.sub("", text[m.start() : min(end, m.start() + 64)]).split())[:16].rstrip("=")) or b""
+        k = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+        # A key of 64 KB or more there is none; it begins with its version, or with the name of what it is encrypted by.
+        if k > 2 or len(head) < 5 + k or not (head[2 + k : 4 + k] == b"\x02\x01" and head[4 + k] <= 3 or head[2 + k] == 0x30):
             continue
         size = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
-        if size < _LEAST or size > len(run[0]):
+        if size < _LEAST or size > end - m.start():
             continue
         # The characters that hold `size` bytes, without line breaks.
-        need, at, end = -(-size * 8 // 6), m.start(), run.end()
-        for part in re.finditer(r"\\[nr]|\s+|[A-Za-z0-9+/]+", text[m.start() : end]):
+        need, at = -(-size * 8 // 6), m.start()
+        for part in _LINE.finditer(text, m.start(), end):
             if part[0][0] == "\\" or part[0].isspace():
                 continue
             take = min(need, len(part[0]))
-            need, at = need - take, m.start() + part.start() + take
+            need, at = need - take, part.start() + take
             if not need:
                 break
         if need or (at < len(text) and re.match(r"[A-Za-z0-9+/]", text[at])):
             continue
         pad = re.compile("={0,2}").match(text, at).end()
         b = _decoded(_ESCAPED.sub("", text[m.start() : pad]))
-        if b and der_fits(b):
+        if b and der_secret(b):
             done = pad
             yield "der", m.start(), pad
 
@@ -147,17 +210,14 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
             if h is not None and isinstance(h.get("alg"), str) and _json(claims) is not None and (h["alg"].lower() == "none" or _decoded(sign)):
                 out.append(("jwt", *m.span()))
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            b = _decoded(_ESCAPED.sub("", m[2]))
-            if b and (der_fits(b) or b.startswith(_OPENSSH)):
-                out.append(("pem", *m.span()))
+        out += [("pem", *m.span()) for m in _PEM.finditer(text) if pem_secret(m[1], m[2], m[3])]
     if "AAAA" in text:
         out += [("sshkey", *m.span()) for m in _SSH.finditer(text) if (b := _decoded(m[0])) and ssh_fits(b)]
     if "M" in text:
-        armour = [(a, b) for kind, a, b in out if kind == "pem"]
-        out += [x for x in _bare_der(text) if not any(a <= x[1] and x[2] <= b for a, b in armour)]  # a PEM key is reported once
+        armour = [m.span() for m in _PEM.finditer(text)] if "-----BEGIN " in text else []
+        out += [x for x in _bare_der(text) if not any(a <= x[1] and x[2] <= b for a, b in armour)]  # what armour holds is judged with it
     if "30" in text:
-        out += [("der", *m.span()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and der_fits(bytes.fromhex(m[0]))]
+        out += [("der", *m.span()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and der_secret(bytes.fromhex(m[0]))]
     return out
 
 
