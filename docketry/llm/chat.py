@@ -191,5 +191,4 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
 
 def chat_output(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     """Formats, stores in the shared folder, and reads back."""
-    small_batches(rows.sparkSession, 64)
     return digest_conversations(stored(format_conversations(rows, tokenizer_path), "chat"))

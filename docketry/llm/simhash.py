@@ -491,7 +491,9 @@ def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22,
         sets = stored(sets, "sets")
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return stored(x.where(both >= F.lit(near) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "confirmed")
+        out = stored(x.where(both >= F.lit(near) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "confirmed")
+        discard(pairs, sets)
+        return out
 
     level = [(0, p) for p in sampled_masks(bits, tables, width)]
     todo = classes.select(F.lit(0).alias("parent"), "node", "n", "fp")

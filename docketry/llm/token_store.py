@@ -10,6 +10,7 @@ doc_ids keep all their rows, ordered by text; an empty table gives an empty stor
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import zlib
@@ -184,7 +185,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-BLOCK_SCHEMA = "part int, block int, start_in_part long, n_docs int, n_null int, n_tokens long, unit int, first_id long, ids binary, ends binary, doc_ids binary"
+BLOCK_SCHEMA = "part int, block int, start_in_part long, n_docs int, n_null int, n_tokens long, unit int, first_id long, last_id long, ids binary, ends binary, doc_ids binary"
 
 
 def _pack(path: str, end_id: int, block_ids: int):
@@ -200,9 +201,9 @@ def _pack(path: str, end_id: int, block_ids: int):
             nonlocal block, start, held
             ends = np.cumsum([len(r) // unit for r in rows], dtype=np.int64)
             named = np.array([k for k in keys if k is not None], np.int64)
-            first = int(named[0]) if len(named) else None
-            row = [part, block, start, len(keys), len(keys) - len(named), int(ends[-1]), unit, first, b"".join(rows), EliasFano.encode(ends).to_bytes(), EliasFano.encode(named.view(np.uint64) - np.uint64(named[:1].view(np.uint64)[0]) if len(named) else named).to_bytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            first, final = (int(named[0]), int(named[-1])) if len(named) else (None, None)
+            row = [part, block, start, len(keys), len(keys) - len(named), int(ends[-1]), unit, first, final, b"".join(rows), EliasFano.encode(ends).to_bytes(), EliasFano.encode(named.view(np.uint64) - np.uint64(named[:1].view(np.uint64)[0]) if len(named) else named).to_bytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
             out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
             block, start, held = block + 1, start + row[5], 0
@@ -248,15 +249,53 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files. Only one total per write task is broadcast."""
+def _with_base(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks with `base`, the ids of all blocks before them. Only one total per write task is broadcast."""
     names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).select(*names)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("_base"))
-    with_base = blocks.join(F.broadcast(parts), "part").withColumn("base", F.col("_base") + F.col("start_in_part")).drop("_base")
-    return with_base.mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(F.broadcast(parts), "part").withColumn("base", F.col("_base") + F.col("start_in_part")).drop("_base")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
+    return _with_base(spark, path).mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _find(wanted: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, list[int]]] = []
+            for i in range(b.num_rows):
+                c = {n: b.column(n)[i] for n in b.schema.names}
+                ids = np.frombuffer(c["ids"].as_buffer(), {2: "<u2", 4: "<u4"}[c["unit"].as_py()])
+                ends, keys = EliasFano.from_bytes(c["ends"].as_py()), EliasFano.from_bytes(c["doc_ids"].as_py())
+                first, last, nulls, base = (c[n].as_py() for n in ("first_id", "last_id", "n_null", "base"))
+                for w in wanted:
+                    if not first <= w <= last:
+                        continue
+                    at = bisect.bisect_left(range(keys.n), w - first, key=keys.select)
+                    while at < keys.n and keys.select(at) == w - first:
+                        d = nulls + at
+                        start = ends.select(d - 1) if d else 0
+                        out.append((w, base + start, ids[start : ends.select(d)].tolist()))
+                        at += 1
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+
+    return run
+
+
+def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, start, ids of the documents with one of a few doc_ids: blocks are pruned by their range of doc_ids, and the
+    document and its bounds are found in them by select, without decoding the rest."""
+    wanted = sorted(set(doc_ids))
+    hit = F.lit(False)
+    for w in wanted:
+        hit = hit | F.lit(w).between(F.col("first_id"), F.col("last_id"))
+    return _with_base(spark, path).where(hit).mapInArrow(_find(wanted), "doc_id long, start long, ids array<long>")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:

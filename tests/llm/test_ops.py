@@ -64,6 +64,17 @@ def test_token_store(spark, docs, empty):
     assert token_store.token_output(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_find_documents(spark, docs):
+    """Documents found by select in their blocks: repeated ids, ids that no document has, beside null ids."""
+    e = token_store.encoder(queries.tokenizer_path())
+    path = token_store.write_store(docs, queries.tokenizer_path(), token_store.scratch_path(spark, "find"), block_ids=50)
+    starts = {(r.doc_id, r.start): r.n_tokens for r in token_store.read_store(spark, path).collect()}
+    got = token_store.find_documents(spark, path, [0, 3, 7, 10, 99]).collect()
+    texts = {(d[0], tuple([*e.model.encode(d[1] or "", add_special_tokens=False).ids, 0])) for d in sample()}
+    assert sorted(r.doc_id for r in got) == [0, 0, 3, 7, 10]
+    assert all(starts[r.doc_id, r.start] == len(r.ids) and (r.doc_id, tuple(r.ids)) in texts for r in got)
+
+
 # --- 2 ---
 
 
