@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.sources.tables import checkpointed
+
 
 def accessible_cases(cases: DataFrame, access: DataFrame, edit: bool = False) -> DataFrame:
     """(user_id, case_id) pairs: owners, and those granted access (to edit, if asked). A union of key sets, no OR-join."""
@@ -50,8 +50,17 @@ def assistants_for_owner(users: DataFrame, cases: DataFrame, access: DataFrame,
     return x.join(users.where(F.col("role") == role).select(F.col("id").alias("user_id")), "user_id", "left_semi").select("lawyer_id", "user_id")
 
 
-def upsert(base: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """Rows of base with those of new put over them; columns in keep stay as they are on update (if base has them)."""
+def last_of(new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row a key: the last by `order`, or, where there is no order, the largest row."""
+    rest = F.struct(*[F.col(c) for c in new.columns if c not in keys])
+    row = F.max_by(rest, F.struct(F.col(order), rest)) if order else F.max(rest)
+    return new.groupBy(*keys).agg(row.alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in new.columns])
+
+
+def upsert(base: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (), order: str | None = None) -> DataFrame:
+    """Rows of base with those of new put over them; columns in keep stay as they are on update (if base has them). Of rows of
+    new with one key the last by `order` counts."""
+    new = last_of(new, keys, order)
     b, n = base.withColumn("_b", F.lit(True)).alias("b"), new.withColumn("_n", F.lit(True)).alias("n")
     cols = []
     for c in base.columns:
@@ -65,8 +74,9 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (
     return b.join(n, on, "full").select(*cols)
 
 
-def apply_patch(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Only values of patch that are not null overwrite."""
+def apply_patch(base: DataFrame, patch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Only values of patch that are not null overwrite. Of patches with one key the last by `order` counts."""
+    patch = last_of(patch, [key], order)
     p = patch.select(F.col(key), *[F.col(c).alias(f"_p_{c}") for c in patch.columns if c != key])
     cols = [F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if f"_p_{c}" in p.columns else F.col(c) for c in base.columns]
     return base.join(p, key, "left").select(*cols)
@@ -142,14 +152,11 @@ def validate_rows(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 def draft_lineage(drafts: DataFrame, max_rounds: int = 32) -> DataFrame:
     """(id, root, depth): pointer doubling over parents, so a chain of n drafts takes log2(n) joins; each round is checkpointed."""
-    spark = drafts.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docketry-"))
-    x = drafts.select("id", F.coalesce("parent_draft_id", "id").alias("root"), F.when(F.col("parent_draft_id").isNull(), 0).otherwise(1).alias("depth")).checkpoint()
+    x = checkpointed(drafts.select("id", F.coalesce("parent_draft_id", "id").alias("root"), F.when(F.col("parent_draft_id").isNull(), 0).otherwise(1).alias("depth")))
     for _ in range(max_rounds):
         up = x.where("root <> id").select(F.col("id").alias("_i"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
         moved = x.join(up, x["root"] == up["_i"], "left")
-        new = moved.select("id", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_r").isNotNull().alias("moved")).checkpoint()
+        new = checkpointed(moved.select("id", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_r").isNotNull().alias("moved")))
         x = new.drop("moved")
         if not new.where("moved").limit(1).count():
             return x

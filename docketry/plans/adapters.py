@@ -28,7 +28,7 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
         'State vs party ' || CAST(o_custkey % 97 AS STRING) AS case_title, 'Adv ' || CAST(o_custkey % 31 AS STRING) AS advocate_name
         FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN substr({_NUM}, 1, length({_NUM}) - 2) || CAST((o_orderkey + 3) % 10 AS STRING) || CAST((o_orderkey + 7) % 10 AS STRING)
             WHEN o_orderkey % 7 = 0 THEN substr({_NUM}, 1, length({_NUM}) - 1) || CAST((o_orderkey + 5) % 10 AS STRING) ELSE {_NUM} END AS n FROM {{orders}}) x""",
-    "m_existing": "SELECT 'e' || row_id AS existing_id, row_number() OVER (ORDER BY CAST(row_id AS BIGINT)) AS seq, CASE WHEN CAST(row_id AS BIGINT) % 3 = 0 THEN NULL ELSE case_number END AS case_number, court_number, CASE WHEN CAST(row_id AS BIGINT) % 6 = 0 THEN NULL ELSE serial_number END AS serial_number FROM {m_listings} WHERE CAST(row_id AS BIGINT) % 2 = 0",
+    "m_existing": "SELECT 'e' || row_id AS existing_id, CAST(row_id AS BIGINT) AS seq, CASE WHEN CAST(row_id AS BIGINT) % 3 = 0 THEN NULL ELSE case_number END AS case_number, court_number, CASE WHEN CAST(row_id AS BIGINT) % 6 = 0 THEN NULL ELSE serial_number END AS serial_number FROM {m_listings} WHERE CAST(row_id AS BIGINT) % 2 = 0",
     "m_matched": "SELECT l.row_id, l.listing_date, l.court_number, l.serial_number, l.case_number, CASE WHEN c.status = 'active' THEN c.id END AS matched_case_id, CASE WHEN c.seq % 4 = 0 THEN c.id END AS previous_case_id, CASE WHEN c.seq % 2 = 0 THEN 'e' || l.row_id END AS existing_id FROM {m_listings} l JOIN {m_cases} c ON l.row_id = c.id",
     "m_sent": "SELECT 'cause_list_match:' || CAST(listing_date AS STRING) || ':' || row_id AS dedup_key, 'u' AS user_id FROM {m_listings} WHERE CAST(row_id AS BIGINT) % 9 = 0",
     "m_pages": (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,13 @@ def write_upsert(base: DataFrame, new: DataFrame, keys: list[str], path: str) ->
     from docketry.operators.cases import upsert
 
     upsert(base, new, keys).write.mode("overwrite").parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names; a temporary one only where that is unset in local mode."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docketry-"))
+    return df.checkpoint()

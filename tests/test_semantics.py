@@ -46,12 +46,7 @@ def lcs(a, b):
     return prev[-1]
 
 
-def test_fuzzy_match_model(spark):
-    r = random.Random(4)
-    word = lambda: "".join(r.choices("ab12", k=r.randint(5, 12)))
-    choices = [(f"c{i}", word()) for i in range(60)]
-    lists = [(f"r{i}", word() if i % 2 else r.choice(choices)[1][:-1] + "/") for i in range(60)] + [("e", ""), ("n", None)]
-    got = {x.row_id: (x.case_id, round(x.score, 6)) for x in listings.fuzzy_match(spark.createDataFrame(lists, "row_id string, number string"), spark.createDataFrame(choices, "case_id string, number string")).collect()}
+def best_match(lists, choices):
     norm = lambda s: (s or "").strip().lower().replace("/", "")
     first: dict = {}
     for c, n in sorted(choices):
@@ -62,7 +57,35 @@ def test_fuzzy_match_model(spark):
         best = min(((-200 * lcs(a, b) / (len(a) + len(b)), b) for b in first), default=None) if a else None
         if best and -best[0] >= 85:
             want[i] = (first[best[1]], round(-best[0], 6))
-    assert got == want
+    return want
+
+
+def test_fuzzy_match_model(spark):
+    """Numbers of 5 to 40 characters, with misread, lost and added ones, and prefixes."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choices("ab12", k=n))
+
+    def misread(s):
+        s = list(s)
+        for _ in range(r.randint(0, 1 + len(s) // 7)):
+            i = r.randrange(len(s))
+            s[i : i + 1] = r.choice([[], [s[i], r.choice("ab12")], [r.choice("ab12")]])
+        return "".join(s)
+
+    choices = [(f"c{i}", word(r.randint(5, 40))) for i in range(150)]
+    lists = [(f"r{i}", word(r.randint(5, 40)) if i % 5 == 0 else misread(r.choice(choices)[1])[: r.choice([15, 99, 99])]) for i in range(200)]
+    lists += [("e", ""), ("n", None), ("p", choices[0][1] + "/"), ("cut", "x" * 15)]
+    choices += [("long", "x" * 20), ("c0b", choices[0][1])]
+    got = {x.row_id: (x.case_id, round(x.score, 6)) for x in listings.fuzzy_match(spark.createDataFrame(lists, "row_id string, number string"), spark.createDataFrame(choices, "case_id string, number string")).collect()}
+    want = best_match(lists, choices)
+    assert got == want and got["cut"][0] == "long" and sum(s < 100 for _, s in want.values()) > 60
+
+
+def test_fuzzy_match_takes_the_last(spark):
+    choices = spark.createDataFrame([("b", "W/1/2024", 2), ("a", "W-1-2024", 1)], "case_id string, number string, seq int")
+    rows_ = spark.createDataFrame([("r", "w12024"), ("s", "w 12025")], "row_id string, number string")
+    assert sorted(tuple(r)[:2] for r in listings.fuzzy_match(rows_, choices, threshold=80).collect()) == [("r", "b"), ("s", "b")]
+    assert listings.fuzzy_match(rows_, choices.limit(0)).count() == 0 and listings.fuzzy_match(rows_.limit(0), choices).count() == 0
 
 
 def test_parse_listings_carries_court_and_serial(spark):
