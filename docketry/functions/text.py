@@ -23,6 +23,8 @@ SCAN_FIXES = [
     (r"(?U)\(\s*i\s*\)", ""),
     (r"[ \t]{2,}", " "),
 ]
+#: Place names that scans misread, repaired in this order.
+PLACE_FIXES = [("मुरा0", "मुरादाबाद"), ("मुरा 0", "मुरादाबाद"), ("मुरा०", "मुरादाबाद"), ("उ0प्र0", "उत्तर प्रदेश")]
 #: Phrases that a well-read form shows.
 FORM_ANCHORS = [r"FIRST\s+INFORMATION\s+REPORT", r"District/Unit", r"Acts\s*\(अधिनियम\)", r"Complainant", r"Action\s+taken"]
 
@@ -92,9 +94,16 @@ def has_script(c: Column, latin: bool) -> Column:
 
 
 def text_quality(c: Column) -> Column:
-    """struct(score, language, issues): scripts that are present, and 0.02 for each anchor phrase."""
-    hits = sum((F.when(c.rlike(f"(?iU){p}"), 1).otherwise(0) for p in FORM_ANCHORS), F.lit(0))
-    hi, en = has_script(c, False), has_script(c, True)
+    """struct(score, language, issues): scripts that are present, and 0.02 for each anchor phrase.
+
+    Each test is made once: the flags are a value that the expressions over it share, as a lambda binds it."""
+    flags = F.array(has_script(c, False), has_script(c, True), *[c.rlike(f"(?iU){p}") for p in FORM_ANCHORS])
+    return F.transform(F.array(flags), _rated)[0]
+
+
+def _rated(flags: Column) -> Column:
+    hits = F.size(F.filter(F.slice(flags, 3, len(FORM_ANCHORS)), lambda x: x))
+    hi, en = flags[0], flags[1]
     base = F.when(hi & en, 0.85).when(hi, 0.55).when(en, 0.50).otherwise(0.30)
     language = F.when(hi & en, "mixed").when(hi, "hindi").when(en, "english").otherwise("unknown")
     issues = F.filter(F.array(F.when(~hi, F.lit("no_devanagari")), F.when(~en, F.lit("no_english_anchors")), F.when(hits < 2, F.lit("few_section_anchors"))), lambda x: x.isNotNull())

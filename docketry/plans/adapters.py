@@ -51,7 +51,10 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
     "m_notes": "SELECT event_id AS id, user_id, event_type = 'view' AS is_read FROM {events}",
     "m_entries": "SELECT user_id AS case_id, event_id % 7 AS doc_id, event_id AS seq, event_type || ' ' || props AS content FROM {events}",
     "m_drafts": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 3 OR o_orderkey < 10 THEN NULL ELSE o_orderkey - 7 END AS parent, CAST(o_orderkey % 5 + 1 AS INT) AS version, CASE WHEN o_orderstatus = 'F' THEN 'ready' ELSE 'editing' END AS status, o_custkey AS created_by FROM {orders}",
-    "m_forms": """SELECT o_orderkey AS doc_id, 'FIRST INFORMATION REPORT' || chr(10) || chr(10) || '1. District / Unit ( जिला / इकाई ) : P.S. ( थाना ) : Station ' || CAST(o_custkey AS STRING) || ' Year ( वर्ष ) : ' || CAST(year(o_orderdate) AS STRING) || chr(10) || 'District ' || CAST(o_custkey % 75 AS STRING) || chr(10)
+    "m_forms": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(text, 'Village ', 'Village मुरा 0 ') WHEN 1 THEN replace(text, '4. Type of', '4 . Type of') WHEN 2 THEN replace(text, '2. S.No. Acts', '2. Acts')
+        WHEN 3 THEN replace(text, '/ suspected accused', '/ suspected accused' || chr(10) || '1 राम कुमार पिता का नाम : श्याम लाल ग्राम- नया गांव ' || CAST(doc_id AS STRING) || chr(10) || '2 मोहन पिता का नाम सोहन')
+        ELSE replace(text, 'Date ( दिनांक ): 17/02/2025 Time', 'Time') END AS text FROM {m_plainforms}""",
+    "m_plainforms": """SELECT o_orderkey AS doc_id, 'FIRST INFORMATION REPORT' || chr(10) || chr(10) || '1. District / Unit ( जिला / इकाई ) : P.S. ( थाना ) : Station ' || CAST(o_custkey AS STRING) || ' Year ( वर्ष ) : ' || CAST(year(o_orderdate) AS STRING) || chr(10) || 'District ' || CAST(o_custkey % 75 AS STRING) || chr(10)
         || 'FIR No. ( सं . ) : ' || CAST(o_orderkey AS STRING) || chr(10) || 'Date and Time of FIR ( दिनांक और समय ): 17/02/' || CAST(year(o_orderdate) AS STRING) || ' 14:21 घंटे' || chr(10) || chr(10)
         || '2. S.No. Acts ( अधिनियम ) Sections ( धारा ( एँ ) )' || chr(10) || '1 भारतीय न्याय संहिता ( बी एन एस ) , 2023 ' || CAST(o_orderkey % 300 + 20 AS STRING) || chr(10) || '2 भारतीय न्याय संहिता ( बी एन एस ) , 2023 115 ( ' || CAST(o_orderkey % 4 + 1 AS STRING) || ' )' || chr(10) || chr(10)
         || '3. ( a ) Occurrence of offence ( घटना )' || chr(10) || '1 Day ( दिन ): शनिवार Date from ( दिनांक से ) : 15/02/2025 Date To ( दिनांक तक ): 16/02/2025' || chr(10) || 'Time From ( समय से ): 20:00 बजे Time To ( समय तक ) : 21:30 बजे' || chr(10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -543,19 +544,19 @@ def reconcile_uploads(m):
 
 # --- tables and headers ---
 
-_HEADS = ["Acts (अधिनियम)", "Section No", "Relative's Name", "Name (नाम)", "Present Address", "S. No.", "Value (Rs)", "Remarks"]
+_HEADS = ["Acts (अधिनियम)", "Section No", "Relative's Name", "Name (नाम)", "Present Address", "S. No.", "Value (Rs)", "Remarks", "क्रम संख्या", "guardian name", "Sectons", "पिता का नाम"]
 
 
 def _headers(m):
-    return m("lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("l_partkey") % 8 + 1).cast("int")).alias("header"))
+    return m("lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("l_partkey") % 12 + 1).cast("int")).alias("header"))
 
 
-@query("SELECT l_orderkey, l_linenumber, ['acts', 'sections', 'relative', 'name', 'present_address', 'serial', 'value', 'remarks'][CAST(l_partkey % 8 + 1 AS INT)] AS layout_column FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, ['acts', 'sections', 'relative', 'name', 'present_address', 'serial', 'value', 'remarks', 'serial', 'name', 'sectons', 'relative'][CAST(l_partkey % 12 + 1 AS INT)] AS layout_column FROM lineitem")
 def layout_columns(m):
     return tables.layout_columns(_headers(m)).drop("header")
 
 
-@query("SELECT l_orderkey, l_linenumber, ['acts', 'sections', 'relative', 'name', 'present_address', 'serial', 'value', 'remarks'][CAST(l_partkey % 8 + 1 AS INT)] AS header_key FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, ['acts', 'sections', 'relative', 'name', 'present_address', 'serial', 'value', 'remarks', 'serial', 'relative', 'sections', 'पिता का नाम'][CAST(l_partkey % 12 + 1 AS INT)] AS header_key FROM lineitem")
 def normalize_headers(m):
     return tables.normalize_headers(_headers(m)).drop("header")
 
@@ -604,12 +605,15 @@ def form_basic(m):
     return forms.form_fields(m("m_forms")).select("doc_id", "police_station", "year", "fir_no", "fir_datetime", "district")
 
 
-@query("SELECT o_orderkey AS doc_id, 'शनिवार' AS day, '15/02/2025' AS date_from, '16/02/2025' AS date_to, '20:00 बजे' AS time_from, '21:30 बजे' AS time_to, '17/02/2025' AS info_date, '14:' || CAST(o_orderkey % 50 + 10 AS STRING) || ' बजे' AS info_time, CAST(o_orderkey % 90 + 10 AS STRING) AS gd_entry FROM orders")
+@query("SELECT o_orderkey AS doc_id, 'शनिवार' AS day, '15/02/2025' AS date_from, '16/02/2025' AS date_to, '20:00 बजे' AS time_from, '21:30 बजे' AS time_to, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE '17/02/2025' END AS info_date, '14:' || CAST(o_orderkey % 50 + 10 AS STRING) || ' बजे' AS info_time, CAST(o_orderkey % 90 + 10 AS STRING) AS gd_entry FROM orders")
 def form_occurrence(m):
     return forms.form_fields(m("m_forms")).select("doc_id", "day", "date_from", "date_to", "time_from", "time_to", "info_date", "info_time", "gd_entry")
 
 
-@query("SELECT o_orderkey AS doc_id, 'लिखित' AS info_type, 'दक्षिण , 06 कि . मी .' AS direction_distance, '' AS beat_no, 'Village ' || CAST(o_custkey AS STRING) AS address FROM orders")
+_PLACE = "CASE WHEN o_orderkey % 5 = 0 THEN 'Village मुरादाबाद ' ELSE 'Village ' END || CAST(o_custkey AS STRING)"
+
+
+@query(f"SELECT o_orderkey AS doc_id, 'लिखित' AS info_type, 'दक्षिण , 06 कि . मी .' AS direction_distance, '' AS beat_no, {_PLACE} AS address FROM orders")
 def form_place(m):
     return forms.form_fields(m("m_forms")).select("doc_id", "info_type", "direction_distance", "beat_no", "address")
 
@@ -629,7 +633,11 @@ def form_acts(m):
     return forms.form_acts(m("m_forms")).select("doc_id", "serial", "section")
 
 
-@query("SELECT o_orderkey AS doc_id, s AS serial, CASE s WHEN 1 THEN 'योगेश' ELSE 'गौरव सिंह' END AS name, 'हरि सिंह' AS father FROM orders, (VALUES (1), (2)) v(s)")
+_ACCUSED = f"""SELECT o_orderkey AS doc_id, s AS serial, CASE WHEN o_orderkey % 5 = 3 THEN ['राम कुमार', 'मोहन'] ELSE ['योगेश', 'गौरव सिंह'] END[CAST(s AS INT)] AS name, CASE WHEN o_orderkey % 5 = 3 THEN ['श्याम लाल', 'सोहन'] ELSE ['हरि सिंह', 'हरि सिंह'] END[CAST(s AS INT)] AS father,
+  CASE WHEN o_orderkey % 5 = 3 AND s = '1' THEN 'ग्राम- नया गांव ' || CAST(o_orderkey AS STRING) ELSE {_PLACE} END AS address, '' AS alias FROM orders, (VALUES ('1'), ('2')) v(s)"""
+
+
+@query(_ACCUSED)
 def form_accused(m):
     return forms.form_accused(m("m_forms"))
 
@@ -654,27 +662,77 @@ def form_narrative(m):
     return forms.narrative(m("m_forms"))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(n AS INT) AS no FROM orders, range(1, 16) r(n)")
+_ITEM = "chr(10) || CAST({0} AS STRING) || CASE WHEN {0} = 4 AND doc_id % 5 = 1 THEN ' . ' ELSE '. ' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, CAST(n AS INT) AS no, chr(10) || text AS t, {_ITEM.format('n')} AS h, {_ITEM.format('n + 1')} AS h2 FROM m_forms, range(1, 16) r(n))
+SELECT doc_id, no, trim(substr(t, strpos(t, h) + length(h), CASE WHEN no = 15 THEN length(t) ELSE strpos(t, h2) - strpos(t, h) - length(h) END), ' ' || chr(10)) AS text FROM x""")
 def form_sections(m):
-    return forms.form_sections(m("m_forms")).select("doc_id", "no")
+    return forms.form_sections(m("m_forms"))
+
 
+_ANCHORED = """WITH f AS (SELECT doc_id, replace(text, '3. ( a )', '3. ') AS t FROM m_forms),
+k AS (SELECT * FROM (VALUES ('header', 'FIRST INFORMATION REPORT'), ('section_4', '4. Type of Information'), ('section_5', '5. Place of Occurrence'), ('section_6', '6. Complainant / Informant'), ('section_7', '7. Details of known'), ('section_8', '8. Reasons for delay'), ('section_9', '9. Particulars of properties'), ('section_10', '10. Total value of property'), ('section_11', '11. Inquest Report'), ('section_12', '12. First Information contents'), ('section_13', '13. Action taken'), ('section_14', '14. Signature'), ('section_15', '15. Date and time of dispatch')) v(key, phrase)),
+p AS (SELECT doc_id, t, key, strpos(t, phrase) AS pos FROM f, k WHERE strpos(t, phrase) > 0),
+a AS (SELECT doc_id, key, trim(substr(t, pos, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(t) + 1) - pos), ' ' || chr(10)) AS text FROM p) """
 
-@query("SELECT o_orderkey AS doc_id, k AS key FROM orders, (VALUES ('header'), ('section_4'), ('section_5'), ('section_6'), ('section_7'), ('section_8'), ('section_9'), ('section_10'), ('section_11'), ('section_12'), ('section_13'), ('section_14'), ('section_15')) v(k)")
+
+@query(_ANCHORED + "SELECT * FROM a")
 def anchor_sections(m):
     a = m("m_forms").withColumn("text", F.regexp_replace("text", "3\\. \\( a \\)", "3. "))
-    return forms.anchor_sections(a).select("doc_id", "key")
+    return forms.anchor_sections(a)
 
 
-@query("SELECT o_orderkey AS doc_id, 1.0::DOUBLE AS score, '' AS missing FROM orders")
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 4 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS score, CASE WHEN o_orderkey % 5 = 4 THEN 'occurrence.info_date' ELSE '' END AS missing FROM orders")
 def form_diagnostics(m):
     d = forms.form_diagnostics(forms.form_record(m("m_forms")))
     return d.select("doc_id", "score", F.array_join("missing", ",").alias("missing"))
 
 
-@query("SELECT o_orderkey AS doc_id, 'text_fallback' AS acts, 'text_fallback' AS basic, CAST(o_orderkey AS STRING) AS fir_no FROM orders")
+@query("""SELECT doc_id, text AS fir_contents, 'basic.fir_no,basic.police_station,basic.year,basic.fir_datetime,acts,accused' AS missing, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM documents WHERE NOT regexp_matches(text, '(?i)FIRST\\s+INFORMATION\\s+REPORT|FIR\\s+No\\.|प्रथम\\s+सूचना')""")
+def fallback_records(m):
+    return forms.fallback_records(m("documents").unionByName(m("m_forms"), allowMissingColumns=True)).withColumn("missing", F.array_join("missing", ","))
+
+
+_SECTIONS = f"""'district: District ' || CAST(o_custkey % 75 AS STRING) || chr(10) || 'police_station: Station ' || CAST(o_custkey AS STRING) || chr(10) || 'year: ' || CAST(year(o_orderdate) AS STRING) || chr(10) || 'fir_no: ' || CAST(o_orderkey AS STRING) || chr(10) || 'fir_datetime: 17/02/' || CAST(year(o_orderdate) AS STRING) || ' 14:21 घंटे' AS header,
+  '1. भारतीय न्याय संहिता (बी एन एस), 2023 - धारा ' || CAST(o_orderkey % 300 + 20 AS STRING) || chr(10) || '2. भारतीय न्याय संहिता (बी एन एस), 2023 - धारा 115(' || CAST(o_orderkey % 4 + 1 AS STRING) || ')' AS sections_law,
+  '1 - Coin and Currency - Indian Currency - ' || CAST(o_orderkey % 40 AS STRING) || ' notes - ' || CAST(o_orderkey AS STRING) AS properties, 'registered: Yes' || chr(10) || 'io_name: officer ' || CAST(o_orderkey % 60 AS STRING) || chr(10) || 'io_rank: उपनिरीक्षक' AS action_taken,
+  'direction_distance: दक्षिण , 06 कि . मी .' || chr(10) || 'address: ' || {_PLACE} AS place"""
+
+
+@query(f"""WITH c AS ({_ACCUSED}), l AS (SELECT doc_id, string_agg(serial || '. ' || name || ' - पिता का नाम: ' || father || ' - ' || address, chr(10) ORDER BY serial) AS accused FROM c GROUP BY 1)
+SELECT o_orderkey AS doc_id, 'text_fallback' AS acts, 'text_fallback' AS basic, CAST(o_orderkey AS STRING) AS fir_no, 14 AS n_sections, accused, {_SECTIONS} FROM orders JOIN l ON doc_id = o_orderkey""")
 def form_record(m):
     r = forms.form_record(m("m_forms"))
-    return r.select("doc_id", F.col("source_map")["acts"].alias("acts"), F.col("source_map")["basic"].alias("basic"), F.col("fields")["fir_no"].alias("fir_no"))
+    return r.select("doc_id", F.col("source_map")["acts"].alias("acts"), F.col("source_map")["basic"].alias("basic"), F.col("fields")["fir_no"].alias("fir_no"), F.size("sections").alias("n_sections"), *[F.col("sections")[k].alias(k) for k in ("header", "sections_law", "properties", "action_taken", "place", "accused")])
+
+
+def _artifacts(m):
+    """For every third form an artifact: acts without a header that is marked, misspelt; accused under Hindi headers; properties and an inquest."""
+    key = F.col("doc_id").cast("string")
+    cells = lambda *c: F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit('{"text":"'), F.lit(x) if isinstance(x, str) else x, F.lit('","confidence":0.5}')) for x in c]), F.lit("]"))
+    table = lambda head, *rows: F.concat(F.lit('{"header_rows":['), *([head] if head is not None else []), F.lit('],"body_rows":['), F.concat_ws(",", *rows), F.lit("]}"))
+    acts = table(None, cells("क्र.सं.", "Sectons", "Acts (अधिनियम)"), cells("1", F.concat(key, F.lit(" ")), "Some Act"), cells("", "", "under 77 ( 2 ) of 2023"), cells("3", "", ""))
+    accused = table(cells("S. No.", "नाम", "उपनाम", "Relative's Name", "वर्तमान पता"), cells("1", "राजू", "", F.concat(F.lit("पिता का नाम : Elder "), key), "गली 5"), cells("", "", "", "", ""), cells("", "सीता", "मीना", "", ""))
+    goods = table(cells("S.No.", "Property Category", "Property Type", "Description", "Value (Rs)"), cells("1", "Cash", "Notes", F.concat(F.lit("bundle "), key), "900"), cells("", "Lost", "Row", "without serial", ""))
+    inquest = table(cells("S. No.", "UIDB Number"), cells("", F.concat(F.lit("UD/"), key)))
+    js = F.concat(F.lit('{"pages":[{"page_number":1,"tables":['), F.concat_ws(",", acts, goods), F.lit(']},{"page_number":2,"tables":['), F.concat_ws(",", accused, inquest), F.lit("]}]}"))
+    return m("m_forms").where("doc_id % 3 = 0").select("doc_id", js.alias("artifact"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'layout_table' ELSE 'text_fallback' END AS source, CASE WHEN o_orderkey % 7 = 0 THEN 'form_field' ELSE 'text_fallback' END AS occurrence, CASE WHEN o_orderkey % 7 = 0 THEN '01/01/2020' WHEN o_orderkey % 5 = 4 THEN '' ELSE '17/02/2025' END AS info_date,
+  CASE WHEN o_orderkey % 3 = 0 THEN '1|Some Act|' || CASE WHEN o_orderkey BETWEEN 10 AND 999 THEN CAST(o_orderkey AS STRING) ELSE '' END || ';2|under 77 ( 2 ) of 2023|77(2)' ELSE '1|भारतीय न्याय संहिता (बी एन एस), 2023|' || CAST(o_orderkey % 300 + 20 AS STRING) || ';2|भारतीय न्याय संहिता (बी एन एस), 2023|115(' || CAST(o_orderkey % 4 + 1 AS STRING) || ')' END AS acts,
+  CASE WHEN o_orderkey % 3 = 0 THEN '1|राजू|Elder ' || CAST(o_orderkey AS STRING) || '|गली 5|;2|सीता|||मीना' END AS accused, CASE WHEN o_orderkey % 3 = 0 THEN '1|Cash|Notes|bundle ' || CAST(o_orderkey AS STRING) || '|900' END AS properties, CASE WHEN o_orderkey % 3 = 0 THEN '1|UD/' || CAST(o_orderkey AS STRING) END AS inquest,
+  least(1.0::DOUBLE, CASE WHEN o_orderkey % 5 = 4 AND o_orderkey % 7 <> 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN o_orderkey % 3 = 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM orders""")
+def form_layout(m):
+    layout = forms.layout_rows(tables.explode_tables(_artifacts(m)))
+    values = m("m_forms").where("doc_id % 7 = 0").select("doc_id", F.lit("info_date").alias("form_key"), F.lit("on 01/01/2020 at night").alias("value"))
+    r = forms.form_record(m("m_forms"), layout, values)
+    flat = lambda n: F.array_join(F.transform(n, lambda x: F.concat_ws("|", *[x[k] for k in forms.LAYOUTS[n][2]])), ";")
+    given = F.col("source_map")["accused"] == "layout_table"
+    x = r.select("doc_id", F.col("source_map")["acts"].alias("source"), F.col("source_map")["occurrence"].alias("occurrence"), F.col("fields")["info_date"].alias("info_date"), flat("acts").alias("acts"), *[F.when(given, flat(n)).alias(n) for n in ("accused", "properties", "inquest")])
+    return x.join(forms.form_diagnostics(r).select("doc_id", "score"), "doc_id")
 
 
 @query("""WITH x AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'v' || CAST(l_linenumber AS STRING) END AS value, ['header', 'accused', 'place'][CAST(l_suppkey % 3 + 1 AS INT)] AS key FROM lineitem)
@@ -691,16 +749,47 @@ def audit_sections(m):
     return forms.audit_sections(f).select("doc_id.*", F.array_join("missing_critical", ",").alias("missing"), "confidence")
 
 
-@query("SELECT o_orderkey AS doc_id, 'accused,action_taken,complainant,fir_contents,place,signatures' AS recovered FROM orders")
+@query(_ANCHORED + """, s AS (SELECT doc_id, max(text) FILTER (key = 'section_6') AS c, max(text) FILTER (key = 'section_12') AS f FROM a GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'accused,' ELSE '' END || 'action_taken,complainant,fir_contents,place' AS recovered, '1. ( a ) Direction and distance from P.S. ( दूरी ) : दक्षिण , 06 कि . मी .' AS place,
+  CASE WHEN doc_id % 5 = 3 THEN '1. राम कुमार पिता का नाम : श्याम लाल ग्राम- नया गांव ' || CAST(doc_id AS STRING) || chr(10) || '2. मोहन पिता का नाम सोहन' END AS accused, '(1) प्रकरण दर्ज किया गया और जांच प्रारम्भ की गयी।' || chr(10) || '(2) जांच अधिकारी (I.O.): officer ' || CAST(doc_id % 60 AS STRING) || ' Rank ( पद ) : उपनिरीक्षक No. ( सं . ) :' AS action_taken,
+  substr(c, strpos(c, chr(10)) + 1) AS complainant, substr(f, strpos(f, chr(10)) + 1) AS fir_contents, 'x' AS sections_law FROM s""")
 def gap_fill(m):
     f = m("m_forms").withColumn("text", F.regexp_replace("text", "3\\. \\( a \\)", "3. "))
     d = f.select("doc_id", F.create_map(F.lit("sections_law"), F.lit("x"), F.lit("occurrence"), F.lit("y")).alias("sections"))
-    return forms.gap_fill(d, f).select("doc_id", F.array_join("recovered", ",").alias("recovered"))
-
-
-@query("""SELECT o_orderkey AS doc_id, '<p><strong>District:</strong> District ' || CAST(o_custkey % 75 AS STRING) || '</p><p><strong>Police Station:</strong> Station ' || CAST(o_custkey AS STRING) || '</p><p><strong>Year:</strong> ' || CAST(year(o_orderdate) AS STRING) || '</p><p><strong>FIR No:</strong> ' || CAST(o_orderkey AS STRING) || '</p><p><strong>Date and Time:</strong> 17/02/' || CAST(year(o_orderdate) AS STRING) || ' 14:21 घंटे</p><p><strong>Complainant:</strong> Person ' || CAST(o_custkey AS STRING) || '</p><p><strong>Place:</strong> Village ' || CAST(o_custkey AS STRING) || '</p><table><tr><th>S.No.</th><th>Act</th><th>Section</th></tr><tr><td>1</td><td>भारतीय न्याय संहिता (बी एन एस), 2023</td><td>' || CAST(o_orderkey % 300 + 20 AS STRING) || '</td></tr><tr><td>2</td><td>भारतीय न्याय संहिता (बी एन एस), 2023</td><td>115(' || CAST(o_orderkey % 4 + 1 AS STRING) || ')</td></tr></table><table><tr><th>S.No.</th><th>Name</th><th>Father</th></tr><tr><td>1</td><td>योगेश</td><td>हरि सिंह</td></tr><tr><td>2</td><td>गौरव सिंह</td><td>हरि सिंह</td></tr></table>' AS html FROM orders""")
+    return forms.gap_fill(d, f).select("doc_id", F.array_join("recovered", ",").alias("recovered"), *[F.col("sections")[k].alias(k) for k in ("place", "accused", "action_taken", "complainant", "fir_contents", "sections_law")])
+
+
+def _html() -> str:
+    """The printed form with its values as SQL, from the columns of orders."""
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    esc = lambda x: x.replace("'", "&#x27;")
+    key, cust, year = (f"CAST({c} AS STRING)" for c in ("o_orderkey", "o_custkey", "year(o_orderdate)"))
+    v = {n: "'Not stated'" for n in ("outside_ps", "occupation", "beat_no", "io_no", "transferred_to", "dispatch", "time_period", "officer_name", "officer_rank", "officer_no")}
+    v |= {"district": "'District ' || CAST(o_custkey % 75 AS STRING)", "police_station": f"'Station ' || {cust}", "year": year, "fir_no": key, "fir_datetime": f"'17/02/' || {year} || ' 14:21 घंटे'", "info_date": "CASE WHEN o_orderkey % 5 = 4 THEN 'Not stated' ELSE '17/02/2025' END", "info_time": "'14:' || CAST(o_orderkey % 50 + 10 AS STRING) || ' बजे'", "gd_entry": "CAST(o_orderkey % 90 + 10 AS STRING)", "info_type": "'लिखित'", "direction_distance": "'दक्षिण , 06 कि . मी .'", "address": _PLACE, "name": f"'Person ' || {cust}", "father": "'Elder ' || CAST(o_custkey % 100 AS STRING)", "dob_year": "CAST(1950 + o_custkey % 50 AS STRING)", "nationality": "'भारत'", "mobile": "'91-97197XXXXX'", "total_value": key, "io_name": "'officer ' || CAST(o_orderkey % 60 AS STRING)", "io_rank": "'उपनिरीक्षक'"}
+    row = lambda *cells: "'<tr>' || " + " || ".join(f"'<td>' || {c} || '</td>'" for c in cells) + " || '</tr>'"
+    act, blank = "'भारतीय न्याय संहिता (बी एन एस), 2023'", row(*["''"] * 7)
+    rows = {
+        "acts": [row("'1'", act, "CAST(o_orderkey % 300 + 20 AS STRING)"), row("'2'", act, "'115(' || CAST(o_orderkey % 4 + 1 AS STRING) || ')'")],
+        "occurrence": [row("'1'", "'Day (दिन): शनिवार'", "'Date from (दिनांक से): 15/02/2025'", "'Date To (दिनांक तक): 16/02/2025'"), row("''", "'Time Period (समय अवधि): Not stated'", "'Time From (समय से): 20:00 बजे'", "'Time To (समय तक): 21:30 बजे'")],
+        "ids": [row("''", "''", "''")],
+        "addresses": [row("'1'", "'वर्तमान पता'", _PLACE), row("'2'", "'स्थायी पता'", _PLACE)],
+        "accused": ["(SELECT string_agg('<tr><td>' || serial || '</td><td>' || name || '</td><td></td><td>पिता का नाम: ' || father || '</td><td>' || address || '</td></tr>', '' ORDER BY serial) FROM c WHERE c.doc_id = o_orderkey)"],
+        "properties": [row("'1'", "'Coin and Currency'", "'Indian Currency'", "CAST(o_orderkey % 40 AS STRING) || ' notes'", key)],
+        "inquest": [row("'1'", f"'UD/' || {key}")],
+        "signature": [row("''", "'Name (नाम): Not stated Rank (पद): Not stated No. (सं.): Not stated'")],
+        "features_1": [row(f"'{n}'", "'पुरुष'", "''", "''", "''", "''", "'चेचक: नहीं'") for n in (1, 2)],
+        "features_2": [blank, blank],
+        "features_3": [blank, blank],
+    }
+    block = {n: lit("<table><tr>" + "".join(f"<th>{esc(h)}</th>" for h in forms.HEADS[n]) + "</tr>") + " || " + " || ".join(r) + " || '</table>'" for n, r in rows.items()}
+    block |= {"delay": "''", "narrative": f"'<p>वहां पर मौजूद योगेश पुत्र हरि सिंह गौरव सिंह पुत्र हरि सिंह ने report ' || {key} || '</p><p>second part</p>'"}
+    lines = [block[x[2:-2]] if x.startswith("{{") else " || ".join(v[p] if i % 2 else lit(p) for i, p in enumerate(re.split(r"\{(\w+)!\}", x))) for x in forms.HTML]
+    return f"WITH c AS ({_ACCUSED}) SELECT o_orderkey AS doc_id, " + " || chr(10) || ".join(lines) + " AS html FROM orders"
+
+
+@query(_html())
 def form_html(m):
-    return forms.form_html(m("m_forms"))
+    return forms.form_html(forms.form_record(m("m_forms")))
 
 
 @query("SELECT o_orderkey AS doc_id, CAST(s AS STRING) AS serial, CASE s WHEN 1 THEN 'पुरुष' ELSE 'Female' END AS sex FROM orders, (VALUES (1), (2)) v(s)")
