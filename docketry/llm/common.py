@@ -99,3 +99,18 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], bucket: str,
     totals = totals.withColumn("_off", F.coalesce(F.sum("_t").over(over), F.lit(0))).drop("_t")
     inner = df.withColumn("_in", F.coalesce(F.sum(value).over(part), F.lit(0)))
     return join_rows(inner, totals, [*group, bucket]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df as a stored table with `_rank`, each row's place (from 0) in the given order: a range sort, whose partitions are
+    counted, and only one count a partition is summed up in one task."""
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Partition, then row in it: fixed by the sort, and kept in the stored table.
+    s = stored(s.withColumn("_at", F.monotonically_increasing_id()), name)
+    part, path = F.shiftright("_at", 33), s.stored_at
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = s.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    out = s.withColumn("_part", part).join(F.broadcast(parts), "_part")
+    out = out.withColumn("_rank", F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
+    out.stored_at = path
+    return out

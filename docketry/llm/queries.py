@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, licenses, media, mixing, quality, secret_scan, simhash, token_store, url_filter
+from docketry.llm import centroids, chat, decontaminate, licenses, media, mixing, quality, resampling, secret_scan, sharding, simhash, token_store, url_filter
 from docketry.llm.common import small_batches
 
 #: The URL rules of the contract.
@@ -69,7 +69,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_output(rows.unionByName(added), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_media, op3_simhash, op4_quality, op5_decontamination, op6_secrets, op7_licenses, op8_mixing, op9_url_filter, op10_chat)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("vslot")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_media, op3_simhash, op4_quality, op5_decontamination, op6_secrets, op7_licenses, op8_mixing, op9_url_filter, op10_chat, op11_resampling, op12_sharding, op13_centroids)}
 
 _WORD5 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,6 +127,47 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j W
 """
 
 
+_OP11 = rf"""
+WITH RECURSIVE crcs(i, c) AS (SELECT 0 AS i, [x::UBIGINT FOR x IN range(256)] AS c UNION ALL
+  SELECT i + 1, [CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END FOR x IN c] FROM crcs WHERE i < 8),
+tab AS (SELECT c FROM crcs WHERE i = 8),
+d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all({_LOW.format("text")}, '{_WORD5}'), []) AS w FROM documents),
+b AS (SELECT coalesce(regexp_extract_all({_LOW.format("text")}, '{_WORD5}'), []) AS w FROM benchmark),
+df AS (SELECT rid, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, greatest(1, len(w)))])) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, greatest(1, len(w)))])) AS f FROM b),
+kinds AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+crc AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT FOR i IN range(len(h) // 2)]),
+  lambda a, x: xor(a // 256, c[CAST(xor(a % 256, x) + 1 AS BIGINT)])), 4294967295::UBIGINT) % 10000 AS bucket FROM kinds, tab),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN crc USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN crc USING (f) GROUP BY bucket),
+big AS (SELECT (SELECT count(*) FROM df) AS ns, (SELECT count(*) FROM bf) AS nt),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (ns + 10000))::DOUBLE / ((s + 1) * (nt + 10000))::DOUBLE)) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket), big),
+w AS (SELECT rid, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM df JOIN crc USING (f) JOIN gain USING (bucket) GROUP BY rid),
+o AS (SELECT doc_id, rid, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight,
+  ('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::BIGINT AS h FROM d LEFT JOIN w USING (rid)),
+k AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (words >= 20) OVER () AS able FROM k)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN words >= 20 AND k <= able * 25 // 100 THEN k END AS rank FROM r
+"""
+
+
+def _op13(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """One pair of steps for each round; components are whole numbers throughout."""
+    near = "(SELECT v.vid, vec_id, x, CAST(num AS INTEGER) AS cluster, d AS distance FROM v JOIN (SELECT vid, arg_min(num, d * 1000 + num) AS num, min(d) AS d FROM (SELECT vid, num, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, {c}) GROUP BY vid) USING (vid))"
+    steps = [f"""v AS (SELECT row_number() OVER () AS vid, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS num, x AS c FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT {k}))"""]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED {near.format(c=f'c{i}')}")
+        steps.append(f"""m{i} AS (SELECT cluster, list(s ORDER BY dim) AS c FROM (SELECT cluster, dim, CAST(floor(sum(e) / count(*)) AS BIGINT) AS s FROM (SELECT cluster, unnest(x) AS e, unnest(range({dims})) AS dim FROM a{i}) GROUP BY ALL) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT num, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON num = cluster)""")
+    steps.append(f"z AS MATERIALIZED {near.format(c=f'c{rounds}')}")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} ON num = cluster"""
+
+
 def _op7() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quote(i)}, {quote(s)}, {len(s)}, {len(s.split(' '))})" for i, s in licenses.SENTENCES.items())
@@ -143,5 +197,5 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN o USING (rid)
 
 
 #: SQL where it can express the operator; op 8's is kept in the tests only, as the cut follows hashes that DuckDB lacks.
-ORACLES = {"op5_decontamination": _OP5, "op7_licenses": _op7(), "op9_url_filter": _OP9}
+ORACLES = {"op5_decontamination": _OP5, "op7_licenses": _op7(), "op9_url_filter": _OP9, "op11_resampling": _OP11, "op13_centroids": _op13()}
 TARGETS_SQL = _OP8
