@@ -95,6 +95,14 @@ def job_status(log: DataFrame, now: str, ttl_hours: int = 24) -> DataFrame:
     return g.where(F.col("updated_at") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {ttl_hours} HOURS"))
 
 
+def document_states(log: DataFrame, now: str, seconds: int = 120) -> DataFrame:
+    """document_state of log(doc_id, seq, event, ts), where what has been processing for so many seconds has failed, with the reason."""
+    last = log.groupBy("doc_id").agg(F.max_by("ts", "seq").alias("_ts"))
+    x = document_state(log).join(last, "doc_id")
+    stale = (F.col("state") == "processing") & (F.col("_ts") + F.expr(f"INTERVAL {seconds} SECONDS") <= F.lit(now).cast("timestamp"))
+    return x.select("doc_id", F.when(stale, "failed").otherwise(F.col("state")).alias("state"), "seq", "attempts", F.when(stale, "did not finish in time").alias("error"))
+
+
 def stale_jobs(jobs: DataFrame, now: str, seconds: int = 120) -> DataFrame:
     """Processing for so many seconds or more counts as failed."""
     old = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("updated_at") >= seconds

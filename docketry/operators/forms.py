@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import PLACE_FIXES, compact, escape_html
-from docketry.operators.listings import hits_of
 from docketry.operators.tables import layout_key, typed_tables
 
 #: Patterns of the form.
@@ -167,17 +166,32 @@ def groups_of(text: Column, pattern: str, *names: str) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names, 1)])
 
 
-def with_items(forms: DataFrame) -> DataFrame:
-    """doc_id, text, items: map(no -> text) of each numbered item's first occurrence, up to the next item with a larger number up to 15."""
-    x = forms.select("doc_id", "text", hits_of(F.col("text"), ITEM, 1).alias("hits"))
-    x = x.select("doc_id", "text", F.transform("hits", lambda h: F.struct(h["at"].alias("at"), (h["at"] + F.length(h["tok"])).alias("end"), F.translate(h["val"], *DIGITS).cast("int").alias("no"))).alias("heads"))
+def items_of(text: Column) -> Column:
+    """map(no -> text) of each numbered item's first occurrence, up to the next head with a larger number up to 15.
+
+    The text is split once; a fold over the heads appends a head and what follows it to the items that are open, closes those with a
+    smaller number, and opens the item if it is the first of its number. Mostly one item is open at a time."""
+    kind = "array<struct<no:int,text:string>>"
+    number = lambda t: F.translate(F.regexp_extract(t, r"(?U)\d{1,2}", 0), *DIGITS).cast("int")
+    toks = F.regexp_extract_all(text, F.lit(ITEM), F.lit(0))
+    heads = F.zip_with(toks, F.slice(F.split(text, ITEM, -1), F.lit(2), F.size(toks)), lambda t, g: F.struct(number(t).alias("no"), t.alias("tok"), g.alias("gap")))
+
+    def step(acc: Column, h: Column) -> Column:
+        ends = lambda o: (o["no"] < h["no"]) & (h["no"] <= 15)
+        same = lambda o: o["no"] == h["no"]
+        on = F.transform(F.filter(acc["open"], lambda o: ~ends(o)), lambda o: F.struct(o["no"].alias("no"), F.concat(o["text"], h["tok"], h["gap"]).alias("text")))
+        first = h["no"].between(1, 15) & ~F.exists(acc["open"], same) & ~F.exists(acc["done"], same)
+        new = F.array_append(on, F.struct(h["no"].alias("no"), h["gap"].alias("text")))
+        return F.struct(F.when(first, new).otherwise(on).alias("open"), F.concat(acc["done"], F.filter(acc["open"], ends)).alias("done"))
 
-    def item(n: int) -> Column:
-        stop = lambda f: F.array_min(F.transform(F.filter("heads", lambda h: (h["at"] > f["at"]) & h["no"].between(n + 1, 15)), lambda h: h["at"]))
-        first = F.slice(F.filter("heads", lambda h: h["no"] == n), 1, 1)
-        return F.transform(first, lambda f: F.struct(F.lit(n).alias("no"), strip(F.substring(F.col("text"), f["end"] + 1, F.coalesce(stop(f), F.length("text")) - f["end"])).alias("text")))
+    start = F.struct(F.array().cast(kind).alias("open"), F.array().cast(kind).alias("done"))
+    items = F.aggregate(heads, start, step, lambda acc: F.concat(acc["done"], acc["open"]))
+    return F.map_from_entries(F.transform(items, lambda i: F.struct(i["no"], strip(i["text"]).alias("text"))))
 
-    return x.select("doc_id", "text", F.map_from_entries(F.concat(*[item(n) for n in range(1, 16)])).alias("items"))
+
+def with_items(forms: DataFrame) -> DataFrame:
+    """doc_id, text, items (items_of)."""
+    return forms.select("doc_id", "text", items_of(F.col("text")).alias("items"))
 
 
 def form_sections(forms: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
         CAST(o_orderdate AS DATE) AS filing_date, o_orderkey AS seq FROM {{orders}}""",
     "m_numbers": f"""SELECT CAST(o_orderkey AS STRING) AS case_id, {_KIND} || '/' || {_NUM} || '/' || CAST(year(o_orderdate) AS STRING) AS case_number FROM {{orders}}""",
     "m_choices": "SELECT n.case_id, n.case_number AS number FROM {m_numbers} n JOIN {m_cases} c ON n.case_id = c.id WHERE c.status = 'active'",
+    "m_listchoices": "SELECT CAST(o_orderkey AS STRING) AS case_id, 'WRIA-' || CAST(o_orderkey % 5000 AS STRING) || '-2026' AS number FROM {orders} WHERE o_orderkey % 6 = 0",
     "m_sections": "SELECT CAST(l_orderkey AS STRING) AS case_id, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, 'S' || CAST(l_partkey % 511 AS STRING) AS section, l_returnflag <> 'R' AS is_active FROM {lineitem}",
     "m_parties": "SELECT CAST(l_orderkey AS STRING) AS case_id, 'Party ' || CAST(l_suppkey AS STRING) AS name FROM {lineitem}",
     "m_access": "SELECT CAST(l_orderkey AS STRING) AS case_id, 'a' || CAST(l_suppkey AS STRING) AS user_id, CAST(min(o_custkey) AS STRING) AS granted_by, max(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 0 END) = 1 AS can_edit FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_suppkey",
@@ -54,6 +55,7 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
     "m_forms": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(text, 'Village ', 'Village मुरा 0 ') WHEN 1 THEN replace(text, '4. Type of', '4 . Type of') WHEN 2 THEN replace(text, '2. S.No. Acts', '2. Acts')
         WHEN 3 THEN replace(text, '/ suspected accused', '/ suspected accused' || chr(10) || '1 राम कुमार पिता का नाम : श्याम लाल ग्राम- नया गांव ' || CAST(doc_id AS STRING) || chr(10) || '2 मोहन पिता का नाम सोहन')
         ELSE replace(text, 'Date ( दिनांक ): 17/02/2025 Time', 'Time') END AS text FROM {m_plainforms}""",
+    "m_keys": "SELECT o_orderkey, o_custkey, o_orderdate FROM {orders}",
     "m_plainforms": """SELECT o_orderkey AS doc_id, 'FIRST INFORMATION REPORT' || chr(10) || chr(10) || '1. District / Unit ( जिला / इकाई ) : P.S. ( थाना ) : Station ' || CAST(o_custkey AS STRING) || ' Year ( वर्ष ) : ' || CAST(year(o_orderdate) AS STRING) || chr(10) || 'District ' || CAST(o_custkey % 75 AS STRING) || chr(10)
         || 'FIR No. ( सं . ) : ' || CAST(o_orderkey AS STRING) || chr(10) || 'Date and Time of FIR ( दिनांक और समय ): 17/02/' || CAST(year(o_orderdate) AS STRING) || ' 14:21 घंटे' || chr(10) || chr(10)
         || '2. S.No. Acts ( अधिनियम ) Sections ( धारा ( एँ ) )' || chr(10) || '1 भारतीय न्याय संहिता ( बी एन एस ) , 2023 ' || CAST(o_orderkey % 300 + 20 AS STRING) || chr(10) || '2 भारतीय न्याय संहिता ( बी एन एस ) , 2023 115 ( ' || CAST(o_orderkey % 4 + 1 AS STRING) || ' )' || chr(10) || chr(10)
@@ -64,13 +66,17 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
         || '7. Details of known / suspected accused' || chr(10) || chr(10) || '8. Reasons for delay in reporting :' || chr(10) || chr(10) || '9. Particulars of properties of interest :' || chr(10) || '1 Coin and Currency  Indian Currency  ' || CAST(o_orderkey % 40 AS STRING) || ' notes  ' || CAST(o_orderkey AS STRING) || chr(10) || chr(10)
         || '10. Total value of property ( In Rs ) : ' || CAST(o_orderkey AS STRING) || chr(10) || chr(10) || '11. Inquest Report / U.D. case No. , if any : 1 UD/' || CAST(o_orderkey AS STRING) || chr(10) || chr(10)
         || '12. First Information contents ( तथ्य ):' || chr(10) || 'वहां पर मौजूद योगेश पुत्र हरि सिंह गौरव सिंह पुत्र हरि सिंह ने' || chr(10) || 'report ' || CAST(o_orderkey AS STRING) || chr(10) || chr(10) || 'second part' || chr(10) || chr(10)
-        || '13. Action taken :' || chr(10) || '( 1 ) Registered the case and took up the investigation' || chr(10) || '( 2 ) Directed ( Name of I.O. ) ( नाम ) : officer ' || CAST(o_orderkey % 60 AS STRING) || ' Rank ( पद ) : उपनिरीक्षक No. ( सं . ) :' || chr(10) || chr(10) || '14. Signature' || chr(10) || chr(10) || '15. Date and time of dispatch' AS text FROM {orders}""",
+        || '13. Action taken :' || chr(10) || '( 1 ) Registered the case and took up the investigation' || chr(10) || '( 2 ) Directed ( Name of I.O. ) ( नाम ) : officer ' || CAST(o_orderkey % 60 AS STRING) || ' Rank ( पद ) : उपनिरीक्षक No. ( सं . ) :' || chr(10) || chr(10) || '14. Signature' || chr(10) || chr(10) || '15. Date and time of dispatch' AS text FROM {m_keys}""",
     "m_lists": """SELECT CAST(date_trunc('month', o_orderdate) AS STRING) AS list_id, CAST(o_custkey % 20 AS INT) AS page,
         CASE WHEN o_custkey % 20 % 3 = 0 THEN 'Court No-' || CAST(o_custkey % 20 AS STRING) || chr(10) ELSE '' END AS head, o_orderkey,
         '  ' || CAST(o_orderkey % 9000 + 1 AS STRING) || ' Pet ' || CAST(o_custkey AS STRING) || '   VS   Resp ' || CAST(o_orderkey AS STRING) || chr(10) AS body, 'WRIA/' || CAST(o_orderkey % 5000 AS STRING) || '/2026' AS cn FROM {orders}""",
 }
 
 
+#: Tables of narrow keys from which long texts are made: dealt out first, as their few bytes would be read by one task.
+SPREAD = {"m_keys": "o_orderkey"}
+
+
 def parts(name: str) -> list[str]:
     sql = ADAPTERS[name]
     return sorted(set(re.findall(r"\{(\w+)\}", sql if isinstance(sql, str) else sql[0])))
@@ -81,7 +87,8 @@ def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in ADAPTERS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = ADAPTERS[name]
-    return spark.sql(sql if isinstance(sql, str) else sql[0], **{p: model(spark, sf_dir, p) for p in parts(name)})
+    out = spark.sql(sql if isinstance(sql, str) else sql[0], **{p: model(spark, sf_dir, p) for p in parts(name)})
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD[name]) if name in SPREAD else out
 
 
 def with_models(sql: str) -> str:

@@ -12,6 +12,7 @@ from docketry.functions import jsonx, text
 from docketry.operators import cases, context, forms, listings, pages, render, tables
 from docketry.plans.adapters import model, with_models
 from docketry.sources import tables as src
+from docketry.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,14 +106,75 @@ def asof_date(m):
     return listings.asof_date(*_asof(m)).withColumn("target", F.col("target").cast("string"))
 
 
+def _pages(m):
+    """Pages of lists: each row of a page is a line with a serial and parties, and a case number."""
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat("body", "cn").alias("t"))))
+    return m("m_lists").groupBy("list_id", "page", "head").agg(F.concat("head", F.array_join(F.transform(rows, lambda r: r["t"]), "\n")).alias("text"))
+
+
 @query("""WITH first AS (SELECT list_id, page, o_orderkey, body, cn, row_number() OVER (PARTITION BY list_id, cn ORDER BY page, o_orderkey) AS k FROM m_lists),
-h AS (SELECT DISTINCT list_id, page, nullif(regexp_extract(head, 'No-(\\d+)', 1), '') AS c FROM m_lists),
-c AS (SELECT list_id, page, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY list_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'UNKNOWN') AS court FROM h)
-SELECT f.list_id, f.page, court AS court_number, CAST(trim(regexp_extract(body, '^ +(\\d+)', 1)) AS INT) AS serial_number, cn AS case_number, 'WRIA' AS case_type_raw FROM first f JOIN c ON f.list_id = c.list_id AND f.page = c.page WHERE k = 1""")
+h AS (SELECT list_id, page, nullif(regexp_extract(any_value(head), 'No-(\\d+)', 1), '') AS c, any_value(head) || string_agg(body || cn, chr(10) ORDER BY o_orderkey) AS text FROM m_lists GROUP BY 1, 2),
+c AS (SELECT list_id, page, text, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY list_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'UNKNOWN') AS court FROM h),
+x AS (SELECT f.list_id, f.page, court, body, cn, strpos(text, cn) - 1 AS spot, text FROM first f JOIN c ON f.list_id = c.list_id AND f.page = c.page WHERE k = 1),
+y AS (SELECT *, substr(text, greatest(1, spot - 299), least(spot, 300)) AS near FROM x),
+z AS (SELECT *, substr(near, 1, strpos(near, '   VS   ') - 1) AS l, substr(near, strpos(near, '   VS   ') + 8) AS r, strpos(near, '   VS   ') > 0 AS has FROM y),
+p AS (SELECT *, CASE WHEN has THEN nullif(trim(regexp_replace(string_split(trim(l), chr(10))[-1], '\\s+', ' ', 'g')), '') END AS petitioner, CASE WHEN has THEN nullif(trim(regexp_replace(string_split(ltrim(r), chr(10))[1], '\\s+', ' ', 'g')), '') END AS respondent FROM z)
+SELECT list_id, page, CAST(spot AS INT) AS "at", court AS court_number, CAST(trim(regexp_extract(body, '^ +(\\d+)', 1)) AS INT) AS serial_number, cn AS case_number, petitioner, respondent,
+CASE WHEN petitioner IS NOT NULL OR respondent IS NOT NULL THEN trim(coalesce(petitioner, '') || ' VS ' || coalesce(respondent, '')) END AS case_title, 'WRIA' AS case_type_raw FROM p""")
 def parse_listings(m):
-    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat("body", "cn").alias("t"))))
-    p = m("m_lists").groupBy("list_id", "page", "head").agg(F.concat("head", F.array_join(F.transform(rows, lambda r: r["t"]), "\n")).alias("text"))
-    return listings.parse_listings(p.select("list_id", "page", "text")).select("list_id", "page", "court_number", "serial_number", "case_number", "case_type_raw")
+    return listings.parse_listings(_pages(m).select("list_id", "page", "text"))
+
+
+_NEAREST = _FUZZY.split("ex AS", 1)[1]
+
+_BATCHES = f"""WITH d AS (SELECT *, CAST(substr(list_id, 1, 10) AS DATE) AS day FROM m_lists), n AS (SELECT 0 AS batch, * FROM d WHERE o_orderkey % 4 = 0 UNION ALL SELECT 1, * FROM d),
+first AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY batch, list_id, cn ORDER BY page, o_orderkey) = 1),
+h AS (SELECT DISTINCT batch, list_id, page, nullif(regexp_extract(head, 'No-(\\d+)', 1), '') AS c FROM n),
+c AS (SELECT batch, list_id, page, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY batch, list_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'UNKNOWN') AS court FROM h),
+rows AS (SELECT f.batch, day, f.page, o_orderkey AS k, f.batch || ':' || o_orderkey AS row_id, court, CAST(trim(regexp_extract(body, '^ +(\\d+)', 1)) AS INT) AS serial, cn FROM first f JOIN c ON f.list_id = c.list_id AND f.page = c.page AND f.batch = c.batch),
+a AS (SELECT row_id, lower(replace(cn, '/', '')) AS a FROM rows),
+b AS (SELECT min(case_id) AS case_id, b FROM (SELECT case_id, lower(replace(number, '-', '')) AS b FROM m_listchoices) GROUP BY b),
+ex AS {_NEAREST.split("SELECT row_id, case_id, score FROM ex")[0].rstrip()},
+best AS (SELECT row_id, case_id FROM ex UNION ALL SELECT row_id, case_id FROM t JOIN a USING (a) WHERE k = 1),
+m AS (SELECT rows.*, case_id AS hit FROM rows LEFT JOIN best USING (row_id)),
+e AS (SELECT * FROM m WHERE batch = 0),
+no AS (SELECT day, cn, arg_max(row_id, (page, k)) AS id FROM e GROUP BY 1, 2), cs AS (SELECT day, court, serial, arg_max(row_id, (page, k)) AS id FROM e GROUP BY 1, 2, 3),
+u AS (SELECT m.*, coalesce(no.id, cs.id) AS old FROM m LEFT JOIN no ON m.day = no.day AND m.cn = no.cn LEFT JOIN cs ON m.day = cs.day AND m.court = cs.court AND m.serial = cs.serial WHERE batch = 1),
+v AS (SELECT u.*, CASE WHEN old IS NOT NULL AND row_number() OVER w > 1 THEN lag(u.hit) OVER w ELSE e.hit END AS prev, row_number() OVER (PARTITION BY old ORDER BY u.page DESC, u.k DESC) AS back FROM u LEFT JOIN e ON e.row_id = u.old WINDOW w AS (PARTITION BY old ORDER BY u.page, u.k)),
+final AS (SELECT batch, day, court, serial, cn, hit FROM v WHERE old IS NULL OR back = 1 UNION ALL SELECT batch, day, court, serial, cn, hit FROM e WHERE row_id NOT IN (SELECT old FROM v WHERE old IS NOT NULL)),
+ev AS (SELECT batch, day, page, k, court, serial, cn, hit, NULL AS prev FROM e UNION ALL SELECT batch, day, page, k, court, serial, cn, hit, prev FROM v),
+note AS (SELECT *, 'cause_list_match:' || CAST(day AS STRING) || ':' || hit AS dk FROM ev WHERE hit IS NOT NULL AND hit IS DISTINCT FROM prev QUALIFY row_number() OVER (PARTITION BY day, hit ORDER BY batch, page, k) = 1)
+"""
+
+
+@query(_BATCHES + """SELECT 'row' AS kind, batch, CAST(day AS STRING) || ' ' || cn AS what, hit AS who, court || ':' || serial AS text FROM final
+UNION ALL SELECT 'note', batch, dk, lawyer_id, 'Case listed on ' || strftime(day, '%d %b %Y') || ': ' || cn || ' is listed in Court ' || court || ', Serial ' || serial || ' on ' || strftime(day, '%d %b %Y') || '.' FROM note JOIN m_cases ON id = hit
+UNION ALL SELECT 'stats', 0, NULL, NULL, count(*) || ',' || count(*) || ',0,' || count(hit) FROM e
+UNION ALL SELECT 'stats', 1, NULL, NULL, count(*) || ',' || count(*) FILTER (old IS NULL) || ',' || count(old) || ',' || count(hit) FROM v""")
+def cause_list_batch(m):
+    """Two batches of pages, the second one run twice, as a stream whose driver was lost would do it."""
+    p = lambda where: _pages(lambda name: m(name).where(where)).withColumn("listing_date", F.to_date(F.left("list_id", F.lit(10))))
+    root = src.shared_path(m("m_lists").sparkSession, "cause_lists")
+    for number, where in ((0, "o_orderkey % 4 = 0"), (1, "true"), (1, "true")):
+        jobs.cause_list_batch(p(where), number, m("m_listchoices"), m("m_cases"), root)
+    t = jobs.cause_list_tables(m("m_lists").sparkSession, root)
+    rows = t["listings"].select(F.lit("row").alias("kind"), "batch", F.concat_ws(" ", F.col("listing_date").cast("string"), "case_number").alias("what"), F.col("matched_case_id").alias("who"), F.concat_ws(":", "court_number", "serial_number").alias("text"))
+    notes = t["notes"].select(F.lit("note"), "batch_id", "dedup_key", "user_id", F.concat_ws(": ", "title", "message"))
+    none = F.lit(None).cast("string")
+    return rows.union(notes).union(t["stats"].select(F.lit("stats"), "batch_id", none, none, F.concat_ws(",", *jobs.RUN)))
+
+
+@query("SELECT CAST(listing_date AS STRING) AS day, row_id, CASE WHEN CAST(row_id AS BIGINT) % 3 = 0 AND month(listing_date) = 3 THEN 'new ' || case_number ELSE case_number END AS case_number FROM m_listings UNION ALL SELECT CAST(listing_date AS STRING), 'x' || row_id, 'added' FROM m_listings WHERE month(listing_date) = 3 AND CAST(row_id AS BIGINT) % 5 = 0 UNION ALL SELECT CAST(listing_date AS STRING), 'y' || row_id, 'appended' FROM m_listings WHERE month(listing_date) = 7")
+def write_upsert(m):
+    """A table in folders by day; rows of every March put over it, only whose folders are written; and rows appended to every July."""
+    x = m("m_listings").select("listing_date", "row_id", "case_number")
+    path, n = src.shared_path(x.sparkSession, "listings"), F.col("row_id").cast("long")
+    src.append_rows(x, path)
+    march = x.where(F.month("listing_date") == 3)
+    new = march.where(n % 3 == 0).withColumn("case_number", F.concat(F.lit("new "), "case_number"))
+    src.write_upsert(new.unionByName(march.where(n % 5 == 0).select("listing_date", F.concat(F.lit("x"), "row_id").alias("row_id"), F.lit("added").alias("case_number"))), ["listing_date", "row_id"], path)
+    src.append_rows(x.where(F.month("listing_date") == 7).select("listing_date", F.concat(F.lit("y"), "row_id").alias("row_id"), F.lit("appended").alias("case_number")), path)
+    return src.read_parts(x.sparkSession, path, x.schema).select(F.col("listing_date").cast("string").alias("day"), "row_id", "case_number")
 
 
 # --- case store ---
@@ -213,6 +275,18 @@ def validate_rows(m):
     return v.select("row_id", F.array_join("violations", ",").alias("violations"))
 
 
+_CHECKED = """SELECT doc_id, repeat('9', CAST(doc_id % 104 AS INT)) AS case_number, CAST(1890 + doc_id % 220 AS INT) AS year, CAST(CAST(1990 + doc_id % 30 AS STRING) || '-06-15' AS DATE) AS filing_date, CAST(doc_id % 60 AS BIGINT) * 1048576 AS file_size,
+CASE WHEN doc_id % 7 = 0 THEN '12 34' WHEN doc_id % 7 = 1 THEN NULL ELSE '1234' END AS phone, mime AS mime_type FROM {0}"""
+
+
+@query(f"""SELECT doc_id, concat_ws(',', CASE WHEN NOT length(case_number) BETWEEN 1 AND 100 THEN 'number_length' END, CASE WHEN year < 1900 OR year > 2100 THEN 'year_range' END, CASE WHEN filing_date < DATE '2000-01-01' THEN 'date_range' END,
+CASE WHEN file_size = 0 OR file_size > 50 * 1024 * 1024 THEN 'size_limit' END, CASE WHEN NOT regexp_full_match(phone, '[0-9]+') THEN 'phone_digits' END, CASE WHEN mime_type NOT LIKE 'image/%' AND mime_type <> 'application/pdf' THEN 'mime_allowed' END) AS violations FROM ({_CHECKED.format('m_docs')})""")
+def validate_documents(m):
+    """The rules that come with the library."""
+    d = m("m_docs").sparkSession.sql(_CHECKED.format("{d}"), d=m("m_docs"))
+    return cases.validate_rows(d, cases.RULES).select("doc_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("WITH RECURSIVE t(id, root, depth) AS (SELECT id, id, 0 FROM m_drafts WHERE parent IS NULL OR parent NOT IN (SELECT id FROM m_drafts) UNION ALL SELECT d.id, t.root, t.depth + 1 FROM m_drafts d JOIN t ON d.parent = t.id) SELECT id, root, depth FROM t")
 def draft_lineage(m):
     d = m("m_drafts")
@@ -578,7 +652,7 @@ def explode_tables(m):
     cell = lambda t, c: F.concat(F.lit('{"text":"'), t, F.lit('","confidence":'), c, F.lit("}"))
     zero, k = F.lit("0"), F.concat((F.col("o_orderkey") % 5).cast("string"), F.lit("e-1"))
     js = F.concat(F.lit('{"pages":[{"page_number":1,"tables":[{"header_rows":[],"body_rows":[['), cell(F.lit("act"), zero), F.lit(","), cell(F.lit("sections"), zero), F.lit("],["), cell(F.lit(" 1 :"), F.lit("0.5")), F.lit(","), cell(F.col("o_custkey").cast("string"), k), F.lit('],[{"text":" "}]]}]}]}'))
-    t = tables.explode_tables(m("orders").select(F.col("o_orderkey").alias("doc_id"), js.alias("artifact")))
+    t = tables.explode_tables(m("m_keys").select(F.col("o_orderkey").alias("doc_id"), js.alias("artifact")))
     return t.select("doc_id", "page", F.array_join("headers", "|").alias("headers"), F.array_join(F.flatten("rows"), "|").alias("cells"), "confidence")
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -18,9 +21,40 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Data
 
 
 def append_rows(df: DataFrame, path: str, by: str = "listing_date") -> None:
+    """Appends rows to a table in folders by a column."""
     df.write.mode("append").partitionBy(by).parquet(path)
 
 
+def overwrite_parts(df: DataFrame, path: str, by: str = "listing_date") -> None:
+    """Replaces the folders of a table that df has rows of, and no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str, schema: StructType | str, values: list | None = None, by: str = "listing_date") -> DataFrame:
+    """The table, or only the folders of the given values: they reach the scan as a partition filter. A table that is not there is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(path)
+    return df if values is None else df.where(F.col(by).isin(values))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def once(df: Callable[[], DataFrame], path: str, spark: SparkSession) -> DataFrame:
+    """df() as a table in path, written unless a run before has written it to its end (then that stands, and df is not asked)."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def touched(df: DataFrame, by: str = "listing_date") -> list:
+    """The distinct values of a partition column, of which there are few."""
+    return sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect())
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href): links of a page in order."""
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"']*)["']"""), F.lit(1))).alias("pos", "href"))
@@ -51,18 +85,36 @@ def reconcile_uploads(docs: DataFrame, objects: DataFrame) -> DataFrame:
     return x.select("doc_id", "storage_key", new.alias("upload_status"), (open_ & F.col("_o").isNotNull()).alias("repaired"), (open_ & F.col("_o").isNull()).alias("missing"))
 
 
-def write_upsert(base: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
-    """Writes base with new put over it to another path: the base is read while it is written."""
+def write_upsert(new: DataFrame, keys: list[str], path: str, by: str = "listing_date", order: str | None = None, keep: list[str] = ()) -> list:
+    """Puts the rows of new over a table in folders by a column that is one of the keys. Only folders that new has rows of are read
+    and written again, the others keep their files. Returns the values of those folders.
+
+    They are replaced when all of them have been written; a driver that is lost while it replaces them can leave one short. A job
+    that must survive that writes the merged rows to a folder of its own first (streaming.jobs.cause_list_batch)."""
     from docketry.operators.cases import upsert
 
-    upsert(base, new, keys).write.mode("overwrite").parquet(path)
+    if by not in keys:
+        raise ValueError(f"{by} must be one of the keys, else a row could change its folder")
+    days = touched(new, by)
+    base = read_parts(new.sparkSession, path, new.schema, days, by)
+    overwrite_parts(upsert(base, new.where(F.col(by).isNotNull()), keys, keep, order), path, by)
+    return days
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the folder that spark.checkpoint.dir names; in a temporary one only where that is unset in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docketry-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names; a temporary one only where that is unset in local mode."""
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docketry-"))
+        shared_path(spark, "checkpoint")
     return df.checkpoint()

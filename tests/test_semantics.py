@@ -141,6 +141,79 @@ def test_parse_listings_carries_court_and_serial(spark):
     )
 
 
+def test_courts_over_many_pages(spark):
+    """One list of 100,000 pages: headers are carried over blocks of pages, none of which is all of the list."""
+    n = 100_000
+    p = spark.range(n).select(F.concat(F.lit("l"), F.col("id") % 1).alias("list_id"), F.col("id").cast("int").alias("page"), F.when(F.col("id") % 1337 == 700, F.concat(F.lit("Court No-"), F.col("id").cast("string"))).otherwise("x").alias("text"))
+    got = listings.courts_of(p)
+    want = F.when(F.col("page") < 700, "UNKNOWN").otherwise((F.floor((F.col("page") - 700) / 1337) * 1337 + 700).cast("string"))
+    assert got.count() == n and got.where(F.col("court_number") != want).count() == 0
+    assert got.groupBy(F.floor(F.col("page") / listings.PAGE_BLOCK)).count().agg(F.max("count")).first()[0] == listings.PAGE_BLOCK
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and sum("Window [" in line and "[list_id#" in line and "_block#" in line for line in plan.split("\n")) == 2
+
+
+def test_header_bounds(spark):
+    """The nearest header as by the plain measure; Python is asked only about headers whose letters could reach the ratio."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    aliases = [(" ".join(a.replace(".", " ").split()), k) for k, names in tables.HEADER_ALIASES.items() for a in names]
+
+    def misread(s):
+        s = list(s)
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(s) + 1)
+            s[i : i + r.randint(0, 1)] = r.choice([[], [r.choice("abcdeअन ")]])
+        return "".join(s)
+
+    words = [misread(r.choice(aliases)[0]) for _ in range(300)] + ["".join(r.choices("zqxwvk", k=r.randint(1, 12))) for _ in range(100)] + ["", "name", None]
+    d = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, header string")
+    keys = {x.i: x.k for x in d.select("i", tables.header_key(F.col("header")).alias("k")).collect()}
+
+    def best(k):
+        top = max(((SequenceMatcher(None, k, a).ratio(), key) for a, key in aliases), key=lambda x: x[0])
+        return top[1] if top[0] >= tables.HEADER_RATIO else k
+
+    got = {x.i: x.header_key for x in tables.normalize_headers(d).collect()}
+    assert got == {i: None if k is None else best(k) for i, k in keys.items()}
+    x = tables.with_reach(d.select(tables.header_key(F.col("header")).alias("_k")).where("_k IS NOT NULL").distinct()).collect()
+    assert all(v._reach >= max(SequenceMatcher(None, v._k, a).ratio() for a, _ in aliases) - 1e-9 for v in x)
+    asked = sum(v._same is None and v._reach >= tables.HEADER_RATIO - 1e-9 for v in x)
+    assert sum(v._same is not None for v in x) > 20 and asked < 0.75 * len(x)
+
+
+def test_tables_are_scored_once(spark):
+    """One Python evaluation in the plan, above the distinct headers, however the result is filtered."""
+    a = spark.createDataFrame([("d", "{}")], "doc_id string, artifact string")
+    plan = tables.explode_tables(a).where("size(headers) > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("from_json") == 0  # parsed before, once
+    assert "Aggregate [_k#" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_items_by_fold(spark):
+    """Numbered items against a plain model: repeated, nested, missing, large and Hindi numbers."""
+    import re
+
+    r = random.Random(6)
+    head = re.compile(r"(?:^|\n)\s*(\d{1,2})\s*[.)]\s*", re.M)
+
+    def items(text):
+        hits = [(m.start(), m.end(), int(m[1])) for m in head.finditer(text)]
+        out = {}
+        for n in range(1, 16):
+            first = next((h for h in hits if h[2] == n), None)
+            if first:
+                end = min((h[0] for h in hits if h[0] > first[0] and n < h[2] <= 15), default=len(text))
+                out[n] = text[first[1] : end].strip()
+        return out
+
+    texts = ["\n".join(r.choice([f"{r.randint(0, 17)}. word {r.randint(1, 9)}", "plain line", "१२. हिंदी", f"  {r.randint(1, 9)} ) x", "", f"{r.randint(1, 15)}."]) for _ in range(r.randint(0, 25))) for _ in range(150)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {x.doc_id: x["items"] for x in forms.with_items(d).collect()}
+    assert got == {i: items(t) for i, t in enumerate(texts)} and sum(len(v) for v in got.values()) > 500
+
+
 def test_version_timeline(spark):
     r, log, want = random.Random(2), [], []
     for case in range(5):
