@@ -33,6 +33,12 @@ class Value:
         self.b = b
         self.dead: dict[str, set[int]] = {}
         self.ends: dict[str, dict[int, int]] = {}
+        self._chunks: Chunks | None = None
+
+    def chunks(self) -> Chunks:
+        if self._chunks is None:
+            self._chunks = Chunks(self.b)
+        return self._chunks
 
     def walk(self, name: str, at: int, step: Callable[[int], tuple[str, int]]) -> int | None:
         """Follows step from place to place until it says "end" (then that place) or "no". Places that led nowhere are kept,
@@ -78,24 +84,54 @@ def _png(v: Value, at: int) -> int | None:
     return v.walk("png", at + 8, chunk)
 
 
+class Chunks:
+    """The chains of RIFF chunks from all headers of a value. A chunk's place says where the next one is, so chains that meet are one
+    from there on: a forest, in which a place is on the chain of a start if and only if it is an ancestor. Each place is looked at once."""
+
+    def __init__(self, b: bytes):
+        self.next: dict[int, int] = {}
+        at = b.find(b"RIFF")
+        while at >= 0:
+            p = at + 12
+            while p not in self.next and p + 8 <= len(b):
+                n = struct.unpack_from("<I", b, p + 4)[0]
+                self.next[p] = p = p + 8 + n + (n & 1)
+            at = b.find(b"RIFF", at + 1)
+        size: dict[int, int] = {}
+        for p in sorted({*self.next, *self.next.values()}):  # a chunk lies before the next one: children before parents
+            size[p] = size.get(p, 0) + 1
+            if p in self.next:
+                size[self.next[p]] = size.get(self.next[p], 0) + size[p]
+        self.first: dict[int, int] = {}
+        self.size, free, roots = size, {}, 0
+        for p in sorted(size, reverse=True):
+            up = self.next.get(p)
+            self.first[p] = roots if up is None else free[up]
+            if up is None:
+                roots += size[p]
+            else:
+                free[up] += size[p]
+            free[p] = self.first[p] + 1
+
+    def leads(self, start: int, to: int) -> bool:
+        """True if the chain from start comes by `to`; start itself counts."""
+        if start == to:
+            return True
+        return start in self.first and to in self.first and 0 <= self.first[start] - self.first[to] < self.size[to]
+
+
 def _riff(form: bytes) -> Callable[[Value, int], int | None]:
     def check(v: Value, at: int) -> int | None:
         b = v.b
         if at + 12 > len(b) or b[at + 8 : at + 12] != form:
             return None
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-        if end > len(b):
+        if end > len(b) or end < at + 12:
             return None
-
-        def chunk(p: int) -> tuple[str, int]:
-            if p in (end, end + 1):
-                return "end", end
-            if p + 8 > end:
-                return "no", p
-            n = struct.unpack_from("<I", b, p + 4)[0]
-            return "on", p + 8 + n + (n & 1)
-
-        return v.walk(f"riff{end}", at + 12, chunk)
+        chain = v.chunks()
+        # A last chunk of odd size has a byte of padding after it; a chunk whose head reaches over the end is none.
+        padded = chain.leads(at + 12, end + 1) and not (chain.next.get(end - 7) == end + 1 and chain.leads(at + 12, end - 7))
+        return end if chain.leads(at + 12, end) or padded else None
 
     return check
 

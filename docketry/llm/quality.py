@@ -121,9 +121,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return d.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality", "toxic")  # at most `sample` rows are broadcast
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 4000, least_docs: int = 4) -> Model:
-    """Fits on the sampled documents. The word list: words whose share among toxic documents exceeds that among the rest
-    by the largest z-score."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, least_docs: int = 4) -> Model:
+    """Fits on the sampled documents. The word list: all words in `least_docs` of them or more whose share among toxic documents
+    exceeds that among the rest by a z-score of over 3; only the sample bounds it."""
     small_batches(docs.sparkSession)
     lab = stored(labelled(docs, labels, sample), "labelled")
     of = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 400
         t = t.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= least_docs)
         rate = bad / total
         t = t.withColumn("z", (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-        top = t.where("z > 3").orderBy(F.desc("z"), "word").limit(words).collect()  # the model: at most `words` rows
+        top = t.where("z > 3").collect()  # the model: words of at most `sample` texts
         weights = {r["word"]: float(np.log((r["k"] + 0.5) / (bad + 1)) - np.log((r["n"] - r["k"] + 0.5) / (total - bad + 1))) for r in top}
     # One row of a few numbers for each of at most `sample` doc_ids reaches the driver; texts stay in the tasks.
     part = lab.mapInArrow(_features(weights), "doc_id long, x array<double>, quality int, toxic int")

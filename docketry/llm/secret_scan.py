@@ -34,8 +34,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "sshkey"]
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: Line breaks inside armour may be escaped, as in JSON.
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:\s|\\[nr])*(?:[A-Za-z][A-Za-z0-9-]*: [^\n\\]*(?:\r?\n|(?:\\r)?\\n))*)((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+#: Line breaks inside armour may be escaped, as in JSON. No part gives back what it took, each character can belong to one part
+#: only, and neither headers nor the body run on over other armour, so time is linear in the text.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----((?:\s|\\[nr])*+(?:[A-Za-z][A-Za-z0-9-]*+: (?:[^\n\\-]|-(?!----))*+(?:\r?\n|(?:\\r)?\\n))*+)(?:\s|\\[nr])*+([A-Za-z0-9+/](?:[A-Za-z0-9+/=\s]|\\[nr])*+)-----END \1-----")
 _ESCAPED = re.compile(r"\\[nr]")
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])AAAA[A-Za-z0-9+/]{20,}={0,2}")
 #: 0x30 is "M" and one of A-P; how long the key is, its length bytes say. Lines may be broken and indented.
