@@ -319,8 +319,28 @@ def shingle_set(text: str | None, shingle: int, bits: int) -> np.ndarray:
     return h[np.unique(np.ascontiguousarray(h[:, :8]).view("<u8").ravel(), return_index=True)[1]]
 
 
+#: Longs of a sketch: one bit of each of 64 times as many minima of hash functions over a shingle set. Two sets of similarity s
+#: agree in a bit with probability s + (1 - s) / 2. The first round compares FEW of them, the second all.
+SKETCH, FEW = 8, 4
+_ODD, _ADD = (np.random.default_rng(9).integers(0, 1 << 63, 64 * SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.random.default_rng(10).integers(0, 1 << 63, 64 * SKETCH, dtype=np.uint64))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The sketch of distinct 64-bit hashes, in blocks of bounded memory; without any, no bit is set."""
+    low = np.full(len(_ODD), np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 1024):
+        np.minimum(low, (h[i : i + 1024, None] * _ODD + _ADD).min(0), out=low)
+    return np.packbits((low >> np.uint64(17)).astype(np.uint8) & 1 if len(h) else np.zeros(len(_ODD), np.uint8), bitorder="little").view(np.uint64)
+
+
+def least_agreeing(near: float, longs: int, deviations: float) -> int:
+    """Bits in which two sets of similarity `near` agree at least, but for those so many standard deviations below the mean."""
+    n, p = 64 * longs, near + (1 - near) / 2
+    return int(np.floor(n * p - deviations * np.sqrt(n * p * (1 - p))))
+
+
 def _set_fingerprints(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, node (hash of the shingle set), n (its size), fp (majority over the set) for every row."""
+    """doc_id, text_hash, node (hash of the shingle set), n (its size), fp (majority over the set), sk (its sketch) for every row."""
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
 
@@ -332,10 +352,11 @@ def _set_fingerprints(docs: DataFrame, shingle: int, bits: int, id_col: str, tex
             sets = [shingle_set(t, shingle, bits) for t in b.column(2).to_pylist()]
             f = np.array([_majority(h, bits) for h in sets], np.uint64).view(np.int64).ravel()
             node = np.array([xxhash.xxh3_64_intdigest(np.ascontiguousarray(h[:, :8]).tobytes(), 42) for h in sets], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(f) + 1, w), pa.int32()), pa.array(f))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), lists], names=["doc_id", "text_hash", "node", "n", "fp"])
+            sk = np.array([sketch(np.ascontiguousarray(h[:, :8]).view("<u8").ravel()) for h in sets], np.uint64).view(np.int64).ravel()
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, k), pa.int32()), pa.array(v)) for v, k in ((f, w), (sk, SKETCH))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), *lists], names=["doc_id", "text_hash", "node", "n", "fp", "sk"])
 
-    return d.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp array<long>")
+    return d.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp array<long>, sk array<long>")
 
 
 def _set_of(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
@@ -352,31 +373,40 @@ def _set_of(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
+#: By how many standard deviations sketches may agree less than expected: of sets of SHORT shingles or more in the first round and
+#: in the second (0.966 and 0.971 of pairs at the threshold agree so well), and of smaller sets, whose bits catch fewer pairs.
+LONG_DEVIATIONS, SHORT_DEVIATIONS, SHORT = (1.83, 1.9), 3.4, 32
 #: Buckets of up to so many rows are compared by shifts of whole batches, larger ones each by itself.
 SHIFTS = 64
-#: A bucket with over so many candidates a member first gives one a member; the rest follow, between components.
-DENSE = 8
+#: A bucket with over so many candidates a member first gives one a member, the most alike; the rest follow, between components.
+DENSE = 2
 
 
-def _candidates(w: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None):
-    """Rows (table, key, node, n, f0.., and label, or the node is its label) ordered by table and key -> rows (kind, a, b).
+def _candidates(w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None):
+    """Rows (table, key, node, n, f0.., s0.., and label, or the node is its label) ordered by table and key -> rows (kind, a, b).
 
     kind -1: nodes a and b of different labels differ in at most k bits (of sets of long[0] or more long[1], if it is given),
-    and their sizes allow a similarity of `near`.
+    their sizes allow a similarity of `near`, and their sketches (m longs) agree as sets of that similarity do.
     kind -2: node a is in the dense bucket b. kind >= 0: node a is in a bucket of that table to be dealt anew.
     dense = None: every pair of every bucket is given, whatever its size."""
     names = ["kind", "a", "b"]
+    agree, agree_short = least_agreeing(near, m, LONG_DEVIATIONS[m > FEW]), least_agreeing(near, m, SHORT_DEVIATIONS)
 
     def batch_of(kind, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(a)).copy()), pa.array(a), pa.array(b)], names=names)
 
-    def close(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def close(x: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are candidates, and in how many bits the sketches of those agree."""
         d = _differ(x["fp"][i], x["fp"][j])
         ok = d <= k
         if long:
             ok[ok] = (d[ok] <= long[1]) | (np.minimum(x["n"][i[ok]], x["n"][j[ok]]) < long[0])
         ok[ok] = (x["label"][i[ok]] != x["label"][j[ok]]) & (np.minimum(x["n"][i[ok]], x["n"][j[ok]]) >= near * np.maximum(x["n"][i[ok]], x["n"][j[ok]]))
-        return ok
+        short = np.minimum(x["n"][i[ok]], x["n"][j[ok]]) < SHORT
+        alike = 64 * m - _differ(x["sk"][i[ok]], x["sk"][j[ok]])
+        good = alike >= np.where(short, agree_short, agree)
+        ok[ok] = good
+        return ok, alike[good]
 
     def small(x: dict, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(starts)), sizes)
@@ -388,17 +418,18 @@ def _candidates(w: int, k: int, long: tuple[int, int] | None, near: float, bucke
             if not on.any():
                 break
             pos, left, of = pos[on], left[on], of[on]
-            ok = close(x, pos, pos + s)
-            found.append((pos[ok], pos[ok] + s, of[ok]))
+            ok, alike = close(x, pos, pos + s)
+            found.append((pos[ok], pos[ok] + s, of[ok], alike))
         if not found:
             return
-        i, j, of = (np.concatenate(c) for c in zip(*found, strict=True))
+        i, j, of, alike = (np.concatenate(c) for c in zip(*found, strict=True))
         if dense is not None and len(i):
             full = np.bincount(of, minlength=len(sizes)) > dense * sizes
             if full.any():
                 rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[full].tolist(), sizes[full].tolist(), strict=True)])
                 yield batch_of(-2, x["node"][rows], x["key"][rows].astype(np.int64))
-                order = np.lexsort((i, j))
+                # The partner that is most alike: mostly the same one in every bucket that both are in.
+                order = np.lexsort((x["node"][i], -alike, j))
                 first = np.zeros(len(i), bool)
                 first[order[np.unique(j[order], return_index=True)[1]]] = True
                 keep = first | ~full[of]
@@ -407,18 +438,19 @@ def _candidates(w: int, k: int, long: tuple[int, int] | None, near: float, bucke
 
     def large(x: dict, at: int, n: int) -> Iterator[pa.RecordBatch]:
         step, kept, count = max(1, (1 << 20) // n), [], 0
-        first = np.full(n, -1)
+        first, best = np.full(n, -1), np.full(n, -1)
         for a in range(0, n, step):
             i, j = np.triu_indices(min(step, n - a), 1, n - a)
             i, j = i + a, j + a
-            ok = close(x, i + at, j + at)
+            ok, alike = close(x, i + at, j + at)
             i, j = i[ok], j[ok]
             if dense is None:
                 yield batch_of(-1, x["node"][i + at], x["node"][j + at])
                 continue
-            new = np.unique(j, return_index=True)
-            open_ = first[new[0]] < 0
-            first[new[0][open_]] = i[new[1][open_]]
+            order = np.lexsort((x["node"][i + at], -alike, j))
+            top = order[np.unique(j[order], return_index=True)[1]]
+            top = top[alike[top] > best[j[top]]]
+            first[j[top]], best[j[top]] = i[top], alike[top]
             count += len(i)
             if count <= dense * n:
                 kept.append((i, j))
@@ -452,8 +484,8 @@ def _candidates(w: int, k: int, long: tuple[int, int] | None, near: float, bucke
             if not batch.num_rows:
                 continue
             c = [v.to_numpy(zero_copy_only=False) for v in batch.columns]
-            x = dict(zip(["table", "key", "node", "n"], c, strict=False)) | {"fp": np.stack([f.view(np.uint64) for f in c[4 : 4 + w]], axis=1)}
-            x["label"] = c[4 + w] if len(c) > 4 + w else x["node"]
+            x = dict(zip(["table", "key", "node", "n"], c, strict=False)) | {name: np.stack([f.view(np.uint64) for f in c[a:b]], axis=1) for name, a, b in (("fp", 4, 4 + w), ("sk", 4 + w, 4 + w + m))}
+            x["label"] = c[4 + w + m] if len(c) > 4 + w + m else x["node"]
             if held is not None:
                 x = {m: np.concatenate([held[m], x[m]]) for m in x}
                 held = None
@@ -479,24 +511,35 @@ def _candidates(w: int, k: int, long: tuple[int, int] | None, near: float, bucke
     return run
 
 
-def _candidate_rows(x: DataFrame, w: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None, name: str) -> DataFrame:
-    """x: table, key, node, n, fp and perhaps label."""
+def _candidate_rows(x: DataFrame, w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None, name: str) -> DataFrame:
+    """x: table, key, node, n, fp, sk (of which m longs are used) and perhaps label."""
     spark = x.sparkSession
-    x = x.select("table", "key", "node", "n", *[F.element_at("fp", i + 1).alias(f"f{i}") for i in range(w)], *[c for c in x.columns if c == "label"])
+    x = x.select("table", "key", "node", "n", *[F.element_at("fp", i + 1).alias(f"f{i}") for i in range(w)], *[F.element_at("sk", i + 1).alias(f"s{i}") for i in range(m)], *[c for c in x.columns if c == "label"])
     small_batches(spark, 1 << 15)  # numbers only
-    out = stored(x.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_candidates(w, k, long, near, bucket, dense), "kind int, a long, b long"), name)
+    out = stored(x.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_candidates(w, m, k, long, near, bucket, dense), "kind int, a long, b long"), name)
     small_batches(spark)
     return out
 
 
+def wide_enough(n: int, tables: int, width: int, bucket: int, differ: float = 24 / 128) -> tuple[int, int]:
+    """(tables, width) for n fingerprints: masks as wide as buckets of half the limit need, and as many more of them as keep the
+    probability that two texts that differ in such a share of bits meet in some bucket. So only uneven buckets are dealt anew."""
+    wide = width
+    while n > (bucket << wide) // 2:
+        wide += 1
+    miss = lambda w: np.log1p(-((1 - differ) ** w))
+    return int(np.ceil(tables * miss(width) / miss(wide) - 1e-9)), wide
+
+
 def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22, bits: int = 128, tables: int = 64, width: int = 20, finer: tuple[int, int] = (16, 8), long: tuple[int, int] | None = None, bucket: int = BUCKET, dense: int = DENSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, component_id as near_duplicates gives them, where a link is a Jaccard similarity of shingle sets of `near` or more.
 
-    Candidates are the pairs of distinct sets that share a bucket and differ in at most k bits (long: _candidates); all of them are compared
-    by their sets, unless other links join them already. fp is the hash that stands for the whole component."""
+    Candidates are the pairs of distinct sets that share a bucket, differ in at most k bits (long: _candidates) and agree in their
+    sketches, which rule out most of what is less similar before it is listed; all of them are compared by their sets, unless other
+    links join them already. fp is the hash that stands for the whole component."""
     spark, w = docs.sparkSession, bits // 64
     f = stored(_set_fingerprints(docs, shingle, bits, id_col, text_col), "fingerprints")
-    classes = stored(f.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first(F.struct("doc_id", "text_hash")).alias("rep")), "classes")
+    classes = stored(f.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sk").alias("sk"), F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first(F.struct("doc_id", "text_hash")).alias("rep")), "classes")
 
     def paired(x: DataFrame) -> DataFrame:
         return stored(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -511,21 +554,24 @@ def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22,
         both = F.size(F.array_intersect("sa", "sb"))
         return stored(x.where(both >= F.lit(near) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "confirmed")
 
+    tables, width = wide_enough(classes.count(), tables, width, bucket)
     level = [(0, p) for p in sampled_masks(bits, tables, width)]
-    todo = classes.select(F.lit(0).alias("parent"), "node", "n", "fp")
+    todo = classes.select(F.lit(0).alias("parent"), "node", "n", "fp", "sk")
     pairs = thick = None
+    done: list[DataFrame] = []
     while level:
         rows = [(parent, t, *_words(p, w)) for t, (parent, p) in enumerate(level)]
         masks = spark.createDataFrame(rows, ", ".join(["parent int", "table int", *[f"m{i} long" for i in range(w)]]))
         x = todo.join(F.broadcast(masks), "parent")
         # 32 bits of the key: buckets that share them are compared as one, which loses nothing.
         key = F.hash("table", *[F.element_at("fp", i + 1).bitwiseAND(F.col(f"m{i}")) for i in range(w)])
-        found = _candidate_rows(x.select("table", key.alias("key"), "node", "n", "fp"), w, k, long, near, bucket, dense, "candidates")
+        found = _candidate_rows(x.select("table", key.alias("key"), "node", "n", "fp", "sk"), w, FEW, k, long, near, bucket, dense, "candidates")
         add = lambda all_, kind: found.where(F.col("kind") == kind).select("a", "b") if all_ is None else all_.unionByName(found.where(F.col("kind") == kind).select("a", "b"))  # noqa: B023, E731
         pairs, thick = add(pairs, -1), add(thick, -2)
+        done.append(found)
         hot = sorted(r[0] for r in found.where("kind >= 0").select("kind").distinct().collect())  # numbers of masks, not rows
         level = [(t, p) for t in hot for p in finer_sampled(bits, *finer, level[t][1])]
-        todo = found.where("kind >= 0").select(F.col("kind").alias("parent"), F.col("a").alias("node")).join(classes.select("node", "n", "fp"), "node")
+        todo = found.where("kind >= 0").select(F.col("kind").alias("parent"), F.col("a").alias("node")).join(classes.select("node", "n", "fp", "sk"), "node")
 
     pairs = paired(pairs)
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(thick.select(F.col("a").alias("node"))))  # read by both rounds
@@ -533,13 +579,16 @@ def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22,
     found = stored(connected_components(links), "members")
     if thick.limit(1).count():
         # What is left between the components of dense buckets.
-        x = thick.select(F.col("b").alias("key"), F.col("a").alias("node")).join(classes.select("node", "n", "fp"), "node").join(found, "node", "left")
-        x = x.select(F.lit(0).alias("table"), "key", "node", "n", F.coalesce("root", "node").alias("label"), "fp")
-        more = paired(_candidate_rows(x, w, k, long, near, bucket, None, "rest").select("a", "b"))
-        links = links.unionByName(confirmed(more, sets))
-        found = stored(connected_components(links), "members")
-        discard(more)
-    discard(pairs, sets)
+        x = thick.select(F.col("b").alias("key"), F.col("a").alias("node")).join(classes.select("node", "n", "fp", "sk"), "node").join(found, "node", "left")
+        x = x.select(F.lit(0).alias("table"), "key", "node", "n", F.coalesce("root", "node").alias("label"), "fp", "sk")
+        rest = _candidate_rows(x, w, SKETCH, k, long, near, bucket, None, "rest")
+        more = paired(rest.select("a", "b"))
+        discard(rest)
+        again = confirmed(more, sets)
+        both, first = stored(connected_components(links.unionByName(again)), "members"), found
+        discard(more, again, first)
+        found = both
+    discard(pairs, sets, links, *done)
     of = classes.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     of = of.join(least, "root").select("node", "root", "component_id")

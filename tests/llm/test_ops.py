@@ -288,6 +288,45 @@ def test_similar_groups_are_those_of_confirmed_pairs(spark, limits):
     assert {x.doc_id: x.component_id for x in simhash.similar_groups(d, **options).collect()} == dict(enumerate(root))
 
 
+def test_family_below_the_threshold(spark, monkeypatch):
+    """400 variants of one text, none at 0.8 with another: a part of the pairs is listed, and all are kept."""
+    r = np.random.default_rng(13)
+    w, texts = drawn(r, 300), []
+    for _ in range(400):
+        texts.append(edited(r, w, 0.8, 0.84))  # of the base, which is no text itself
+    pairs = [jaccard(texts[i], texts[j]) for i, j in r.integers(0, 400, (300, 2)).tolist() if i != j]
+    assert max(pairs) < 0.8 and np.mean(pairs) > 0.6
+    listed, plain = [], simhash.stored
+
+    def counted(df, name, path=None):
+        out = plain(df, name, path)
+        if name == "pairs":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert simhash.one_of_each(d, **simhash.SIMILAR).count() == 400 and sum(listed) < 79_800 / 5, listed
+
+
+
+def test_sketches():
+    """Sketches agree as often as sets do; masks grow with the number of fingerprints, and their number with them."""
+    r = np.random.default_rng(14)
+    for share in (0.5, 0.8, 0.95):
+        got = []
+        for _ in range(60):
+            h = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+            n = round(400 * share)
+            a, b = h[:n], h  # b holds a: similarity is n / 400
+            got.append(512 - int(np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b)).sum()))
+        assert abs(np.mean(got) / 512 - (share + (1 - share) / 2)) < 0.01
+    assert not simhash.sketch(np.zeros(0, np.uint64)).any()
+    assert simhash.wide_enough(1 << 20, 72, 14, 8192) == (72, 14) and simhash.wide_enough(0, 72, 14, 8192) == (72, 14)
+    tables, width = simhash.wide_enough(10**10, 72, 14, 8192)
+    assert width == 22 and (10**10 >> width) <= 4096 and 380 < tables < 400
+
+
 @pytest.mark.parametrize("words", [8, 40, 300])
 def test_recall_at_the_edge(spark, words):
     """Nine of ten copies at 0.80-0.83 at least are caught, short texts too (8 words: 4 shingles of 5 are shared)."""
