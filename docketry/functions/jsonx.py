@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAP = "map<string,string>"
@@ -60,6 +60,41 @@ def context_hash(m: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))), 256)
 
 
+def json_depth(raw: Column) -> Column:
+    """How deep objects and lists are nested in JSON text: the highest count of open brackets outside of strings."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("{", "["), 1).when(c == "", 0).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(bare, ""), start, step, lambda acc: acc["most"])
+
+
+def flatten_json(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """keys, path, kind, value: the leaves of JSON texts of any depth, one row each; empty objects and lists are leaves too.
+
+    One pass over the texts tells how many levels there are; the levels are then unfolded row by row, without a shuffle. path: an
+    array of steps, each a key or a place; kind: object, array, string, number, boolean or null. A text that does not parse (or names
+    a key twice) has one row of nulls. keys should tell the rows of df apart."""
+    levels = df.agg(F.max(json_depth(F.col(col)))).first()[0] or 0
+    steps = F.array().cast("array<struct<key:string,pos:int>>")
+    x = df.select(*keys, F.try_parse_json(F.col(col)).alias("_v"), steps.alias("path"))
+    for _ in range(levels):
+        x = x.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
+        inner = F.col("pos").isNotNull()
+        path = F.when(inner, F.array_append("path", F.struct(F.col("key"), F.when(F.col("key").isNull(), F.col("pos")).alias("pos")))).otherwise(F.col("path"))
+        x = x.select(*keys, F.when(inner, F.col("value")).otherwise(F.col("_v")).alias("_v"), path.alias("path"))
+    kind = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0)
+    named = F.when(kind.isin("OBJECT", "ARRAY", "STRING", "BOOLEAN"), F.lower(kind)).when(kind == "VOID", "null").when(kind.isNotNull(), "number")
+    return x.select(*keys, F.when(kind.isNotNull(), F.col("path")).alias("path"), named.alias("kind"), F.to_json("_v").alias("value"))
+
+
+def canonical_hashes(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """keys, hash, leaves: sha256 over the sorted leaves of a JSON text, so that it depends on no order of keys, but on that of lists;
+    null for a text that does not parse."""
+    leaf = F.struct("path", "kind", "value")
+    g = flatten_json(df, keys, col).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), leaf))).alias("_l"))
+    return g.select(*keys, F.when(F.size("_l") > 0, F.sha2(F.to_json("_l"), 256)).alias("hash"), F.size("_l").alias("leaves"))
+
+
 def dedupe_ids(ids: Column, most: int = 20) -> Column:
     """struct(ids without repeats in order, ok): ok unless more than `most` remain."""
     d = F.array_distinct(ids)

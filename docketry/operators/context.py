@@ -54,6 +54,46 @@ def push_context(entries: DataFrame, budget: int = CASE_BUDGET) -> DataFrame:
     return last.withColumn("tokens", tokens_estimate(F.col("content"))).withColumn("case_tokens", t).withColumn("fits", F.col("case_tokens") <= budget)
 
 
+def context_entries(contexts: DataFrame) -> DataFrame:
+    """contexts(case_id, context_json) as one long table (case_id, part, pos, name, entry): both layouts of a context, the list of
+    `documents` with their ids (part "documents", in order) and all other keys (part "keys"); entries are JSON texts, keys in order.
+    Members of the list that are no objects, and a `documents` that is no list, are passed over."""
+    tvf, kind = contexts.sparkSession.tvf, lambda v: F.schema_of_variant(v)
+    v = contexts.select("case_id", F.try_parse_json("context_json").alias("v")).where(kind("v").startswith("OBJECT"))
+    docs = v.select("case_id", F.try_variant_get("v", "$.documents", "variant").alias("d")).where(kind("d").startswith("ARRAY"))
+    docs = docs.lateralJoin(tvf.variant_explode(F.col("d").outer())).where(kind("value").startswith("OBJECT"))
+    docs = docs.select("case_id", F.lit("documents").alias("part"), "pos", F.try_variant_get("value", "$.document_id", "string").alias("name"), F.to_json("value").alias("entry"))
+    keys = v.lateralJoin(tvf.variant_explode(F.col("v").outer())).where("key <> 'documents'")
+    return docs.unionByName(keys.select("case_id", F.lit("keys").alias("part"), "pos", F.col("key").alias("name"), F.to_json("value").alias("entry")))
+
+
+def push_documents(contexts: DataFrame, pushes: DataFrame, budget: int = CASE_BUDGET) -> DataFrame:
+    """contexts(case_id, context_json, pushed_documents map) after pushes(case_id, doc_id, seq, part, entry, meta).
+
+    Of pushes of one document to one part the last by seq counts. In `documents` it takes the place at the end, an entry with its id
+    is gone; in `keys` it is set under its id. Its meta goes to pushed_documents. All pushes to a case are one: if the context would
+    have more tokens than the budget, the case keeps what it had (accepted is false; null where nothing was pushed). tokens: of the
+    context with the pushes. Entries meet by case and document first, so that copies are gone before a case's entries are collected."""
+    last = pushes.groupBy("case_id", "part", "doc_id").agg(F.max_by(F.struct("entry", "meta", "seq"), "seq").alias("l"))
+    new = last.select("case_id", "part", F.struct(F.lit(1).alias("new"), F.col("l.seq").cast("long").alias("pos")).alias("at"), F.col("doc_id").alias("name"), "l.entry")
+    old = context_entries(contexts).join(pushes.select("case_id").distinct(), "case_id", "left_semi")
+    old = old.select("case_id", "part", F.struct(F.lit(0).alias("new"), F.col("pos").cast("long").alias("pos")).alias("at"), "name", "entry")
+    same = (old["case_id"] == last["case_id"]) & (old["part"] == last["part"]) & (old["name"] == last["doc_id"])
+    rows = old.join(last, same, "left_anti").unionByName(new)
+    pick = lambda part, by: F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct(by, "name", "entry"))))
+    rows = rows.groupBy("case_id").agg(pick("keys", F.col("name").alias("by")).alias("_k"), pick("documents", F.col("at").alias("by")).alias("_d"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    body = F.transform("_k", lambda e: F.concat(quoted(e["name"]), F.lit(":"), e["entry"]))
+    docs = F.concat(F.lit('"documents":['), F.array_join(F.transform("_d", lambda e: e["entry"]), ","), F.lit("]"))
+    text = F.concat(F.lit("{"), F.array_join(F.when(F.size("_d") > 0, F.array_append(body, docs)).otherwise(body), ","), F.lit("}"))
+    metas = last.groupBy("case_id", "doc_id").agg(F.max_by("l.meta", "l.seq").alias("meta")).groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "meta")))).alias("_m"))
+    x = contexts.join(rows.select("case_id", text.alias("_new")).join(metas, "case_id"), "case_id", "full").withColumn("tokens", tokens_estimate(F.coalesce("_new", "context_json")))
+    ok = F.col("_new").isNotNull() & (F.col("tokens") <= budget)
+    before = F.coalesce("pushed_documents", F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(before, lambda k, v: ~F.array_contains(F.map_keys("_m"), k)), F.col("_m"))
+    return x.select("case_id", F.when(ok, F.col("_new")).otherwise(F.col("context_json")).alias("context_json"), F.when(ok, merged).otherwise(before).alias("pushed_documents"), "tokens", F.when(F.col("_new").isNotNull(), ok).alias("accepted"))
+
+
 def token_budget(texts: DataFrame, budget: int = CASE_BUDGET) -> DataFrame:
     g = texts.groupBy("case_id").agg(F.sum(tokens_estimate(F.col("text"))).alias("tokens"))
     return g.withColumn("within_budget", F.col("tokens") <= budget)

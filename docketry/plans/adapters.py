@@ -10,6 +10,12 @@ _KIND = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'WRIA' WHEN '2' THEN '
 _STEP = "CASE event_type WHEN 'signup' THEN {0} WHEN 'view' THEN {1} WHEN 'click' THEN {2} WHEN 'purchase' THEN {3} ELSE {4} END"
 _NUM = "CAST((o_orderkey * 7919) % 1000003 AS STRING)"
 
+
+def _braced(sql: str) -> tuple[str, str]:
+    """SQL with braces in its texts: doubled for Spark, but for those around table names."""
+    return re.sub(r"\{\{(\w+)\}\}", r"{\1}", sql.replace("{", "{{").replace("}", "}}")), sql
+
+
 #: name -> SQL, or (Spark SQL, DuckDB SQL) where they differ. {x} is another model table or a driver table.
 ADAPTERS: dict[str, str | tuple[str, str]] = {
     "m_cases": f"""SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS lawyer_id, 'State vs party ' || CAST(o_custkey % 97 AS STRING) AS case_title,
@@ -51,6 +57,9 @@ ADAPTERS: dict[str, str | tuple[str, str]] = {
     "m_exlog": f"SELECT user_id AS id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, {_STEP.format("'pending'", "'processing'", "'completed'", "'failed'", "'processing'")} AS state FROM {{events}}",
     "m_notes": "SELECT event_id AS id, user_id, event_type = 'view' AS is_read FROM {events}",
     "m_entries": "SELECT user_id AS case_id, event_id % 7 AS doc_id, event_id AS seq, event_type || ' ' || props AS content FROM {events}",
+    "m_contexts": _braced("""SELECT DISTINCT user_id AS case_id, '{"_case":{"n":' || CAST(user_id AS STRING) || '},"9":{"fields":{"a":[1,2]},"review_status":"edited"},"documents":[{"content":"old","document_id":"1"},7,{"content":"keep","document_id":"8"}]}' AS context_json FROM {events} WHERE user_id % 2 = 0"""),
+    "m_pushes": _braced("""SELECT user_id AS case_id, CAST(event_id % 5 AS STRING) AS doc_id, event_id AS seq, CASE WHEN event_id % 5 = 4 THEN 'keys' ELSE 'documents' END AS part, '{"document_id":"' || CAST(event_id % 5 AS STRING) || '","content":"' || event_type || '"}' AS entry,
+        '{"source":"document_review","content_chars":' || CAST(length(event_type) AS STRING) || '}' AS meta FROM {events} WHERE event_id % 3 <> 0"""),
     "m_drafts": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 3 OR o_orderkey < 10 THEN NULL ELSE o_orderkey - 7 END AS parent, CAST(o_orderkey % 5 + 1 AS INT) AS version, CASE WHEN o_orderstatus = 'F' THEN 'ready' ELSE 'editing' END AS status, o_custkey AS created_by FROM {orders}",
     "m_forms": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(text, 'Village ', 'Village मुरा 0 ') WHEN 1 THEN replace(text, '4. Type of', '4 . Type of') WHEN 2 THEN replace(text, '2. S.No. Acts', '2. Acts')
         WHEN 3 THEN replace(text, '/ suspected accused', '/ suspected accused' || chr(10) || '1 राम कुमार पिता का नाम : श्याम लाल ग्राम- नया गांव ' || CAST(doc_id AS STRING) || chr(10) || '2 मोहन पिता का नाम सोहन')

@@ -22,7 +22,12 @@ def query(sql: str | None = None):
     """Registers a function of m(name) -> DataFrame as a query."""
 
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: model(spark, sf_dir, name))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            m = lambda name: model(spark, sf_dir, name)
+            m.tables = lambda *names: src.load_tables(spark, sf_dir, *names)
+            return f(m)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = with_models(sql)
         return f
@@ -490,10 +495,12 @@ def context_hash(m):
     return m("orders").select("o_orderkey", jsonx.context_hash(F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))).alias("hash"))
 
 
-@query("WITH x AS (SELECT l_orderkey, count(DISTINCT l_suppkey % 4) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(n AS INT) AS n, n <= 3 AS ok FROM x")
+@query("""WITH x AS (SELECT l_orderkey, l_suppkey % 4 AS i, min(CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey) AS p FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(CAST(i AS STRING), ',' ORDER BY p) AS ids, CAST(count(*) AS INT) AS n, count(*) <= 3 AS ok FROM x GROUP BY 1""")
 def dedupe_ids(m):
-    x = m("lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_suppkey") % 4).cast("string")).alias("ids"))
-    return x.select("l_orderkey", jsonx.dedupe_ids(F.col("ids"), 3).alias("d")).select("l_orderkey", F.size("d.ids").alias("n"), "d.ok")
+    at = F.expr("l_linenumber * 1000000000L + l_partkey * 1000 + l_suppkey")
+    x = m("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), (F.col("l_suppkey") % 4).cast("string").alias("id")))).alias("ids"))
+    return x.select("l_orderkey", jsonx.dedupe_ids(F.col("ids.id"), 3).alias("d")).select("l_orderkey", F.array_join("d.ids", ",").alias("ids"), F.size("d.ids").alias("n"), "d.ok")
 
 
 @query("SELECT event_id, CASE WHEN value IS NULL OR value = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, value)) END AS score, CASE WHEN event_type = 'view' THEN 'hindi' ELSE 'unknown' END AS language FROM events")
@@ -539,11 +546,44 @@ def push_context(m):
     return context.push_context(m("m_entries"), 12).drop("content")
 
 
-@query("SELECT o_custkey AS case_id, CASE WHEN o_custkey % 2 = 0 THEN CAST(count(DISTINCT o_orderkey % 9) AS INT) ELSE 1 END AS n FROM orders GROUP BY 1")
+@query("""WITH l AS (SELECT case_id, part, doc_id, max(seq) AS seq, arg_max(entry, seq) AS entry, arg_max(meta, seq) AS meta FROM m_pushes GROUP BY 1, 2, 3),
+o AS (SELECT case_id, part, pos, name, entry FROM m_contexts, (VALUES ('documents', 0, '1', '{"content":"old","document_id":"1"}'), ('documents', 2, '8', '{"content":"keep","document_id":"8"}'), ('keys', 0, '9', '{"fields":{"a":[1,2]},"review_status":"edited"}')) v(part, pos, name, entry)
+  UNION ALL SELECT case_id, 'keys', 1, '_case', '{"n":' || case_id || '}' FROM m_contexts),
+r AS (SELECT case_id, part, 0 AS new, pos, name, entry FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.case_id = o.case_id AND l.part = o.part AND l.doc_id = o.name) UNION ALL SELECT case_id, part, 1, seq, doc_id, entry FROM l),
+k AS (SELECT case_id, string_agg('"' || name || '":' || entry, ',' ORDER BY name) AS t FROM r WHERE part = 'keys' GROUP BY 1), d AS (SELECT case_id, '"documents":[' || string_agg(entry, ',' ORDER BY new, pos) || ']' AS t FROM r WHERE part = 'documents' GROUP BY 1),
+c AS (SELECT p.case_id, '{' || concat_ws(',', k.t, d.t) || '}' AS text FROM (SELECT DISTINCT case_id FROM l) p LEFT JOIN k USING (case_id) LEFT JOIN d USING (case_id)),
+n AS (SELECT case_id, doc_id, arg_max(meta, seq) AS meta FROM l GROUP BY 1, 2), x AS (SELECT coalesce(c.case_id, m.case_id) AS case_id, text, context_json, m.case_id IS NOT NULL AS had, greatest(1, length(coalesce(text, context_json)) // 4) AS tokens FROM c FULL JOIN m_contexts m ON c.case_id = m.case_id),
+y AS (SELECT *, text IS NOT NULL AND tokens <= 78 AS ok FROM x),
+w AS (SELECT case_id, string_agg(doc_id || '=' || meta, ';' ORDER BY doc_id) AS t FROM (SELECT case_id, doc_id, meta FROM n UNION ALL SELECT case_id, '1', 'x' FROM y WHERE had AND NOT EXISTS (SELECT 1 FROM n WHERE n.case_id = y.case_id AND doc_id = '1') UNION ALL SELECT case_id, '8', 'y' FROM y WHERE had) GROUP BY 1)
+SELECT y.case_id, CASE WHEN ok THEN text ELSE context_json END AS context_json, CASE WHEN ok THEN w.t WHEN had THEN '1=x;8=y' ELSE '' END AS pushed, tokens, CASE WHEN text IS NOT NULL THEN ok END AS accepted FROM y LEFT JOIN w USING (case_id)""")
+def push_documents(m):
+    c = m("m_contexts").withColumn("pushed_documents", F.create_map(F.lit("8"), F.lit("y"), F.lit("1"), F.lit("x")))
+    out = context.push_documents(c, m("m_pushes"), 78)
+    return out.withColumn("pushed", F.array_join(F.transform(F.array_sort(F.map_entries("pushed_documents")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")).drop("pushed_documents")
+
+
+@query("SELECT o_orderkey, 7 AS leaves, true AS same, o_orderstatus = 'P' AS turned, o_orderkey % 3 <> 0 AS changed FROM orders")
+def canonical_hashes(m):
+    """A nested object, the same with keys in another order, with a list turned round, and with a value changed in every third."""
+    text = lambda *parts: F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(parts)])
+    o = m("orders").select("o_orderkey", "o_orderpriority", F.col("o_orderstatus").alias("s"), F.when(F.col("o_orderkey") % 3 == 0, "1.5").otherwise("1").alias("n"))
+    forms_ = {
+        "a": text('{"s":"', "s", '","in":{"p":"', "o_orderpriority", '","l":["', "s", '",null,["P"],{}]},"n":1}'),
+        "b": text('{ "n": 1, "in": {"l":["', "s", '",null, ["P"], {} ], "p":"', "o_orderpriority", '"}, "s":"', "s", '"}'),
+        "c": text('{"s":"', "s", '","in":{"p":"', "o_orderpriority", '","l":["P",null,["', "s", '"],{}]},"n":1}'),
+        "d": text('{"s":"', "s", '","in":{"p":"', "o_orderpriority", '","l":["', "s", '",null,["P"],{}]},"n":', "n", "}"),
+    }
+    x = o.select("o_orderkey", F.explode(F.create_map(*[y for k, v in forms_.items() for y in (F.lit(k), v)])).alias("which", "json"))
+    h = jsonx.canonical_hashes(x, ["o_orderkey", "which"], "json").groupBy("o_orderkey").agg(F.max("leaves").alias("leaves"), F.map_from_entries(F.collect_list(F.struct("which", "hash"))).alias("h"))
+    return h.select("o_orderkey", "leaves", *[(F.col("h")["a"] == F.col("h")[k]).alias(n) for k, n in (("b", "same"), ("c", "turned"), ("d", "changed"))])
+
+
+@query("""WITH x AS (SELECT o_custkey AS case_id, o_orderkey % 9 AS i, max(o_orderdate) OVER (PARTITION BY o_custkey) AS t FROM orders)
+SELECT case_id, CASE WHEN case_id % 2 = 1 THEN 'z=t' ELSE string_agg(DISTINCT i || '=' || strftime(CASE WHEN case_id % 4 = 0 THEN TIMESTAMP '2020-02-03 04:05:06' ELSE t END, '%Y-%m-%d %H:%M:%S'), ';' ORDER BY i || '=' || strftime(CASE WHEN case_id % 4 = 0 THEN TIMESTAMP '2020-02-03 04:05:06' ELSE t END, '%Y-%m-%d %H:%M:%S')) END AS pushed FROM x GROUP BY 1""")
 def backfill_pushed_map(m):
-    c = m("orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_list((F.col("o_orderkey") % 9).cast("string")).alias("pushed_ids"), F.max("o_orderdate").alias("created_at"))
-    c = c.withColumn("last_updated_at", F.lit(None).cast("timestamp_ntz")).withColumn("pushed_map", F.when(F.col("case_id") % 2 == 1, F.create_map(F.lit("z"), F.lit("t"))))
-    return context.backfill_pushed_map(c).select("case_id", F.size("pushed_map").alias("n"))
+    c = m("orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_list((F.col("o_orderkey") % 9).cast("string")).alias("pushed_ids"), F.max("o_orderdate").cast("timestamp_ntz").alias("created_at"))
+    c = c.withColumn("last_updated_at", F.when(F.col("case_id") % 4 == 0, F.lit("2020-02-03 04:05:06").cast("timestamp_ntz"))).withColumn("pushed_map", F.when(F.col("case_id") % 2 == 1, F.create_map(F.lit("z"), F.lit("t"))))
+    return context.backfill_pushed_map(c).select("case_id", F.array_join(F.transform(F.array_sort(F.map_entries("pushed_map")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("pushed"))
 
 
 def _sessions(m):
@@ -560,10 +600,18 @@ def transcripts(m):
     return context.transcripts(_sessions(m))
 
 
-@query(_TALK + "SELECT id, CAST(count(*) AS INT) AS n, min(turn) AS first_turn FROM c WHERE k <= 3 GROUP BY 1")
+@query(_TALK + "SELECT id, string_agg(CASE r WHEN 'Advocate' THEN 'lawyer' ELSE 'ai' END || turn || ':' || t, chr(10) ORDER BY turn) AS kept FROM c WHERE k <= 3 GROUP BY 1")
 def trim_messages(m):
     s = context.trim_messages(_sessions(m), 3)
-    return s.select("id", F.size("messages").alias("n"), F.element_at("messages", 1)["turn"].alias("first_turn"))
+    return s.select("id", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], x["turn"].cast("string"), F.lit(":"), x["content"])), "\n").alias("kept"))
+
+
+@query("SELECT n_name, r_name, c.n AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey")
+def load_tables(m):
+    """Tables read by name in one call; the scan sees only the columns that are used."""
+    t = m.tables("nation", "region", "customer")
+    per = t["customer"].groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    return t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).join(per, "n_nationkey", "left").select("n_name", "r_name", "customers")
 
 
 @query("""WITH d AS (SELECT *, max(CASE WHEN event IN ('complete', 'skip') THEN seq END) OVER (PARTITION BY doc_id) AS done FROM m_doclog)

@@ -214,6 +214,33 @@ def test_items_by_fold(spark):
     assert got == {i: items(t) for i, t in enumerate(texts)} and sum(len(v) for v in got.values()) > 500
 
 
+def test_canonical_hashes(spark):
+    """Equal for reordered keys at any depth and other blanks; different for reordered lists, types, and what is nested elsewhere."""
+    same = ['{"a":{"x":[1,{"p":null,"q":"}[\\\\\\""}],"y":true},"b":{}}', ' { "b": {}, "a": {"y": true, "x": [1, {"q": "}[\\\\\\"", "p": null}]} }']
+    other = ['{"a":{"x":[{"p":null,"q":"}[\\\\\\""},1],"y":true},"b":{}}', '{"a":{"x":["1",{"p":null,"q":"}[\\\\\\""}],"y":true},"b":{}}', '{"a":{"x":[1,{"p":null,"q":"}[\\\\\\""}],"y":true},"b":[]}', '{"a":{"x":[1,{"p":null,"q":"}[\\\\\\""}]},"y":true,"b":{}}', "{}", "[]", "7", '"7"', "null"]
+    broken = ["{", None, '{"a":1,"a":2}', ""]
+    d = spark.createDataFrame(list(enumerate([*same, *other, *broken])), "i int, j string")
+    h = {r.i: r.hash for r in jsonx.canonical_hashes(d, ["i"], "j").collect()}
+    assert h[0] == h[1] and len({h[i] for i in range(1, 2 + len(other))}) == 1 + len(other)
+    assert [h[i] for i in range(2 + len(other), len(h))] == [None] * 4 and len(h) == d.count()
+    deep = '{"k":' * 30 + "[1]" + "}" * 30
+    assert jsonx.flatten_json(spark.createDataFrame([(1, deep)], "i int, j string"), ["i"], "j").select(F.size("path")).first()[0] == 31
+    assert jsonx.canonical_hashes(d.limit(0), ["i"], "j").count() == 0
+
+
+def test_push_documents(spark):
+    """Replaced and appended in both layouts, with meta; a case whose pushes are too large keeps all it had; others are not touched."""
+    old = '{"documents":[{"document_id":"a","content":"1"},"x",{"document_id":"b","content":"2"}],"k":{"z":1},"_case":{}}'
+    c = spark.createDataFrame([(1, old, {"a": "m"}), (2, old, {"a": "m"}), (3, old, None), (5, "broken", None)], "case_id int, context_json string, pushed_documents map<string,string>")
+    p = [(1, "a", 1, "documents", '{"document_id":"a","content":"new"}', "ma"), (1, "a", 0, "documents", "{}", "late"), (1, "k", 2, "keys", '"K"', "mk"), (1, "c", 3, "documents", '{"document_id":"c"}', "mc"), (2, "a", 1, "documents", '"' + "x" * 900 + '"', "m2"), (4, 'q"', 1, "keys", "1", "m4"), (5, "n", 1, "documents", "{}", "m5")]
+    got = {r.case_id: r for r in context.push_documents(c, spark.createDataFrame(p, "case_id int, doc_id string, seq int, part string, entry string, meta string"), 100).collect()}
+    assert got[1].context_json == '{"_case":{},"k":"K","documents":[{"content":"2","document_id":"b"},{"document_id":"a","content":"new"},{"document_id":"c"}]}'
+    assert got[1].pushed_documents == {"a": "ma", "k": "mk", "c": "mc"} and got[1].accepted and got[1].tokens == len(got[1].context_json) // 4
+    assert (got[2].context_json, got[2].pushed_documents, got[2].accepted) == (old, {"a": "m"}, False) and got[2].tokens > 100
+    assert (got[3].context_json, got[3].pushed_documents, got[3].accepted) == (old, {}, None)
+    assert (got[4].context_json, got[4].pushed_documents) == ('{"q\\"":1}', {"q\"": "m4"}) and got[5].context_json == '{"documents":[{}]}'
+
+
 def test_version_timeline(spark):
     r, log, want = random.Random(2), [], []
     for case in range(5):
