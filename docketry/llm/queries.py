@@ -170,27 +170,32 @@ SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster)
 
 def _op7() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(i)}, {quote(s)}, {len(s)}, {len(s.split(' '))})" for i, s in licenses.SENTENCES.items())
+    known = ", ".join(f"({quote(i)}, {quote(s)}, {quote(o)}, {c}, {w}, {quote(p) if p else 'NULL'})" for i, s, o, c, w, p in licenses.known_table(licenses.SENTENCES))
     rules = ", ".join(f"({quote(','.join(ids))}, {quote(name)}, {len(ids)})" for name, ids in licenses.RULES)
+    names = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in licenses.spdx_table())
     longest = max(len(ids) for _, ids in licenses.RULES)
     return rf"""
-WITH known AS (SELECT * FROM (VALUES {known}) AS v(sid, norm, chars, words)), rules AS (SELECT * FROM (VALUES {rules}) AS v(seq, license, n)),
+WITH known AS (SELECT * FROM (VALUES {known}) AS v(sid, norm, opening, chars, words, pat)), rules AS (SELECT * FROM (VALUES {rules}) AS v(seq, license, n)), names AS (SELECT * FROM (VALUES {names}) AS v(part, license)),
 d AS (SELECT doc_id, row_number() OVER () AS rid, text FROM documents),
 c AS (SELECT rid, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(regexp_replace(text, '{licenses.COMMENT}', '', 'g'), '{licenses.LIST_MARK}', '\1' || chr(10), 'g'), '{licenses.END_MARK}', '\1' || chr(10), 'g')), chr(10)),
-  lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM d),
-e AS (SELECT rid, s, unnest(s) AS piece, unnest(range(len(s))) AS pos FROM c),
-j AS (SELECT rid, pos, sid, chars, CASE WHEN sid = 'copyright' THEN 'x' ELSE array_to_string(s[pos + 1:pos + words], chr(10)) END AS ahead, norm
-  FROM e JOIN known ON CASE WHEN regexp_matches(piece, '^copyright( c)? [0-9]{{4}}( |$)') THEN 'copyright' ELSE string_split(piece, ' ')[1] END = string_split(norm, ' ')[1]
-  AND (sid <> 'copyright' OR regexp_matches(piece, '^copyright( c)? [0-9]{{4}}( |$)'))),
-h AS (SELECT rid, pos, pos + CASE WHEN sid = 'copyright' THEN 0 ELSE len(string_split(left(ahead, chars), chr(10))) - 1 END AS last, sid, row_number() OVER (PARTITION BY rid, pos ORDER BY chars DESC, sid DESC) AS b
-  FROM j WHERE sid = 'copyright' OR (starts_with(replace(ahead, chr(10), ' '), norm) AND substr(ahead, chars + 1, 1) IN ('', chr(10)))),
-k AS (SELECT rid, pos, last, sid, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS at FROM h WHERE b = 1),
+  lambda x: {{'raw': x, 'norm': trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))}}), lambda x: x.norm <> '') AS b FROM d),
+e AS (SELECT rid, b, list_transform(b, lambda x: x.norm) AS s, list_filter(range(len(b)), lambda i: regexp_matches(b[i + 1].norm, '{licenses.MARK}')) AS marks, unnest(range(len(b))) AS pos FROM c),
+w AS (SELECT rid, s, marks, pos, s[pos + 1] AS piece, regexp_matches(s[pos + 1], '^copyright( c)? [0-9]{{4}}( |$)') AS notice FROM e),
+j AS (SELECT rid, marks, pos, sid, notice, norm, chars, pat, array_to_string(s[pos + 1:pos + words], chr(10)) AS ahead FROM w JOIN known ON opening = CASE WHEN notice THEN 'copyright' ELSE string_split(piece, ' ')[1] END),
+q AS (SELECT *, CASE WHEN sid = 'copyright' THEN chars WHEN pat IS NOT NULL THEN length(regexp_extract(replace(ahead, chr(10), ' '), pat)) WHEN starts_with(replace(ahead, chr(10), ' '), norm) THEN chars ELSE 0 END AS size FROM j),
+h AS (SELECT rid, marks, pos, pos + CASE WHEN sid = 'copyright' THEN 0 ELSE len(string_split(left(ahead, size), chr(10))) - 1 END AS last, sid, row_number() OVER (PARTITION BY rid, pos ORDER BY size DESC, sid DESC) AS b
+  FROM q WHERE CASE WHEN sid = 'copyright' THEN notice ELSE size > 0 AND substr(ahead, size + 1, 1) IN ('', chr(10)) END),
+k0 AS (SELECT rid, pos, last, sid, coalesce(list_max(list_filter(marks, lambda i: i < pos - 1)), -1) AS mark, list_contains(marks, pos - 1) AND list_contains(marks, last + 1) AS open, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS at FROM h WHERE b = 1),
+k AS (SELECT *, CASE WHEN mark > lag(last) OVER v THEN 1 ELSE 0 END AS cut, open AND lead(pos) OVER v IS DISTINCT FROM last + 2 AS more FROM k0 WINDOW v AS (PARTITION BY rid ORDER BY pos)),
 g AS (SELECT a.rid, a.at, a.pos AS first, b.last AS last, b.at + 1 AS fin, (SELECT string_agg(x.sid, ',' ORDER BY x.at) FROM k x WHERE x.rid = a.rid AND x.at BETWEEN a.at AND b.at) AS seq
-  FROM k a JOIN k b ON a.rid = b.rid AND b.at BETWEEN a.at AND a.at + {longest - 1}),
+  FROM k a JOIN k b ON a.rid = b.rid AND b.at BETWEEN a.at AND a.at + {longest - 1} WHERE (b.at = a.at OR NOT b.more) AND NOT EXISTS (SELECT 1 FROM k x WHERE x.rid = a.rid AND x.at > a.at AND x.at <= b.at AND x.cut = 1)),
 m AS (SELECT g.*, license, max(fin) OVER (PARTITION BY rid ORDER BY g.at, fin DESC, license ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM g JOIN rules USING (seq)),
-o AS (SELECT rid, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
-  string_agg(license || ':' || first || ':' || last, ',' ORDER BY first, last, license) AS matches FROM m WHERE seen IS NULL OR fin > seen GROUP BY rid),
-n AS (SELECT rid, count(*) AS n_known FROM k GROUP BY rid)
+x0 AS (SELECT rid, pos, regexp_extract(b[pos + 1].raw, '{licenses.SPDX_HEAD}', 1) AS tail, b[pos + 2].raw AS next FROM e WHERE starts_with(s[pos + 1], 'spdx license identifier')),
+x1 AS (SELECT rid, pos, pos + CASE WHEN tail <> '' THEN 0 ELSE 1 END AS last, regexp_extract_all(CASE WHEN tail <> '' THEN tail ELSE next END, '{licenses.SPDX_PART}') AS t FROM x0),
+x AS (SELECT DISTINCT rid, pos AS first, last, license FROM (SELECT rid, pos, last, unnest(list_filter(t, lambda v, i: i = 1 OR t[i - 1] <> 'with')) AS part FROM x1) JOIN names USING (part)),
+o AS (SELECT rid, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, string_agg(license || ':' || first || ':' || last, ',' ORDER BY first, last, license) AS matches
+  FROM (SELECT rid, first, last, license FROM m WHERE seen IS NULL OR fin > seen UNION ALL SELECT * FROM x) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_known FROM (SELECT rid, pos FROM k UNION ALL SELECT DISTINCT rid, first FROM x) GROUP BY rid)
 SELECT doc_id, coalesce(n_known, 0) AS n_known, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(matches, '') AS matches
 FROM d LEFT JOIN n USING (rid) LEFT JOIN o USING (rid)
 """

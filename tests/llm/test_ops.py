@@ -647,6 +647,46 @@ def test_wrapped_licenses(spark):
     assert not wrong, wrong[:3]
 
 
+def test_licenses_with_names_and_lists(spark):
+    """Names in slots, items of lists that are not known, and expressions; the answers are written by hand."""
+    third = lambda who: BSD_THIRD.replace("the copyright holder nor the names of its", f"{who} nor the names of its")
+    by = lambda who, text: text.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", f"{who.upper()} AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", f"{who.upper()} OR CONTRIBUTORS")
+    author = "\n3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    other = "\n3. Users of this software must water the plants of the author every week.\n"
+    advert = "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Acme.\n"
+    many = "a b c d e f g h i j k l m"
+    cases = [
+        ("BSD-3-Clause", BSD_HEAD + third("Acme Inc.") + BSD_TAIL),
+        ("BSD-3-Clause", BSD_HEAD + third("the University of California, Berkeley") + by("the regents", BSD_TAIL)),
+        ("BSD-3-Clause", BSD_HEAD + third("The Example Project") + by("Acme Inc.", BSD_TAIL)),
+        ("BSD-3-Clause", BSD_HEAD + author + BSD_TAIL),
+        ("BSD-3-Clause", BSD_HEAD + third("Acme Inc.")),
+        ("", BSD_HEAD + third(many) + BSD_TAIL),
+        ("", BSD_HEAD + other + BSD_TAIL),
+        ("", BSD_HEAD + other),
+        ("BSD-2-Clause", BSD_HEAD),
+        ("BSD-2-Clause", BSD_HEAD + by("Acme Inc.", BSD_TAIL)),
+        ("BSD-4-Clause", BSD_HEAD + advert + third("Acme").replace("3.", "4.") + BSD_TAIL),
+        ("MIT", MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME INC.")),
+        ("MIT", "1. Released under the MIT License\n2. Something else\n3. And more"),
+        ("Apache-2.0,MIT", "// SPDX-License-Identifier: Apache-2.0 OR MIT\n"),
+        ("GPL-2.0-or-later", "/* SPDX-License-Identifier: GPL-2.0+ */"),
+        ("Apache-2.0,BSD-3-Clause,MIT", "# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR Apache-2.0"),
+        ("GPL-2.0-only", "SPDX-License-Identifier:GPL-2.0 WITH Linux-syscall-note"),
+        ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only WITH MIT"),
+        ("", "SPDX-License-Identifier: LicenseRef-own"),
+        ("", "SPDX-License-Identifier:"),
+        ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nSPDX-License-Identifier: EPL-2.0"),
+        ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+        ("CDDL-1.0", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License").'),
+        ("MIT", MIT + "\nSPDX-License-Identifier: MIT"),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(d).collect()}
+    wrong = [(i, want, got[i]) for i, (want, _) in enumerate(cases) if got[i] != want]
+    assert not wrong, wrong
+
+
 # --- 8 ---
 
 
