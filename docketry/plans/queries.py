@@ -122,7 +122,7 @@ h AS (SELECT list_id, page, nullif(regexp_extract(any_value(head), 'No-(\\d+)',
 c AS (SELECT list_id, page, text, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY list_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'UNKNOWN') AS court FROM h),
 x AS (SELECT f.list_id, f.page, court, body, cn, strpos(text, cn) - 1 AS spot, text FROM first f JOIN c ON f.list_id = c.list_id AND f.page = c.page WHERE k = 1),
 y AS (SELECT *, substr(text, greatest(1, spot - 299), least(spot, 300)) AS near FROM x),
-z AS (SELECT *, substr(near, 1, strpos(near, '   VS   ') - 1) AS l, substr(near, strpos(near, '   VS   ') + 8) AS r, strpos(near, '   VS   ') > 0 AS has FROM y),
+z AS (SELECT *, regexp_extract(near, '(?s)^(.*?)\\s{2,}VS\\s{2,}', 1) AS l, regexp_extract(near, '(?s)^.*?\\s{2,}VS\\s{2,}(.*)$', 1) AS r, regexp_matches(near, '\\s{2,}VS\\s{2,}') AS has FROM y),
 p AS (SELECT *, CASE WHEN has THEN nullif(trim(regexp_replace(string_split(trim(l), chr(10))[-1], '\\s+', ' ', 'g')), '') END AS petitioner, CASE WHEN has THEN nullif(trim(regexp_replace(string_split(ltrim(r), chr(10))[1], '\\s+', ' ', 'g')), '') END AS respondent FROM z)
 SELECT list_id, page, CAST(spot AS INT) AS "at", court AS court_number, CAST(trim(regexp_extract(body, '^ +(\\d+)', 1)) AS INT) AS serial_number, cn AS case_number, petitioner, respondent,
 CASE WHEN petitioner IS NOT NULL OR respondent IS NOT NULL THEN trim(coalesce(petitioner, '') || ' VS ' || coalesce(respondent, '')) END AS case_title, 'WRIA' AS case_type_raw FROM p""")
