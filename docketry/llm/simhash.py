@@ -321,7 +321,7 @@ def shingle_set(text: str | None, shingle: int, bits: int) -> np.ndarray:
 
 #: Longs of a sketch: one bit of each of 64 times as many minima of hash functions over a shingle set. Two sets of similarity s
 #: agree in a bit with probability s + (1 - s) / 2. The first round compares FEW of them, the second all.
-SKETCH, FEW = 8, 4
+SKETCH, FEW = 16, 4
 _ODD, _ADD = (np.random.default_rng(9).integers(0, 1 << 63, 64 * SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.random.default_rng(10).integers(0, 1 << 63, 64 * SKETCH, dtype=np.uint64))
 
 

@@ -319,8 +319,8 @@ def test_sketches():
             h = r.integers(0, 1 << 63, 400, dtype=np.uint64)
             n = round(400 * share)
             a, b = h[:n], h  # b holds a: similarity is n / 400
-            got.append(512 - int(np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b)).sum()))
-        assert abs(np.mean(got) / 512 - (share + (1 - share) / 2)) < 0.01
+            got.append(64 * simhash.SKETCH - int(np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b)).sum()))
+        assert abs(np.mean(got) / (64 * simhash.SKETCH) - (share + (1 - share) / 2)) < 0.01
     assert not simhash.sketch(np.zeros(0, np.uint64)).any()
     assert simhash.wide_enough(1 << 20, 72, 14, 8192) == (72, 14) and simhash.wide_enough(0, 72, 14, 8192) == (72, 14)
     tables, width = simhash.wide_enough(10**10, 72, 14, 8192)
