@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from docketry.sources.tables import checkpointed
 
@@ -40,6 +41,42 @@ def paginate(df: DataFrame, order: list[Column], page: int, limit: int) -> DataF
     return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
+#: Column that numbers the ranges of page_ranges.
+RANGE = "_range"
+
+
+def page_ranges(df: DataFrame, order: list[Column], path: str, parts: int | None = None) -> DataFrame:
+    """df as a table in folders of consecutive ranges of the order, from which page_at reads pages of any depth.
+
+    One range shuffle and one write, however many pages are asked for. The column `_range` must not be in df. order must end in a
+    key, so that pages do not overlap and no range holds more than its share."""
+    if RANGE in df.columns:
+        raise ValueError(f"{RANGE} is a column of the table already")
+    x = df.repartitionByRange(*([parts] if parts else []), *order).withColumn(RANGE, F.spark_partition_id())
+    x.write.mode("overwrite").partitionBy(RANGE).parquet(path)
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField(RANGE, IntegerType())])).parquet(path)
+
+
+def range_counts(ranges: DataFrame) -> list[tuple[int, int]]:
+    """(range, rows) in order, one for each range; the rows are counted without reading a column."""
+    return sorted((r[0], r[1]) for r in ranges.groupBy(RANGE).count().collect())
+
+
+def page_at(ranges: DataFrame, order: list[Column], page: int, limit: int, counts: list[tuple[int, int]] | None = None) -> DataFrame:
+    """A page of a table written by page_ranges, with no rows but its own beyond the tasks that sort: only the ranges that the
+    page lies in are read, and in each of them rows are taken by their rank. Pages before the first or after the last are empty.
+    counts: of range_counts, where several pages are read."""
+    first, end, before, places = (page - 1) * limit, page * limit, 0, {}
+    for number, n in range_counts(ranges) if counts is None else counts:
+        if before < end and before + n > first and page > 0:
+            places[number] = before
+        before += n
+    x = ranges.where(F.col(RANGE).isin(list(places)) if places else F.lit(False))
+    starts = F.create_map(*[F.lit(v) for kv in places.items() for v in kv]) if places else F.create_map().cast("map<int,int>")
+    rank = starts[F.col(RANGE)] + F.row_number().over(Window.partitionBy(RANGE).orderBy(*order))
+    return x.withColumn("_rank", rank).where((F.col("_rank") > first) & (F.col("_rank") <= end)).drop("_rank", RANGE)
+
+
 def page_meta(df: DataFrame, limit: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / limit).cast("long"))
 

@@ -30,15 +30,41 @@ def readiness_summary(ready: DataFrame) -> DataFrame:
     return g.withColumn("all_ready", (F.col("total") > 0) & (F.col("ready") == F.col("total")))
 
 
+def _hashed(log: DataFrame) -> DataFrame:
+    """Writes with the hash of what they leave: a clearing keeps `_case`, a null context is an empty one."""
+    context = F.coalesce("context", F.create_map().cast(log.schema["context"].dataType))
+    kept = F.map_filter(context, lambda k, v: k == "_case")
+    return log.withColumn("context", F.when(F.coalesce("cleared", F.lit(False)), kept).otherwise(context)).withColumn("hash", context_hash(F.col("context")))
+
+
 def context_versions(log: DataFrame) -> DataFrame:
     """log(case_id, seq, context map, cleared) -> one row for each change: version, hash and whether it is the current one. A write with an equal hash is none; a clearing always counts and keeps `_case`."""
-    kept = F.map_filter("context", lambda k, v: k == "_case")
-    x = log.withColumn("context", F.when(F.coalesce("cleared", F.lit(False)), kept).otherwise(F.col("context"))).withColumn("hash", context_hash(F.col("context")))
-    w = Window.partitionBy("case_id").orderBy("seq")
-    changed = F.lag("hash").over(w).isNull() | (F.lag("hash").over(w) != F.col("hash")) | F.coalesce("cleared", F.lit(False))
-    x = x.withColumn("_c", changed.cast("int")).withColumn("version", F.sum("_c").over(w)).where("_c = 1")
+    x = next_versions(log, None)
     last = F.max("version").over(Window.partitionBy("case_id"))
-    return x.withColumn("is_current", F.col("version") == last).drop("_c")
+    return x.withColumn("is_current", F.col("version") == last)
+
+
+def next_versions(log: DataFrame, heads: DataFrame | None) -> DataFrame:
+    """The changes that log makes to cases whose last version is in heads(case_id, version, hash), or to new ones: the rows of
+    context_versions (but is_current) as if the whole history had been read. A case's writes in log must come after its head.
+
+    Only log is sorted; of the history one row for each of its cases is joined. A null case_id is a case like others."""
+    w = Window.partitionBy("case_id").orderBy("seq")
+    x, cleared = _hashed(log), F.coalesce("cleared", F.lit(False))
+    if heads is None:
+        before, start = F.lag("hash").over(w), F.lit(0).cast("long")
+    else:
+        h = heads.select(F.col("case_id").alias("_id"), F.col("version").alias("_v"), F.col("hash").alias("_h"))
+        x = x.join(h, F.col("case_id").eqNullSafe(F.col("_id")), "left")
+        before, start = F.coalesce(F.lag("hash").over(w), F.col("_h")), F.coalesce("_v", F.lit(0)).cast("long")
+    changed = before.isNull() | (before != F.col("hash")) | cleared
+    x = x.withColumn("_c", changed.cast("int")).withColumn("version", start + F.sum("_c").over(w)).where("_c = 1")
+    return x.select(*log.columns, "hash", "version")
+
+
+def heads_of(versions: DataFrame) -> DataFrame:
+    """(case_id, version, hash) of each case's last version."""
+    return versions.groupBy("case_id").agg(F.max("version").alias("version"), F.max_by("hash", "version").alias("hash"))
 
 
 def stale_summaries(contexts: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -208,6 +210,20 @@ def case_page(m):
     return cases.paginate(m("m_cases").select("id", F.col("filing_date").cast("string").alias("filing_date")), [F.col("filing_date").desc_nulls_first(), F.col("id")], 3, 20)
 
 
+@query("""WITH r AS (SELECT id, CAST(filing_date AS STRING) AS filing_date, row_number() OVER (ORDER BY filing_date DESC NULLS FIRST, id) - 1 AS n, count(*) OVER () AS t FROM m_cases)
+SELECT CAST(n // 20 + 1 AS BIGINT) AS page, id, filing_date FROM r WHERE n // 20 IN (0, t // 40, (t - 1) // 20)""")
+def deep_pages(m):
+    """The first page, one in the middle and the last one."""
+    x = m("m_cases").select("id", F.col("filing_date").cast("string").alias("filing_date"))
+    order = [F.col("filing_date").desc_nulls_first(), F.col("id")]
+    ranges = cases.page_ranges(x, order, src.shared_path(x.sparkSession, "pages"))
+    counts = cases.range_counts(ranges)
+    total = sum(n for _, n in counts)
+    pages_ = sorted({1, total // 40 + 1, max(1, -(-total // 20))})
+    at = [cases.page_at(ranges, order, p, 20, counts).select(F.lit(p).cast("long").alias("page"), "id", "filing_date") for p in pages_]
+    return functools.reduce(DataFrame.union, at)
+
+
 @query("SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM m_cases WHERE status = 'active'")
 def page_meta(m):
     return cases.page_meta(m("m_cases").where("status = 'active'"), 20)
@@ -230,12 +246,27 @@ def apply_grants(m):
     return cases.apply_grants(m("m_access"), m("m_cases"), m("m_users"), g, revoked)
 
 
-@query("SELECT c.id AS case_id, c.status, coalesce(n.x, '') AS numbers, coalesce(s.x, '') AS sections, coalesce(p.x, '') AS parties FROM m_cases c LEFT JOIN (SELECT case_id, string_agg(case_number, ',' ORDER BY case_number) AS x FROM m_numbers GROUP BY 1) n ON n.case_id = c.id LEFT JOIN (SELECT case_id, string_agg(section, ',' ORDER BY section) AS x FROM m_sections WHERE is_active GROUP BY 1) s ON s.case_id = c.id LEFT JOIN (SELECT case_id, string_agg(name, ',' ORDER BY name) AS x FROM m_parties GROUP BY 1) p ON p.case_id = c.id")
+_RECORDS = "SELECT c.id AS case_id, c.status, coalesce(n.x, '') AS numbers, coalesce(s.x, '') AS sections, coalesce(p.x, '') AS parties FROM m_cases c LEFT JOIN (SELECT case_id, string_agg(case_number, ',' ORDER BY case_number) AS x FROM m_numbers GROUP BY 1) n ON n.case_id = c.id LEFT JOIN (SELECT case_id, string_agg(section, ',' ORDER BY section) AS x FROM m_sections WHERE is_active GROUP BY 1) s ON s.case_id = c.id LEFT JOIN (SELECT case_id, string_agg(name, ',' ORDER BY name) AS x FROM m_parties GROUP BY 1) p ON p.case_id = c.id"
+
+
+@query(_RECORDS)
 def case_documents(m):
     d = cases.case_documents(m("m_cases"), m("m_numbers"), m("m_sections"), m("m_parties"))
     return d.select("case_id", "status", *[F.array_join(c, ",").alias(c) for c in ("numbers", "sections", "parties")])
 
 
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    spark = df.sparkSession
+    return src.save_bucketed(df, f"docketry_{uuid.uuid4().hex}", by, int(spark.conf.get("spark.sql.shuffle.partitions")), src.shared_path(spark, "buckets"))
+
+
+@query(_RECORDS)
+def bucketed_case_documents(m):
+    """case_documents over tables in buckets of the case: joined in place."""
+    d = cases.case_documents(_bucketed(m("m_cases"), "id"), *[_bucketed(m(n), "case_id") for n in ("m_numbers", "m_sections", "m_parties")])
+    return d.select("case_id", "status", *[F.array_join(c, ",").alias(c) for c in ("numbers", "sections", "parties")])
+
+
 @query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN o.status ELSE n.review_status END AS status FROM m_typed o FULL JOIN m_extract n ON o.doc_id = n.doc_id")
 def upsert_rows(m):
     return cases.upsert(m("m_typed"), m("m_extract").withColumnRenamed("review_status", "status"), ["doc_id"])
@@ -524,15 +555,31 @@ def document_readiness(m):
     return context.document_readiness(m("m_docs"), m("m_typed"), m("m_extract")).select("doc_id", "is_ready", F.array_join("missing_steps", ",").alias("missing"))
 
 
-@query("""WITH x AS (SELECT user_id AS case_id, event_id AS seq, event_type = 'error' AS c, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS s FROM events),
+_VERSIONS = """WITH x AS (SELECT user_id AS case_id, event_id AS seq, event_type = 'error' AS c, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS s FROM events),
 y AS (SELECT *, CASE WHEN lag(s) OVER w IS NULL OR lag(s) OVER w <> s OR c THEN 1 ELSE 0 END AS ch FROM x WINDOW w AS (PARTITION BY case_id ORDER BY seq)),
 z AS (SELECT case_id, seq, ch, CAST(sum(ch) OVER (PARTITION BY case_id ORDER BY seq) AS BIGINT) AS version FROM y)
-SELECT case_id, seq, version, version = max(version) OVER (PARTITION BY case_id) AS is_current FROM z WHERE ch = 1""")
+SELECT case_id, seq, version, version = max(version) OVER (PARTITION BY case_id) AS is_current FROM z WHERE ch = 1"""
+
+
+@query(_VERSIONS)
 def context_versions(m):
     log = m("events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.create_map(F.lit("_case"), F.lit("c"), F.lit("doc"), F.col("event_type")).alias("context"), (F.col("event_type") == "error").alias("cleared"))
     return context.context_versions(log).select("case_id", "seq", "version", "is_current")
 
 
+@query(_VERSIONS.replace("SELECT case_id, seq, version, version =", "SELECT case_id, seq, CAST(seq > (SELECT max(event_id) // 3 FROM events) AS INT) + CAST(seq > (SELECT max(event_id) // 3 * 2 FROM events) AS INT) AS batch, version, version ="))
+def context_timeline(m):
+    """The same versions from three batches of writes, the second one run twice."""
+    e = m("events")
+    third = e.agg(F.max("event_id")).first()[0] // 3
+    batch = (F.col("event_id") > third).cast("int") + (F.col("event_id") > 2 * third).cast("int")
+    log = e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.create_map(F.lit("_case"), F.lit("c"), F.lit("doc"), F.col("event_type")).alias("context"), (F.col("event_type") == "error").alias("cleared"), batch.alias("n"))
+    root = src.shared_path(e.sparkSession, "contexts")
+    for n in (0, 1, 1, 2):
+        jobs.context_batch(log.where(F.col("n") == n).drop("n"), n, root)
+    return jobs.context_timeline(e.sparkSession, root).select("case_id", "seq", F.col("batch_id").alias("batch"), "version", "is_current")
+
+
 @query("SELECT o_orderkey AS case_id, o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AS stale FROM orders")
 def stale_summaries(m):
     body = F.create_map(F.lit("p"), F.col("o_orderpriority"))
@@ -664,6 +711,32 @@ def reconcile_uploads(m):
     return src.reconcile_uploads(m("m_docs"), m("m_objects")).drop("storage_key")
 
 
+def _objects(m) -> str:
+    """Texts of documents as objects of up to 50 lines in 64 folders, but for every third folder."""
+    d = m("m_docs").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 64).alias("shard")).where("shard % 3 <> 0")
+    root = src.shared_path(d.sparkSession, "objects")
+    d.repartition("shard").write.partitionBy("shard").option("maxRecordsPerFile", 50).text(root)
+    return root
+
+
+@query("SELECT 'shard=' || doc_id % 64 AS folder, CAST(ceil(count(*) / 50.0) AS BIGINT) AS objects, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS listed, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM m_docs WHERE doc_id % 64 % 3 <> 0 GROUP BY 1")
+def object_store(m):
+    """Sizes of objects by folder, listed and read."""
+    root, spark = _objects(m), m("m_docs").sparkSession
+    folder = lambda c: F.regexp_extract(c, r"(shard=\d+)/", 1)
+    listed = src.list_objects(spark, root, "*.txt").groupBy(folder(F.col("key")).alias("folder")).agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("listed"))
+    read = src.read_files(spark, root, "*.txt").groupBy(folder(F.col("path")).alias("folder")).agg(F.sum(F.length("content")).alias("bytes"))
+    return listed.join(read, "folder", "full")
+
+
+@query("SELECT doc_id, CASE WHEN upload_status = 'uploaded' OR doc_id % 64 % 3 <> 0 THEN 'uploaded' ELSE 'failed' END AS upload_status, upload_status <> 'uploaded' AND doc_id % 64 % 3 <> 0 AS repaired, upload_status <> 'uploaded' AND doc_id % 64 % 3 = 0 AS missing FROM m_docs")
+def reconcile_objects(m):
+    """Documents against a listing of the folder that their objects are in."""
+    found = src.list_objects(m("m_docs").sparkSession, _objects(m)).select(F.substring_index("key", "/", 1).alias("key"))
+    docs = m("m_docs").withColumn("storage_key", F.concat(F.lit("shard="), (F.col("doc_id") % 64).cast("string")))
+    return src.reconcile_uploads(docs, found).drop("storage_key")
+
+
 # --- tables and headers ---
 
 _HEADS = ["Acts (अधिनियम)", "Section No", "Relative's Name", "Name (नाम)", "Present Address", "S. No.", "Value (Rs)", "Remarks", "क्रम संख्या", "guardian name", "Sectons", "पिता का नाम"]

@@ -16,6 +16,27 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
+def list_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(key, length, modificationTime) of the objects anywhere under path, without reading any: contents are no part of the scan.
+    key: what follows path. Empty objects are not listed (an upload has one byte at least, see operators.cases.RULES); a folder that
+    is not there is an empty listing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "key string, length long, modificationTime timestamp")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    root = path.split(":", 1)[-1].strip("/") + "/"
+    key = F.substring(F.col("path"), F.instr("path", F.lit(root)) + len(root), F.length("path"))
+    return files.select(key.alias("key"), "length", "modificationTime")
+
+
+def save_bucketed(df: DataFrame, name: str, by: str, buckets: int, path: str | None = None) -> DataFrame:
+    """df as a table of the catalog (in path, or in the warehouse), in buckets of a column, each one sorted file: tables in as many
+    buckets of their keys are joined and grouped by them without a shuffle. All rows of a key are in one bucket, so keys must be
+    spread; rows with a null key share one."""
+    writer = df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 

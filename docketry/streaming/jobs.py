@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from docketry.operators import listings
+from docketry.operators import context, listings
 from docketry.operators.cases import upsert
 from docketry.sources.tables import exists, once, overwrite_parts, read_parts, touched
 
@@ -190,3 +190,43 @@ def cause_list_stream(pages: DataFrame, load: Callable[[], tuple[DataFrame, Data
         cause_list_batch(df, number, *load(), root)
 
     return pages.writeStream.foreachBatch(batch).trigger(availableNow=True)
+
+
+#: Folders that the last versions of cases are kept in: a batch reads and replaces those of its cases alone.
+HEAD_PARTS = 256
+HEADS = "case_id {0}, version long, hash string, part int"
+
+
+def context_batch(log: DataFrame, number: int, root: str, parts: int = HEAD_PARTS) -> None:
+    """One batch of context writes log(case_id, seq, context, cleared) put after those before it, without reading the history.
+
+    Under root each batch has a folder in `versions` with the changes it made, decided once; then the last version of its cases is
+    put into `heads`, in folders by a hash of the case. What a batch decides depends on the heads before it: a batch cut off
+    before its `versions` were written has changed none, one cut off later is not decided anew, and heads only move forward. So a
+    batch that is cut off anywhere, or comes again, ends in the same tables. Writes of a case must come in order, batch by batch;
+    `parts` must stay as it was for a root."""
+    spark, kind = log.sparkSession, log.schema["case_id"].dataType.simpleString()
+    part = F.pmod(F.xxhash64("case_id"), F.lit(parts)).cast("int")
+
+    def heads(of: DataFrame) -> DataFrame:
+        return read_parts(spark, f"{root}/heads", HEADS.format(kind), touched(of.select(part.alias("part")), "part"), "part")
+
+    new = once(lambda: context.next_versions(log, heads(log)), f"{root}/versions/batch_id={number}", spark)
+    # All rows of the touched folders as they will be, written before any of them is replaced.
+    whole = once(lambda: context.heads_of(heads(new).select("case_id", "version", "hash").unionByName(new.select("case_id", "version", "hash"))).withColumn("part", part), f"{root}/merged/batch_id={number}", spark)
+    if not exists(spark, f"{root}/done/batch_id={number}/_SUCCESS"):
+        overwrite_parts(whole, f"{root}/heads", "part")
+        spark.range(0).write.mode("overwrite").parquet(f"{root}/done/batch_id={number}")
+
+
+def context_timeline(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of context.context_versions as all batches so far have left them, with their batch_id."""
+    versions = spark.read.parquet(f"{root}/versions")
+    last = spark.read.parquet(f"{root}/heads").select(F.col("case_id").alias("_id"), F.col("version").alias("_v"))
+    x = versions.join(last, F.col("case_id").eqNullSafe(F.col("_id")), "left")
+    return x.withColumn("is_current", F.coalesce(F.col("version") == F.col("_v"), F.lit(False))).drop("_id", "_v")
+
+
+def context_stream(log: DataFrame, root: str) -> DataStreamWriter:
+    """Each micro-batch of log by context_batch, under the number that the stream's checkpoint gives it."""
+    return log.writeStream.foreachBatch(lambda df, number: context_batch(df, number, root)).trigger(availableNow=True)

@@ -1,11 +1,13 @@
 """Small fixtures with expected rows, and seeded checks against short Python models."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from docketry.functions import jsonx, text
 from docketry.operators import cases, context, forms, listings, pages, tables
+from docketry.sources import tables as table_
 from tests.conftest import rows
 
 FORM = """FIRST INFORMATION REPORT
@@ -291,3 +293,72 @@ def test_empty_tables(spark):
     assert listings.parse_listings(e).count() == 0
     assert pages.classify_pages(e.withColumnRenamed("list_id", "doc_id")).count() == 0
     assert tables.explode_tables(spark.createDataFrame([("d", "broken")], "doc_id string, artifact string")).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_by_rank(spark, tmp_path):
+    """Every page is the plain one, ties and nulls included; no limit is in the plan, and only the page's ranges are read."""
+    r = random.Random(3)
+    data = [(i, None if i % 17 == 0 else r.randint(0, 5), "x" * (i % 3)) for i in range(1000)]
+    df = spark.createDataFrame(data, "id int, day int, extra string").repartition(7)
+    order = [F.col("day").desc_nulls_first(), F.col("id")]
+    ranges = cases.page_ranges(df, order, str(tmp_path / "p"), parts=8)
+    counts = cases.range_counts(ranges)
+    assert sum(n for _, n in counts) == 1000 and len(counts) > 4 and max(n for _, n in counts) < 500
+    for page, limit in ((1, 20), (2, 300), (26, 20), (50, 20), (51, 20), (0, 20), (4, 300), (1, 2000)):
+        got = cases.page_at(ranges, order, page, limit, counts)
+        want = cases.paginate(df, order, page, limit).collect() if page else []
+        assert rows(got) == rows(spark.createDataFrame(want, df.schema)) and got.columns == df.columns
+    deep = cases.page_at(ranges, order, 26, 20)
+    plan = _plan(deep)
+    assert "Limit" not in plan and "TakeOrdered" not in plan and deep.count() == 20
+    assert re.search(r"PartitionFilters: \[[^\]]*_range#\d+ (IN \(\d+(,\d+)?\)|= \d+)", plan), plan
+    empty = cases.page_ranges(df.where("id < 0"), order, str(tmp_path / "e"))
+    assert cases.page_at(empty, order, 1, 20).count() == 0
+
+
+def test_buckets_join_in_place(spark, tmp_path):
+    """No Exchange between the scans of bucketed tables and their joins and groups."""
+    keys = range(200)
+    t = {
+        "cases": spark.createDataFrame([(str(i), f"t{i}", "active") for i in keys], "id string, case_title string, status string"),
+        "numbers": spark.createDataFrame([(str(i // 2), f"n{i}") for i in keys], "case_id string, case_number string"),
+        "sections": spark.createDataFrame([(str(i // 3), f"s{i}", i % 2 == 0) for i in keys], "case_id string, section string, is_active boolean"),
+        "parties": spark.createDataFrame([(None if i == 7 else str(i), f"p{i}") for i in keys], "case_id string, name string"),
+    }
+    kept = {n: table_.save_bucketed(df, f"bucketed_{n}", df.columns[0], 4, str(tmp_path / n)) for n, df in t.items()}
+    got = cases.case_documents(*kept.values())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in _plan(got) and _plan(cases.case_documents(*t.values())).count("Exchange") >= 4
+        docs = spark.createDataFrame([(i, i % 9, "completed", "ocr") for i in keys], "doc_id long, case_id long, ocr_status string, processing_route string")
+        typed = spark.createDataFrame([(i, "accepted") for i in keys if i % 2], "doc_id long, status string")
+        ex = spark.createDataFrame([(i, "pending") for i in keys if i % 3], "doc_id long, review_status string")
+        parts = [table_.save_bucketed(df, f"bucketed_{n}", "doc_id", 4, str(tmp_path / n)) for n, df in (("docs", docs), ("typed", typed), ("ex", ex))]
+        ready = context.document_readiness(*parts)
+        assert "Exchange" not in _plan(ready) and rows(ready) == rows(context.document_readiness(docs, typed, ex))
+        assert rows(got) == rows(cases.case_documents(*t.values()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for n in [*t, "docs", "typed", "ex"]:
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{n}")
+
+
+def test_listing_without_contents(spark, tmp_path):
+    """Keys, however odd, and sizes; the scan has no content."""
+    sizes = {"a.pdf": 3, "in/deep er/b+1.pdf": 1, "in/c%20d.txt": 70_000, f"in/{tmp_path.name}/e=1.pdf": 5}
+    for name, n in sizes.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * n)
+    (tmp_path / "in" / "empty.pdf").touch()
+    got = table_.list_objects(spark, f"file://{tmp_path}")
+    assert {r.key: r.length for r in got.collect()} == sizes
+    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in _plan(got)
+    assert rows(table_.list_objects(spark, str(tmp_path), "*.txt").select("key")) == [("in/c%20d.txt",)]
+    assert table_.list_objects(spark, str(tmp_path / "none")).count() == 0
+    docs = spark.createDataFrame([(1, "a.pdf", "pending"), (2, "no.pdf", "pending"), (3, "no.pdf", "uploaded")], "doc_id int, storage_key string, upload_status string")
+    assert rows(table_.reconcile_uploads(docs, got)) == [(1, "a.pdf", "uploaded", True, False), (2, "no.pdf", "failed", False, True), (3, "no.pdf", "uploaded", False, False)]

@@ -265,3 +265,70 @@ def test_completion_cancels_the_timer(spark, tmp_path):
     last = {r[0]: r for r in seen}
     assert last[1][1:4] == ("completed", 1, 0) and last[2][1:] == ("failed", 0, 1, "did not finish in time")
     assert sum(r[1] == "failed" for r in seen) == 1
+
+
+def _writes(n=6, each=25):
+    r, log = random.Random(9), []
+    for case in [*range(n), None]:
+        for seq in range(each):
+            c = None if r.random() < 0.1 else {"_case": "k", "d": str(r.randint(0, 2))}
+            log.append((case, seq, c, r.random() < 0.15))
+    return log
+
+
+WRITES = "case_id int, seq int, context map<string,string>, cleared boolean"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_context_batches(spark, tmp_path, seed):
+    """Any cut of the log, a batch that comes again and an empty one included, leaves the versions of the full run."""
+    r, log, root = random.Random(seed), _writes(), str(tmp_path / "c")
+    cuts = {c: sorted(r.randint(0, 25) for _ in range(2)) for c in {w[0] for w in log}}
+    batches = [[w for w in log if sum(w[1] >= x for x in cuts[w[0]]) == i] for i in range(3)]
+    for number in (0, 1, 1, 2, 0, 3):
+        jobs.context_batch(spark.createDataFrame(batches[number] if number < 3 else [], WRITES), number, root, parts=4)
+    cols = ["case_id", "seq", "version", "hash", "is_current"]
+    full = context.context_versions(spark.createDataFrame(log, WRITES))
+    assert rows(jobs.context_timeline(spark, root).select(cols)) == rows(full.select(cols))
+
+
+@pytest.mark.parametrize("step", ["versions", "merged", "heads"])
+def test_context_batch_killed(spark, tmp_path, monkeypatch, step):
+    """A batch that fails at a step and comes again ends as if it had not failed; folders of other cases keep their files."""
+    log, root = _writes(), str(tmp_path / "c")
+    first, second = [w for w in log if w[1] < 12], [w for w in log if w[1] >= 12 and w[0] in (0, 1)]
+    jobs.context_batch(spark.createDataFrame(first, WRITES), 0, root, parts=16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "c" / "heads").rglob("*.parquet")}
+    plain_once, plain_over = jobs.once, jobs.overwrite_parts
+
+    def failing_once(df, path, spark):
+        if f"/{step}/" in path:
+            raise RuntimeError("lost")
+        return plain_once(df, path, spark)
+
+    def failing_over(df, path, by):
+        plain_over(df.where("part % 2 = 0"), path, by)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(jobs, *(("overwrite_parts", failing_over) if step == "heads" else ("once", failing_once)))
+    with pytest.raises(RuntimeError):
+        jobs.context_batch(spark.createDataFrame(second, WRITES), 1, root, parts=16)
+    monkeypatch.undo()
+    jobs.context_batch(spark.createDataFrame(second, WRITES), 1, root, parts=16)
+    cols = ["case_id", "seq", "version", "hash", "is_current"]
+    full = context.context_versions(spark.createDataFrame(first + second, WRITES))
+    assert rows(jobs.context_timeline(spark, root).select(cols)) == rows(full.select(cols))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "c" / "heads").rglob("*.parquet")}
+    assert 0 < len(before.items() & after.items()) < len(before)
+
+
+def test_context_stream(spark, tmp_path):
+    """The stream ends in the same versions."""
+    log, root = _writes(3, 12), str(tmp_path / "c")
+    for i in range(3):
+        spark.createDataFrame([w for w in log if w[1] // 4 == i], WRITES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = jobs.context_stream(spark.readStream.schema(WRITES).parquet(str(tmp_path / "in")), root)
+        q.option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
+    cols = ["case_id", "seq", "version", "hash", "is_current"]
+    full = context.context_versions(spark.createDataFrame(log, WRITES))
+    assert rows(jobs.context_timeline(spark, root).select(cols)) == rows(full.select(cols))
