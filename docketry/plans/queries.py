@@ -576,7 +576,7 @@ def context_timeline(m):
     log = e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.create_map(F.lit("_case"), F.lit("c"), F.lit("doc"), F.col("event_type")).alias("context"), (F.col("event_type") == "error").alias("cleared"), batch.alias("n"))
     root = src.shared_path(e.sparkSession, "contexts")
     for n in (0, 1, 1, 2):
-        jobs.context_batch(log.where(F.col("n") == n).drop("n"), n, root)
+        jobs.context_batch(log.where(F.col("n") == n).drop("n"), n, root, parts=int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return jobs.context_timeline(e.sparkSession, root).select("case_id", "seq", F.col("batch_id").alias("batch"), "version", "is_current")
 
 

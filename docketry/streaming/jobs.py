@@ -215,7 +215,7 @@ def context_batch(log: DataFrame, number: int, root: str, parts: int = HEAD_PART
     # All rows of the touched folders as they will be, written before any of them is replaced.
     whole = once(lambda: context.heads_of(heads(new).select("case_id", "version", "hash").unionByName(new.select("case_id", "version", "hash"))).withColumn("part", part), f"{root}/merged/batch_id={number}", spark)
     if not exists(spark, f"{root}/done/batch_id={number}/_SUCCESS"):
-        overwrite_parts(whole, f"{root}/heads", "part")
+        overwrite_parts(whole.repartition("part"), f"{root}/heads", "part")  # a folder is one file
         spark.range(0).write.mode("overwrite").parquet(f"{root}/done/batch_id={number}")
 
 
