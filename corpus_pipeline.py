@@ -21,8 +21,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more. The smallest id stays, null only
-    where a group has no other; of rows with that id the text with the smallest hash, once; texts without words are one group."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more, found by the Gray-order index over
+    SimHash fingerprints and confirmed by the sets. The smallest id stays, null only where a group has no other; of rows with that
+    id the text with the smallest hash, once; texts without words are one group."""
     return simhash.one_of_each(docs, **simhash.SIMILAR)
 
 

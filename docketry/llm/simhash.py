@@ -147,51 +147,79 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
     return label
 
 
+def _crossed(a: np.ndarray, b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of nodes a, each with each child of b."""
+    na, nb = end[a] - begin[a], end[b] - begin[b]
+    of = np.repeat(np.arange(len(a)), na * nb)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+    i, j = np.divmod(at, nb[of])
+    return i + begin[a][of], j + begin[b][of]
+
+
+def gray_pairs(fp: np.ndarray, k: int, starts: np.ndarray | None = None, worth=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """fp: (n, w) fingerprints, in Gray order in each of the buckets that begin at `starts` (None: one bucket). Blocks of the pairs
+    i < j of one bucket that differ in at most k bits, and of that number. `worth` tells which pairs of leaves are worth comparing."""
+    first = np.zeros(1, np.int64) if starts is None else starts
+    # Levels of nodes, none across buckets: their children, the mask of the bits all members share, and those bits.
+    levels = []
+    low = high = fp
+    while not levels or len(low) > len(first):
+        nodes = -(-np.diff(first, append=len(low)) // FAN)
+        top = np.cumsum(nodes) - nodes
+        begin = np.repeat(first, nodes) + (np.arange(nodes.sum()) - np.repeat(top, nodes)) * FAN
+        end = np.append(begin[1:], len(low))
+        low, high = np.bitwise_and.reduceat(low, begin, axis=0), np.bitwise_or.reduceat(high, begin, axis=0)
+        levels.append((begin, end, ~(low ^ high), low))
+        first = top
+    a = b = np.arange(len(first))
+    for depth, (begin, end, mask, value) in reversed(list(enumerate(levels))):
+        kept = _differ(value[a], value[b], mask[a] & mask[b]) <= k
+        a, b = a[kept], b[kept]
+        if depth:
+            a, b = _crossed(a, b, begin, end)
+            a, b = a[a <= b], b[a <= b]
+    step = np.cumsum((end[a] - begin[a]) * (end[b] - begin[b])) >> 18
+    cut = np.flatnonzero(np.diff(step)) + 1
+    for x, y in zip(np.split(a, cut), np.split(b, cut), strict=True):
+        if worth is not None:
+            on = worth(x, y)
+            x, y = x[on], y[on]
+        i, j = _crossed(x, y, begin, end)
+        i, j = i[i < j], j[i < j]
+        d = _differ(fp[i], fp[j])
+        yield i[d <= k], j[d <= k], d[d <= k]
+
+
 def gray_components(fp: np.ndarray, k: int) -> np.ndarray:
     """fp: (n, w) distinct fingerprints in Gray order. Returns for each the first one of its component under links of at most k bits."""
     n = len(fp)
     label = np.arange(n)
     near = np.flatnonzero(_differ(fp[1:], fp[:-1]) <= k) if n > 1 else np.zeros(0, int)
     label = _roots(n, near, near + 1, label)
-    # Levels of nodes: mask of the bits all members share, and those bits.
-    levels = []
-    low = high = fp
-    while True:
-        at = np.arange(0, len(low), FAN)
-        low, high = np.bitwise_and.reduceat(low, at, axis=0), np.bitwise_or.reduceat(high, at, axis=0)
-        levels.append((~(low ^ high), low))
-        if len(low) == 1:
-            break
-    pairs = (np.zeros(1, np.int64), np.zeros(1, np.int64))
-    for depth in range(len(levels) - 1, -1, -1):
-        mask, value = levels[depth]
-        a, b = pairs
-        kept = _differ(value[a], value[b], mask[a] & mask[b]) <= k
-        a, b = a[kept], b[kept]
-        if depth:
-            size = len(levels[depth - 1][0])
-            ca = (a[:, None] * FAN + np.arange(FAN))[:, :, None]
-            cb = (b[:, None] * FAN + np.arange(FAN))[:, None, :]
-            ok = (ca < size) & (cb < size) & (ca <= cb)
-            ca, cb = np.broadcast_arrays(ca, cb)
-            pairs = (ca[ok], cb[ok])
-            continue
-        step = max(1, (1 << 21) // (FAN * FAN))
-        for i in range(0, len(a), step):
-            x, y = a[i : i + step], b[i : i + step]
-            # Two leaves that are one component already have nothing to add.
-            lo, hi = np.minimum.reduceat(label, np.arange(0, n, FAN)), np.maximum.reduceat(label, np.arange(0, n, FAN))
-            open_ = ~((lo[x] == hi[x]) & (lo[y] == hi[y]) & (lo[x] == lo[y]))
-            x, y = x[open_], y[open_]
-            ma, mb = (x[:, None] * FAN + np.arange(FAN))[:, :, None], (y[:, None] * FAN + np.arange(FAN))[:, None, :]
-            ok = (ma < n) & (mb < n) & (ma < mb)
-            ma, mb = np.broadcast_arrays(ma, mb)
-            ma, mb = ma[ok], mb[ok]
-            hit = _differ(fp[ma], fp[mb]) <= k
-            label = _roots(n, ma[hit], mb[hit], label)
+    if n <= 2:
+        return label
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Two leaves that are one component already have nothing to add."""
+        lo, hi = np.minimum.reduceat(label, np.arange(0, n, FAN)), np.maximum.reduceat(label, np.arange(0, n, FAN))
+        return ~((lo[x] == hi[x]) & (lo[y] == hi[y]) & (lo[x] == lo[y]))
+
+    for i, j, _ in gray_pairs(fp, k, worth=apart):
+        label = _roots(n, i, j, label)
     return label
 
 
+def _gray_ordered(x: DataFrame, w: int, *then: str) -> DataFrame:
+    """x (table, key, f0.. and more) dealt by bucket, and in it by the Gray rank of the fingerprints, then by the columns `then`."""
+    columns, x = x.columns, x.repartition("table", "key")
+    for i in range(w):  # the Gray rank of each word, by prefix xor
+        g = F.col(f"f{i}")
+        for s in (1, 2, 4, 8, 16, 32):
+            x = x.withColumn(f"g{i}", g.bitwiseXOR(F.shiftrightunsigned(g, s)))
+            g = F.col(f"g{i}")
+    return x.sortWithinPartitions("table", "key", *[f"g{i}" for i in range(w - 1, -1, -1)], *then).select(*columns)
+
+
 def _link(w: int, k: int, bucket: int):
     """Runs of one bucket, in Gray order -> rows: links (a, b) of a spanning forest, or the members of a bucket to deal anew."""
 
@@ -259,13 +287,7 @@ def fingerprint_links(fps: DataFrame, k: int, bits: int = 64, tables: int = 0, w
         word = [F.element_at("fp", i + 1) for i in range(w)]
         key = F.xxhash64("table", *[word[i].bitwiseAND(F.col(f"m{i}")) for i in range(w)])
         x = x.select("table", key.alias("key"), *[word[i].alias(f"f{i}") for i in range(w)])
-        for i in range(w):  # the Gray rank of each word, by prefix xor
-            g = F.col(f"f{i}")
-            for s in (1, 2, 4, 8, 16, 32):
-                x = x.withColumn(f"g{i}", g.bitwiseXOR(F.shiftrightunsigned(g, s)))
-                g = F.col(f"g{i}")
-        order = ["table", "key", *[f"g{i}" for i in range(w - 1, -1, -1)]]
-        x = x.repartition("table", "key").sortWithinPartitions(*order).select("table", "key", *[f"f{i}" for i in range(w)])
+        x = _gray_ordered(x, w)
         found = stored(x.mapInArrow(_link(w, k, bucket), "table int, a array<long>, b array<long>"), "found")
         part = found.where("table < 0").select("a", "b")
         links = part if links is None else links.unionByName(part)
@@ -376,107 +398,76 @@ def _set_of(docs: DataFrame, shingle: int, bits: int) -> DataFrame:
 #: By how many standard deviations sketches may agree less than expected: of sets of SHORT shingles or more in the first round and
 #: in the second (0.966 and 0.971 of pairs at the threshold agree so well), and of smaller sets, whose bits catch fewer pairs.
 LONG_DEVIATIONS, SHORT_DEVIATIONS, SHORT = (1.83, 1.9), 3.4, 32
-#: Buckets of up to so many rows are compared by shifts of whole batches, larger ones each by itself.
-SHIFTS = 64
 #: A bucket with over so many candidates a member first gives one a member, the most alike; the rest follow, between components.
 DENSE = 2
 
 
 def _candidates(w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None):
-    """Rows (table, key, node, n, f0.., s0.., and label, or the node is its label) ordered by table and key -> rows (kind, a, b).
+    """Rows (table, key, node, n, f0.., s0.., and label, or the node is its label) by table, key and Gray rank -> rows (kind, a, b).
 
     kind -1: nodes a and b of different labels differ in at most k bits (of sets of long[0] or more long[1], if it is given),
     their sizes allow a similarity of `near`, and their sketches (m longs) agree as sets of that similarity do.
-    kind -2: node a is in the dense bucket b. kind >= 0: node a is in a bucket of that table to be dealt anew.
+    kind -2 - t: node a is in the dense bucket b of table t. kind >= 0: node a is in a bucket of that table to be dealt anew.
     dense = None: every pair of every bucket is given, whatever its size."""
     names = ["kind", "a", "b"]
     agree, agree_short = least_agreeing(near, m, LONG_DEVIATIONS[m > FEW]), least_agreeing(near, m, SHORT_DEVIATIONS)
 
     def batch_of(kind, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(a)).copy()), pa.array(a), pa.array(b)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(a)).copy()), pa.array(a), pa.array(b)], names=names)
 
-    def close(x: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs are candidates, and in how many bits the sketches of those agree."""
-        d = _differ(x["fp"][i], x["fp"][j])
-        ok = d <= k
+    def close(x: dict, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The candidates of pairs that differ in d <= k bits, and in how many bits their sketches agree."""
+        least, most = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
+        ok = (x["label"][i] != x["label"][j]) & (least >= near * most)
         if long:
-            ok[ok] = (d[ok] <= long[1]) | (np.minimum(x["n"][i[ok]], x["n"][j[ok]]) < long[0])
-        ok[ok] = (x["label"][i[ok]] != x["label"][j[ok]]) & (np.minimum(x["n"][i[ok]], x["n"][j[ok]]) >= near * np.maximum(x["n"][i[ok]], x["n"][j[ok]]))
-        short = np.minimum(x["n"][i[ok]], x["n"][j[ok]]) < SHORT
-        alike = 64 * m - _differ(x["sk"][i[ok]], x["sk"][j[ok]])
-        good = alike >= np.where(short, agree_short, agree)
-        ok[ok] = good
-        return ok, alike[good]
-
-    def small(x: dict, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        of = np.repeat(np.arange(len(starts)), sizes)
-        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-        left = np.repeat(starts + sizes, sizes) - pos - 1
-        found = []
-        for s in range(1, SHIFTS):
-            on = left >= s
-            if not on.any():
-                break
-            pos, left, of = pos[on], left[on], of[on]
-            ok, alike = close(x, pos, pos + s)
-            found.append((pos[ok], pos[ok] + s, of[ok], alike))
-        if not found:
-            return
-        i, j, of, alike = (np.concatenate(c) for c in zip(*found, strict=True))
-        if dense is not None and len(i):
-            full = np.bincount(of, minlength=len(sizes)) > dense * sizes
-            if full.any():
-                rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[full].tolist(), sizes[full].tolist(), strict=True)])
-                yield batch_of(-2, x["node"][rows], x["key"][rows].astype(np.int64))
-                # The partner that is most alike: mostly the same one in every bucket that both are in.
-                order = np.lexsort((x["node"][i], -alike, j))
-                first = np.zeros(len(i), bool)
-                first[order[np.unique(j[order], return_index=True)[1]]] = True
-                keep = first | ~full[of]
-                i, j = i[keep], j[keep]
-        yield batch_of(-1, x["node"][i], x["node"][j])
+            ok &= (d <= long[1]) | (least < long[0])
+        i, j, least = i[ok], j[ok], least[ok]
+        alike = 64 * m - _differ(x["sk"][i], x["sk"][j])
+        ok = alike >= np.where(least < SHORT, agree_short, agree)
+        return i[ok], j[ok], alike[ok]
 
-    def large(x: dict, at: int, n: int) -> Iterator[pa.RecordBatch]:
-        step, kept, count = max(1, (1 << 20) // n), [], 0
-        first, best = np.full(n, -1), np.full(n, -1)
-        for a in range(0, n, step):
-            i, j = np.triu_indices(min(step, n - a), 1, n - a)
-            i, j = i + a, j + a
-            ok, alike = close(x, i + at, j + at)
-            i, j = i[ok], j[ok]
+    def work(x: dict) -> Iterator[pa.RecordBatch]:
+        """x holds whole buckets."""
+        starts, sizes = buckets(x)
+        if dense is not None and (sizes > bucket).any():
+            rows = np.repeat(sizes > bucket, sizes)
+            yield batch_of(x["table"][rows], x["node"][rows], x["node"][rows])
+            x = {c: v[~rows] for c, v in x.items()}
+            starts, sizes = buckets(x)
+        if not len(starts):
+            return
+        of, count, kept = np.repeat(np.arange(len(starts)), sizes), np.zeros(len(starts), np.int64), []
+        first, best = np.full(len(of), -1), np.full(len(of), -1)  # the most alike partner before it, and how alike
+        for i, j, d in gray_pairs(x["fp"], k, starts):
+            i, j, alike = close(x, i, j, d)
+            if not len(i):
+                continue
             if dense is None:
-                yield batch_of(-1, x["node"][i + at], x["node"][j + at])
+                yield batch_of(-1, x["node"][i], x["node"][j])
                 continue
-            order = np.lexsort((x["node"][i + at], -alike, j))
+            order = np.lexsort((x["node"][i], -alike, j))
             top = order[np.unique(j[order], return_index=True)[1]]
             top = top[alike[top] > best[j[top]]]
             first[j[top]], best[j[top]] = i[top], alike[top]
-            count += len(i)
-            if count <= dense * n:
-                kept.append((i, j))
-        if dense is None:
+            count += np.bincount(of[i], minlength=len(count))
+            few = (count <= dense * sizes)[of[i]]
+            kept.append((i[few], j[few]))
+        if not kept:
             return
-        if count <= dense * n:
-            i, j = (np.concatenate(c) for c in zip(*kept, strict=True))
-        else:
-            yield batch_of(-2, x["node"][at : at + n], x["key"][at : at + n].astype(np.int64))
-            j = np.flatnonzero(first >= 0)
-            i = first[j]
-        yield batch_of(-1, x["node"][i + at], x["node"][j + at])
+        full = (count > dense * sizes)[of]
+        i, j = (np.concatenate(c) for c in zip(*kept, strict=True))
+        i, j = i[~full[i]], j[~full[i]]
+        yield batch_of(-1, x["node"][i], x["node"][j])
+        yield batch_of(-2 - x["table"][full], x["node"][full], x["key"][full].astype(np.int64))
+        j = np.flatnonzero(full & (first >= 0))
+        yield batch_of(-1, x["node"][first[j]], x["node"][j])
 
-    def work(x: dict) -> Iterator[pa.RecordBatch]:
-        """x holds whole buckets."""
-        cut = np.flatnonzero((x["table"][1:] != x["table"][:-1]) | (x["key"][1:] != x["key"][:-1])) + 1
-        starts = np.concatenate([[0], cut])
-        sizes = np.diff(np.concatenate([starts, [len(x["key"])]]))
-        few = (sizes > 1) & (sizes <= SHIFTS)
-        if few.any():
-            yield from small(x, starts[few], sizes[few])
-        for at, n in zip(starts[sizes > SHIFTS].tolist(), sizes[sizes > SHIFTS].tolist(), strict=True):
-            if dense is not None and n > bucket:
-                yield batch_of(x["table"][at], x["node"][at : at + n], x["node"][at : at + n])
-            else:
-                yield from large(x, at, n)
+    def buckets(x: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Where they start, and their sizes."""
+        new = np.ones(len(x["key"]), bool)
+        new[1:] = (x["table"][1:] != x["table"][:-1]) | (x["key"][1:] != x["key"][:-1])
+        starts = np.flatnonzero(new)
+        return starts, np.diff(starts, append=len(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot = None, None  # rows of the last bucket so far; the bucket whose rows pass through
@@ -516,7 +507,7 @@ def _candidate_rows(x: DataFrame, w: int, m: int, k: int, long: tuple[int, int]
     spark = x.sparkSession
     x = x.select("table", "key", "node", "n", *[F.element_at("fp", i + 1).alias(f"f{i}") for i in range(w)], *[F.element_at("sk", i + 1).alias(f"s{i}") for i in range(m)], *[c for c in x.columns if c == "label"])
     small_batches(spark, 1 << 15)  # numbers only
-    out = stored(x.repartition("table", "key").sortWithinPartitions("table", "key").mapInArrow(_candidates(w, m, k, long, near, bucket, dense), "kind int, a long, b long"), name)
+    out = stored(_gray_ordered(x, w, "node").mapInArrow(_candidates(w, m, k, long, near, bucket, dense), "kind int, a long, b long"), name)
     small_batches(spark)
     return out
 
@@ -559,28 +550,29 @@ def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22,
     todo = classes.select(F.lit(0).alias("parent"), "node", "n", "fp", "sk")
     pairs = thick = None
     done: list[DataFrame] = []
+    base = 0  # tables of the levels before
     while level:
-        rows = [(parent, t, *_words(p, w)) for t, (parent, p) in enumerate(level)]
-        masks = spark.createDataFrame(rows, ", ".join(["parent int", "table int", *[f"m{i} long" for i in range(w)]]))
-        x = todo.join(F.broadcast(masks), "parent")
+        rows = [(parent, base + t, *_words(p, w)) for t, (parent, p) in enumerate(level)]
+        x = todo.join(F.broadcast(spark.createDataFrame(rows, ", ".join(["parent int", "table int", *[f"m{i} long" for i in range(w)]]))), "parent")
         # 32 bits of the key: buckets that share them are compared as one, which loses nothing.
         key = F.hash("table", *[F.element_at("fp", i + 1).bitwiseAND(F.col(f"m{i}")) for i in range(w)])
-        found = _candidate_rows(x.select("table", key.alias("key"), "node", "n", "fp", "sk"), w, FEW, k, long, near, bucket, dense, "candidates")
-        add = lambda all_, kind: found.where(F.col("kind") == kind).select("a", "b") if all_ is None else all_.unionByName(found.where(F.col("kind") == kind).select("a", "b"))  # noqa: B023, E731
-        pairs, thick = add(pairs, -1), add(thick, -2)
+        x = x.select("table", key.alias("key"), "node", "n", "fp", "sk")
+        found = _candidate_rows(x, w, FEW, k, long, near, bucket, dense, "candidates")
+        pair, dense_rows = found.where("kind = -1").select("a", "b"), found.where("kind < -1").select((-2 - F.col("kind")).alias("table"), F.col("b").alias("key"), F.col("a").alias("node"))
+        pairs, thick = (pair, dense_rows) if pairs is None else (pairs.unionByName(pair), thick.unionByName(dense_rows))
         done.append(found)
         hot = sorted(r[0] for r in found.where("kind >= 0").select("kind").distinct().collect())  # numbers of masks, not rows
-        level = [(t, p) for t in hot for p in finer_sampled(bits, *finer, level[t][1])]
+        base, level = base + len(level), [(t, p) for t in hot for p in finer_sampled(bits, *finer, level[t - base][1])]
         todo = found.where("kind >= 0").select(F.col("kind").alias("parent"), F.col("a").alias("node")).join(classes.select("node", "n", "fp", "sk"), "node")
 
     pairs = paired(pairs)
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(thick.select(F.col("a").alias("node"))))  # read by both rounds
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(thick.select("node")))  # read by both rounds
     links = confirmed(pairs, sets)
     found = stored(connected_components(links), "members")
     if thick.limit(1).count():
         # What is left between the components of dense buckets.
-        x = thick.select(F.col("b").alias("key"), F.col("a").alias("node")).join(classes.select("node", "n", "fp", "sk"), "node").join(found, "node", "left")
-        x = x.select(F.lit(0).alias("table"), "key", "node", "n", F.coalesce("root", "node").alias("label"), "fp", "sk")
+        x = thick.join(classes.select("node", "n", "fp", "sk"), "node").join(found, "node", "left")
+        x = x.select("table", "key", "node", "n", F.coalesce("root", "node").alias("label"), "fp", "sk")
         rest = _candidate_rows(x, w, SKETCH, k, long, near, bucket, None, "rest")
         more = paired(rest.select("a", "b"))
         discard(rest)

@@ -310,6 +310,33 @@ def test_family_below_the_threshold(spark, monkeypatch):
 
 
 
+def test_candidates_come_from_the_gray_index(monkeypatch):
+    """Buckets of one to many leaves: the index finds the pairs that brute force finds, and near-dedup's candidates come from it."""
+    import pyarrow as pa
+
+    r, found, k = np.random.default_rng(15), [], 38
+    sizes = [1, 40, 2, 300, 33]
+    fp = np.concatenate([r.integers(0, 1 << 63, (1, 2), dtype=np.uint64) ^ (r.integers(0, 1 << 63, (n, 2), dtype=np.uint64) & r.integers(0, 1 << 63, (n, 2), dtype=np.uint64)) for n in sizes])
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    want = {(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if key[i] == key[j] and int(np.bitwise_count(fp[i] ^ fp[j]).sum()) <= k}
+    assert 1000 < len(want) < 40_000
+    plain = simhash.gray_pairs
+
+    def spied(*a, **b):
+        for i, j, d in plain(*a, **b):
+            found.extend(zip(i.tolist(), j.tolist(), strict=True))
+            yield i, j, d
+
+    monkeypatch.setattr(simhash, "gray_pairs", spied)
+    words = [pa.array(fp[:, i].view(np.int64)) for i in range(2)]
+    zeros = pa.array(np.zeros(len(fp), np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int32)), pa.array(key.astype(np.int32)), pa.array(np.arange(len(fp))), pa.array(np.full(len(fp), 50, np.int32)), *words, *[zeros] * 4], names=list("abcdefghij"))
+    out = simhash._candidates(2, 4, k, None, 0.8, 8192, None)(iter([batch.slice(0, 60), batch.slice(60)]))
+    pairs = [p for b in out for p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    assert len(found) == len(pairs) and set(found) and set(pairs) == want == {tuple(sorted(p)) for p in pairs}
+
+
 def test_sketches():
     """Sketches agree as often as sets do; masks grow with the number of fingerprints, and their number with them."""
     r = np.random.default_rng(14)
