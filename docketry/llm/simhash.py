@@ -402,19 +402,31 @@ LONG_DEVIATIONS, SHORT_DEVIATIONS, SHORT = (1.83, 1.9), 3.4, 32
 DENSE = 2
 
 
-def _candidates(w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None):
+def _candidates(w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None, masks: list[tuple]):
     """Rows (table, key, node, n, f0.., s0.., and label, or the node is its label) by table, key and Gray rank -> rows (kind, a, b).
 
     kind -1: nodes a and b of different labels differ in at most k bits (of sets of long[0] or more long[1], if it is given),
     their sizes allow a similarity of `near`, and their sketches (m longs) agree as sets of that similarity do.
     kind -2 - t: node a is in the dense bucket b of table t. kind >= 0: node a is in a bucket of that table to be dealt anew.
-    dense = None: every pair of every bucket is given, whatever its size."""
+    dense = None: every pair of every bucket is given, whatever its size.
+
+    masks: for each table its words, the first table of its level, and whether none of its buckets is dealt anew. A pair is
+    given by the first bucket of its level that both are in, not by later ones; one that is dealt anew does not count as such."""
     names = ["kind", "a", "b"]
     agree, agree_short = least_agreeing(near, m, LONG_DEVIATIONS[m > FEW]), least_agreeing(near, m, SHORT_DEVIATIONS)
+    since = np.array([first for _, first, _ in masks])
 
     def batch_of(kind, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(a)).copy()), pa.array(a), pa.array(b)], names=names)
 
+    def earlier(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs meet in a table before their own, too."""
+        own, differ, met = x["table"][i], x["fp"][i] ^ x["fp"][j], np.zeros(len(i), bool)
+        for t, (mask, _, whole) in enumerate(masks[: own.max(initial=0)]):
+            if whole:
+                met |= ~(differ & np.array(mask).astype(np.uint64)).any(1) & (t < own) & (t >= since[own])
+        return met
+
     def close(x: dict, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The candidates of pairs that differ in d <= k bits, and in how many bits their sketches agree."""
         least, most = np.minimum(x["n"][i], x["n"][j]), np.maximum(x["n"][i], x["n"][j])
@@ -424,6 +436,8 @@ def _candidates(w: int, m: int, k: int, long: tuple[int, int] | None, near: floa
         i, j, least = i[ok], j[ok], least[ok]
         alike = 64 * m - _differ(x["sk"][i], x["sk"][j])
         ok = alike >= np.where(least < SHORT, agree_short, agree)
+        i, j, alike = i[ok], j[ok], alike[ok]
+        ok = ~earlier(x, i, j)
         return i[ok], j[ok], alike[ok]
 
     def work(x: dict) -> Iterator[pa.RecordBatch]:
@@ -502,12 +516,12 @@ def _candidates(w: int, m: int, k: int, long: tuple[int, int] | None, near: floa
     return run
 
 
-def _candidate_rows(x: DataFrame, w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None, name: str) -> DataFrame:
+def _candidate_rows(x: DataFrame, w: int, m: int, k: int, long: tuple[int, int] | None, near: float, bucket: int, dense: int | None, masks: list[tuple], name: str) -> DataFrame:
     """x: table, key, node, n, fp, sk (of which m longs are used) and perhaps label."""
     spark = x.sparkSession
     x = x.select("table", "key", "node", "n", *[F.element_at("fp", i + 1).alias(f"f{i}") for i in range(w)], *[F.element_at("sk", i + 1).alias(f"s{i}") for i in range(m)], *[c for c in x.columns if c == "label"])
     small_batches(spark, 1 << 15)  # numbers only
-    out = stored(_gray_ordered(x, w, "node").mapInArrow(_candidates(w, m, k, long, near, bucket, dense), "kind int, a long, b long"), name)
+    out = stored(_gray_ordered(x, w, "node").mapInArrow(_candidates(w, m, k, long, near, bucket, dense, masks), "kind int, a long, b long"), name)
     small_batches(spark)
     return out
 
@@ -545,24 +559,29 @@ def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22,
         both = F.size(F.array_intersect("sa", "sb"))
         return stored(x.where(both >= F.lit(near) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "confirmed")
 
-    tables, width = wide_enough(classes.count(), tables, width, bucket)
+    n = classes.count()
+    tables, width = wide_enough(n, tables, width, bucket)
     level = [(0, p) for p in sampled_masks(bits, tables, width)]
     todo = classes.select(F.lit(0).alias("parent"), "node", "n", "fp", "sk")
     pairs = thick = None
     done: list[DataFrame] = []
-    base = 0  # tables of the levels before
+    masks: list[tuple] = []  # of all levels
     while level:
+        base = len(masks)
         rows = [(parent, base + t, *_words(p, w)) for t, (parent, p) in enumerate(level)]
         x = todo.join(F.broadcast(spark.createDataFrame(rows, ", ".join(["parent int", "table int", *[f"m{i} long" for i in range(w)]]))), "parent")
         # 32 bits of the key: buckets that share them are compared as one, which loses nothing.
         key = F.hash("table", *[F.element_at("fp", i + 1).bitwiseAND(F.col(f"m{i}")) for i in range(w)])
         x = x.select("table", key.alias("key"), "node", "n", "fp", "sk")
-        found = _candidate_rows(x, w, FEW, k, long, near, bucket, dense, "candidates")
+        # Tables with a bucket to be dealt anew: numbers of masks, not rows.
+        hot = x.groupBy("table", "key").count().where(F.col("count") > bucket).select("table").distinct() if n > bucket else None
+        hot = sorted(r[0] for r in hot.collect()) if hot is not None else []
+        masks += [(words, base, t not in hot) for _, t, *words in rows]
+        found = _candidate_rows(x, w, FEW, k, long, near, bucket, dense, masks, "candidates")
         pair, dense_rows = found.where("kind = -1").select("a", "b"), found.where("kind < -1").select((-2 - F.col("kind")).alias("table"), F.col("b").alias("key"), F.col("a").alias("node"))
         pairs, thick = (pair, dense_rows) if pairs is None else (pairs.unionByName(pair), thick.unionByName(dense_rows))
         done.append(found)
-        hot = sorted(r[0] for r in found.where("kind >= 0").select("kind").distinct().collect())  # numbers of masks, not rows
-        base, level = base + len(level), [(t, p) for t in hot for p in finer_sampled(bits, *finer, level[t - base][1])]
+        level = [(t, p) for t in hot for p in finer_sampled(bits, *finer, level[t - base][1])]
         todo = found.where("kind >= 0").select(F.col("kind").alias("parent"), F.col("a").alias("node")).join(classes.select("node", "n", "fp", "sk"), "node")
 
     pairs = paired(pairs)
@@ -573,7 +592,7 @@ def similar_groups(docs: DataFrame, near: float, shingle: int = 5, k: int = 22,
         # What is left between the components of dense buckets.
         x = thick.join(classes.select("node", "n", "fp", "sk"), "node").join(found, "node", "left")
         x = x.select("table", "key", "node", "n", F.coalesce("root", "node").alias("label"), "fp", "sk")
-        rest = _candidate_rows(x, w, SKETCH, k, long, near, bucket, None, "rest")
+        rest = _candidate_rows(x, w, SKETCH, k, long, near, bucket, None, masks, "rest")
         more = paired(rest.select("a", "b"))
         discard(rest)
         again = confirmed(more, sets)

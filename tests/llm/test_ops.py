@@ -332,11 +332,40 @@ def test_candidates_come_from_the_gray_index(monkeypatch):
     words = [pa.array(fp[:, i].view(np.int64)) for i in range(2)]
     zeros = pa.array(np.zeros(len(fp), np.int64))
     batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int32)), pa.array(key.astype(np.int32)), pa.array(np.arange(len(fp))), pa.array(np.full(len(fp), 50, np.int32)), *words, *[zeros] * 4], names=list("abcdefghij"))
-    out = simhash._candidates(2, 4, k, None, 0.8, 8192, None)(iter([batch.slice(0, 60), batch.slice(60)]))
+    out = simhash._candidates(2, 4, k, None, 0.8, 8192, None, [((0, 0), 0, True)])(iter([batch.slice(0, 60), batch.slice(60)]))
     pairs = [p for b in out for p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     assert len(found) == len(pairs) and set(found) and set(pairs) == want == {tuple(sorted(p)) for p in pairs}
 
 
+@pytest.mark.parametrize("limits", [{}, {"width": 1, "tables": 24, "k": 60, "bucket": 80, "finer": (40, 4), "dense": 100}])
+def test_a_pair_is_listed_once(spark, monkeypatch, limits):
+    """Near copies share many buckets: the first of a level lists a pair, no other, and the components stay those of brute force."""
+    r = np.random.default_rng(16)
+    texts = []
+    for _ in range(2):
+        w = drawn(r, 120)
+        texts += [" ".join(w)] + [edited(r, w, 0.75, 0.95) for _ in range(70)]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.8:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    listed, plain = [], simhash.stored
+
+    def counted(df, name, path=None):
+        out = plain(df, name, path)
+        if name in ("candidates", "rest"):
+            pairs = out.where("kind = -1").selectExpr("least(a, b) a", "greatest(a, b) b")
+            listed.append((name, pairs.count(), pairs.distinct().count()))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert {x.doc_id: x.component_id for x in simhash.similar_groups(d, **simhash.SIMILAR | limits).collect()} == dict(enumerate(root))
+    # Of tables with buckets that are dealt anew, some pairs are listed again.
+    assert listed[0][1] and all(once <= n <= once * (1.1 if limits else 1) for _, n, once in listed), listed
+
+
 def test_sketches():
     """Sketches agree as often as sets do; masks grow with the number of fingerprints, and their number with them."""
     r = np.random.default_rng(14)
