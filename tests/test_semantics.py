@@ -362,3 +362,28 @@ def test_listing_without_contents(spark, tmp_path):
     assert table_.list_objects(spark, str(tmp_path / "none")).count() == 0
     docs = spark.createDataFrame([(1, "a.pdf", "pending"), (2, "no.pdf", "pending"), (3, "no.pdf", "uploaded")], "doc_id int, storage_key string, upload_status string")
     assert rows(table_.reconcile_uploads(docs, got)) == [(1, "a.pdf", "uploaded", True, False), (2, "no.pdf", "failed", False, True), (3, "no.pdf", "uploaded", False, False)]
+
+
+def anchored(text):
+    """Each anchor's first place by a search of its own, and the text up to the next first place."""
+    at = {k: m.start() for k, p in forms.ANCHORS if (m := re.search(p, text, re.I | re.S))}
+    return {k: text[i : min([j for j in at.values() if j > i], default=len(text))].strip() for k, i in at.items()}
+
+
+def test_anchors_by_one_search(spark):
+    """All anchors are found in one search, with the results of one search each; the mark put into the text is no part of them."""
+    heads = ["FIRST INFORMATION REPORT", "1. District/Unit x", "acts (अधिनियम)", "3. (a) occurrence", "4.Type of Information", "5. Place of Occurrence", "6. Complainant / Informant", "7. Details of known", "13. Action taken", "10. Total value of property", "11. Inquest Report", "1. Inquest Report", "15. Date and time of dispatch", "Attachment to item 7. Details of known", "Attachment to ITEM  7", "Physical features", "suspect/accused", "\x01", "\x01s", "\x01e 14. signature", "FİRST INFORMATİON REPORT", "first information\nreport", "😀 12. First Information contents", " \n", " 9. particulars of propertieſ ", "2. 1 a p f"]
+    rng = random.Random(4)
+    texts = ["", "none", *["\n".join(rng.choices(heads, k=rng.randrange(1, 30))) for _ in range(400)], "Physical features " * 20_000 + "suspect/accused", "Physical features " * 20_000, "1. District/Unit " * 20_000 + "14. Signature"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = forms.anchor_sections(d)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, {})[r.key] = r.text
+    fold = lambda t: t.translate({0x130: "i", 0x17F: "s"})  # noqa: E731 -- as Java folds them; the length stays
+    for i, t in enumerate(texts[:-3]):
+        want = anchored(fold(t))
+        assert {k: fold(v) for k, v in got.get(i, {}).items()} == want, t
+    n = len(texts)
+    assert {k: len(v) for k, v in got[n - 3].items()} == {"physical": 18 * 20_000 + 15} and n - 2 not in got and got[n - 1] == {"section_1": ("1. District/Unit " * 20_000).strip(), "section_14": "14. Signature"}
+    assert _plan(out).count("regexp_replace(") == 1 and _plan(out).count("RLIKE") <= 1
