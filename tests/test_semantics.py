@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -387,3 +388,25 @@ def test_anchors_by_one_search(spark):
     n = len(texts)
     assert {k: len(v) for k, v in got[n - 3].items()} == {"physical": 18 * 20_000 + 15} and n - 2 not in got and got[n - 1] == {"section_1": ("1. District/Unit " * 20_000).strip(), "section_14": "14. Signature"}
     assert _plan(out).count("regexp_replace(") == 1 and _plan(out).count("RLIKE") <= 1
+
+
+def test_page_cases_are_linear(spark):
+    """Hits as Spark's own patterns find them, on odd texts; a page of 60,000 numbers (3 MB) is parsed in one pass over it."""
+    rng = random.Random(9)
+    bits = ["WRIA/1/2026", "AB/12/2020", "ABCDEFGHIJKLM/1/2020", "A/1/2020", "/7", "\n", "\r\n", "\r", " ", "\u0085", " 12 ", "  3\t", "\n     45\n", "x", "_", "é", "ं", "नं", "½", " ", "😀", "9", "Z", "   VS   ", "y" * 290]
+    texts = ["", *["".join(rng.choices(bits, k=rng.randrange(1, 40))) for _ in range(600)]]
+    d = spark.createDataFrame([("l", i, t) for i, t in enumerate(texts)], "list_id string, page int, text string")
+    by_spark = lambda pattern: listings.token_positions(d, "text", pattern, 1).select("page", "at", "val").collect()
+    serials = {}
+    for r in by_spark(text.SERIAL):
+        serials.setdefault(r.page, []).append((r.at, int(r.val)))
+    want = {}
+    for r in sorted(by_spark(text.CASE_NUMBER)):
+        before = [s for at, s in sorted(serials.get(r.page, [])) if at < r.at]
+        want.setdefault((r.page, r.val), (r.at, texts[r.page][max(0, r.at - 300) : r.at], before[-1] if before else None))
+    got = {(r.page, r.val): (r.at, r.before, r.serial) for r in listings.page_cases(d).collect()}
+    assert got == want and len(got) > 200
+    lines = [f"  {i % 9000 + 1} Pet {i}   VS   Resp {i}\nWRIA/{i}/2026" for i in range(60_000)]
+    began = time.process_time()
+    hits = list(listings._page_cases("\n".join(lines)))
+    assert len(hits) == 60_000 and hits[-1][1] == "WRIA/59999/2026" and hits[-1][3] == 59_999 % 9000 + 1 and time.process_time() - began < 5
