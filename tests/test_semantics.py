@@ -410,3 +410,32 @@ def test_page_cases_are_linear(spark):
     began = time.process_time()
     hits = list(listings._page_cases("\n".join(lines)))
     assert len(hits) == 60_000 and hits[-1][1] == "WRIA/59999/2026" and hits[-1][3] == 59_999 % 9000 + 1 and time.process_time() - began < 5
+
+
+def test_fuzzy_match_lists_less(spark):
+    """What is left of a number is listed once for equal characters in a row; dense numbers match as by brute force, ties too; and what
+    loses two characters is not listed for rows that need none of it."""
+    cuts = listings._cuts(spark, 6)
+    d = spark.createDataFrame([("aaaaaa", 6, 2), ("abbbba", 6, 1), ("abcdef", 6, 2), ("abab", 4, 0)], "a string, len int, cut int")
+    got = sorted(tuple(r) for r in listings._left_over(d, "a", cuts).collect())
+    assert [r for r in got if r[0] != "abcdef"] == [("aaaaaa", "aaaa"), ("abab", "abab"), ("abbbba", "abbba"), ("abbbba", "abbbb"), ("abbbba", "bbbba")] and len(got) == 5 + 15
+    rng = random.Random(5)
+    number = lambda: "w" + "".join(rng.choices("0123", k=rng.randrange(6, 14)))
+    a, b = [number() for _ in range(150)], sorted({number() for _ in range(150)})
+    best = {}
+    for x in a:
+        score = {y: 200.0 * lcs(x, y) / (len(x) + len(y)) for y in b}
+        top = max(score.values())
+        if top >= 85:
+            best[x] = (min(y for y in b if score[y] == top), top)
+    out = listings.fuzzy_match(spark.createDataFrame([(x, x) for x in set(a)], "row_id string, number string"), spark.createDataFrame([(y, y) for y in b], "case_id string, number string"))
+    assert {r.row_id: (r.case_id, r.score) for r in out.collect()} == best and len(best) > 15
+    # One character lost on each side: a join for those alone.
+    near = spark.createDataFrame([("r", "wria1234562020")], "row_id string, number string"), spark.createDataFrame([("c", "wria1234572020")], "case_id string, number string")
+    seen, real = [], listings._left_over
+    listings._left_over = lambda rows, s, cuts: seen.append(rows.select(F.max("cut")).first()[0]) or real(rows, s, cuts)
+    try:
+        assert [tuple(r) for r in listings.fuzzy_match(*near).collect()] == [("r", "c", 200.0 * 13 / 28)]
+    finally:
+        listings._left_over = real
+    assert seen == [1, 1]
