@@ -439,3 +439,16 @@ def test_fuzzy_match_lists_less(spark):
     finally:
         listings._left_over = real
     assert seen == [1, 1]
+
+
+def test_parts_by_one_search(spark):
+    """What is between two phrases, found in one search of the text, as by a pattern of its own for each; marks in a text stay."""
+    bits = ["2. S.No. Acts", "2.S No", "3. ( a ) Occurrence", "13. Action taken", "x3.(a)Occurrence", "4. Type of Information", "5.place of occurrence", "6. Complainant / Informant", "COMPLAINANT/INFORMANT", "7. Details of known", "क7. Details of known", "8. Reasons for delay", "15. Date and time", "\n", " ", "\x01", "\x01\x03", "word 12", "०"]
+    rng = random.Random(6)
+    texts = ["", *["".join(rng.choices(bits, k=rng.randrange(1, 25))) for _ in range(300)]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    plain = [F.trim(F.regexp_extract("text", rf"(?isU)(?:{a})(.*?)(?:{b}|\z)", 1)) for a, b in forms.BETWEEN.values()]
+    want = {r.doc_id: r.parts for r in d.select("doc_id", F.array(*plain).alias("parts")).collect()}
+    out = forms._items(d, parts=True)
+    assert {r.doc_id: r.parts for r in out.collect()} == want and sum(p != "" for v in want.values() for p in v) > 300
+    assert _plan(out.select("parts")).count("regexp_replace(") == 1
